@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, secretscan, tokenfile
+from . import bpe, chat, decontam, quality, secretscan, tokenfile
 from .common import shared_dir, stored
 
 #: Where the public tokenizer files are; a parameter, as they are never copied into the repository.
@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark)
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer(), out)
@@ -48,13 +56,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
+    "op7_chat": op7_chat,
     "op9_token_file": op9_token_file,
     "op10_secrets": op10_secrets,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_quality": quality.SQL,
+    "op7_chat": chat.SQL,
     "op4_decontaminate": r"""
         WITH words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
