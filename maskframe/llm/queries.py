@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, quality, secretscan, tokenfile
+from . import bpe, chat, decontam, neardup, quality, secretscan, tokenfile
 from .common import shared_dir, stored
 
 #: Where the public tokenizer files are; a parameter, as they are never copied into the repository.
@@ -33,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
     "op7_chat": op7_chat,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_quality": quality.SQL,
+    "op3_near_duplicates": neardup.SQL,
     "op7_chat": chat.SQL,
     "op4_decontaminate": r"""
         WITH words AS (
