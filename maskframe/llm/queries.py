@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, neardup, pii, quality, secretscan, tokenfile
+from . import bpe, chat, decontam, neardup, pii, quality, secretscan, tokenfile, toxicity
 from .common import shared_dir, stored
 
 #: Where the public tokenizer files are; a parameter, as they are never copied into the repository.
@@ -49,6 +49,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(spark, table(spark, sf_dir, "conversations"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op9_token_file": op9_token_file,
     "op10_secrets": op10_secrets,
