@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, neardup, pii, quality, secretscan, tokenfile, toxicity
+from . import bpe, chat, decontam, licenses, neardup, pii, quality, secretscan, tokenfile, toxicity
 from .common import shared_dir, stored
 
 #: Where the public tokenizer files are; a parameter, as they are never copied into the repository.
@@ -57,6 +57,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(spark, table(spark, sf_dir, "conversations"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark)
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer(), out)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
+    "op8_licenses": op8_licenses,
     "op9_token_file": op9_token_file,
     "op10_secrets": op10_secrets,
 }
@@ -83,6 +88,7 @@ ORACLE: dict[str, str] = {
     "op2_quality": quality.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op7_chat": chat.SQL,
+    "op8_licenses": licenses.SQL,
     "op4_decontaminate": r"""
         WITH words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
