@@ -105,6 +105,16 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("_t", "w", "ls", "h", "one")
 
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    The row number keeps the optimizer from pushing the filter below the projection: it
+    would put the word arrays inside the lambdas and build them anew for every word.
+    """
+    scored = score_quality(docs, rules).withColumn("_row", F.monotonically_increasing_id())
+    return scored.where("kept AND _row >= 0").select(*docs.columns)
+
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 SQL = rf"""
