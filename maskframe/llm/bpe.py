@@ -18,10 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,53 +170,62 @@ class Encoder:
 
 
 class Pieces:
-    """Ids of whole texts from the ids of their pieces between ASCII white space, each encoded once while the table has room.
-
-    ``encode`` takes a list of pieces and returns the ids of each. A full stop or comma
-    behind an ASCII letter or digit is a word of its own in the split expression, so such
-    a piece is looked up as two. A-Z are lower-cased at once where no special token can be.
+    """Ids of whole texts from the ids of their pieces between ASCII white space.
+
+    The pieces of some texts are made distinct by Arrow, and only the distinct ones are
+    looked up in the table or, where it lacks them, encoded; ids of whole texts are then
+    gathered by numpy. ``encode`` takes a list of pieces and returns the ids of each,
+    packed as ``dtype``. A full stop or comma behind an ASCII letter or digit is a word
+    of its own in the split expression, so such a piece is looked up as two. A-Z are
+    lower-cased at once where no special token can be.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[list[int]]], dtype: str, most: int = CACHE) -> None:
-        self.encode, self.dtype, self.most = encode, dtype, most
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], dtype: str, most: int = CACHE) -> None:
+        self.encode, self.dtype, self.most = encode, np.dtype(dtype), most
         self.known: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {}
-        for mark in (b".", b","):
-            self.marks[mark] = self._ids([mark])[0]
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        return [np.array(i, self.dtype).tobytes() for i in self.encode(pieces)]
+        self.marks = dict(zip((b".", b","), encode([b".", b","]), strict=True))
 
-    def texts(self, texts: list[str | None], step: int = 400) -> list[bytes]:
+    def texts(self, texts: list[str | None], step: int = 4000) -> list[bytes]:
         """The ids of each text, packed as ``dtype``."""
         out: list[bytes] = []
         for k in range(0, len(texts), step):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[k : k + step]]
-            split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-            out += self._joined(split)
+            out += self._some(pa.array([t or "" for t in texts[k : k + step]], pa.large_string()))
         return out
 
-    def _joined(self, split: list[list[bytes]]) -> list[bytes]:
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        lower = pc.ascii_lower(texts)
+        if pc.any(special := pc.match_substring(texts, "<|")).as_py():
+            lower = pc.if_else(special, texts, lower)
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        ids = self._ids(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        tokens = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        size = sizes[at]
+        ends = np.cumsum(size)
+        source = np.repeat(starts[at] - (ends - size), size)
+        source += np.arange(len(source))
+        packed = tokens[source].tobytes()
+        offsets = split.offsets.to_numpy()
+        cuts = (np.concatenate([[0], ends])[offsets - offsets[0]] * self.dtype.itemsize).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces; an empty one has none."""
         known, marks = self.known, self.marks
-        fresh: dict[bytes, bytes] = {}
-        tails: dict[bytes, bytes] = {}
-        new = set().union(*split).difference(known)
-        cores = set()
-        for piece in new:
-            core, mark = piece[:-1], piece[-1:]
-            if mark in marks and core[-1:].isalnum():
-                tails[piece] = core
-                cores.add(core)
-            else:
-                cores.add(piece)
-        wanted = list(cores.difference(known))
-        fresh.update(zip(wanted, self._ids(wanted), strict=True))
+        out = list(map(known.get, pieces))
+        lacking = [k for k, x in enumerate(out) if x is None]
+        core_of = {k: p[:-1] if (p := pieces[k])[-1:] in marks and p[-2:-1].isalnum() else p for k in lacking}
+        wanted = [p for p in set(core_of.values()).difference(known) if p]
+        fresh = dict(zip(wanted, self.encode(wanted), strict=True)) | {b"": b""}
         if (room := self.most - len(known)) > 0:
-            known.update(fresh if len(fresh) <= room else {p: fresh[p] for p in wanted[:room]})
-        for piece, core in tails.items():
-            fresh[piece] = (fresh[core] if core in fresh else known[core]) + marks[piece[-1:]]
-        get = known.get
-        return [b"".join([ids if (ids := get(p)) is not None else fresh[p] for p in parts]) for parts in split]
+            known.update(islice(fresh.items(), room))
+        for k, core in core_of.items():
+            ids = fresh[core] if core in fresh else known[core]
+            out[k] = ids if core == pieces[k] else ids + marks[pieces[k][-1:]]
+        return out
 
 
 class Decoder:
@@ -236,6 +249,10 @@ class Decoder:
         return self.buffer[source[:-1]].tobytes()
 
 
+#: The typecode of an array for each type of id (tasks run on little-endian machines).
+CODES = {"<u2": "H", "<u4": "I"}
+
+
 def id_type(vocabulary: Vocabulary) -> str:
     return "<u2" if vocabulary.size <= 1 << 16 else "<u4"
 
@@ -278,4 +295,4 @@ def _named(docs: DataFrame) -> DataFrame:
 def _tools(path: str) -> tuple[Pieces, Decoder]:
     v = Vocabulary(path)
     encoder = Encoder(v)
-    return Pieces(lambda pieces: map(encoder.piece, pieces), id_type(v)), Decoder(v)
+    return Pieces(lambda pieces: [array(CODES[id_type(v)], encoder.piece(p)).tobytes() for p in pieces], id_type(v)), Decoder(v)

@@ -78,33 +78,36 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
+        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def __call__(self, pieces: list[bytes]) -> list:
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
         plain = [p for p in pieces if p.isalpha() and p.islower()]
         other = [p for p in pieces if not (p.isalpha() and p.islower())]
-        ids = {}
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            got = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
-            ids.update(zip(some, np.split(got, np.flatnonzero(self.ends[got])[:-1] + 1), strict=True))
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in other], add_special_tokens=False)
-        ids.update(zip(other, (e.ids for e in encoded), strict=True))
+        encode, ids = self.tokenizer.encode_batch_fast, {}
+        if plain:
+            # one text a thousand words: as many end-of-word tokens as words, and each word ends with one
+            texts = [b" ".join(plain[k : k + 1000]).decode() for k in range(0, len(plain), 1000)]
+            got = np.concatenate([np.array(e.ids, self.dtype) for e in encode(texts, add_special_tokens=False)])
+            packed, width = got.tobytes(), got.itemsize
+            ends = ((np.flatnonzero(self.ends[got]) + 1) * width).tolist()
+            ids = {p: packed[a:b] for p, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True)}
+        if other:
+            ids.update(zip(other, (np.array(e.ids, self.dtype).tobytes() for e in encode([p.decode("utf-8", "surrogatepass") for p in other], add_special_tokens=False)), strict=True))
         return [ids[p] for p in pieces]
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
     def setup() -> tuple:
         library = LibraryEncoder(path)
-        dtype = "<u2" if max(library.size, end_id + 1) <= 1 << 16 else "<u4"
-        return Pieces(library, dtype, CACHE), np.array([end_id], dtype).tobytes(), zstandard.ZstdCompressor(level=3), np.array(bounds, np.int64)
+        return Pieces(library, library.dtype, CACHE), np.array([end_id], library.dtype).tobytes(), zstandard.ZstdCompressor(level=1), np.array(bounds, np.int64)
 
     def rows(batch: dict, state: tuple) -> dict:
         pieces, end, zstd, cuts = state
         ids = [x + end for x in pieces.texts(batch["text"])]
         at = np.searchsorted(cuts, np.array([-(1 << 63) if d is None else d for d in batch["doc_id"]], np.int64), side="left")
-        return {"bucket": at.astype(np.int32), "doc_id": batch["doc_id"], "wide": [pieces.dtype == "<u4"] * len(ids), "ids": [zstd.compress(x) for x in ids]}
+        return {"bucket": at.astype(np.int32), "doc_id": batch["doc_id"], "wide": [pieces.dtype.itemsize == 4] * len(ids), "ids": [zstd.compress(x) for x in ids]}
 
     return map_rows(docs, rows, "bucket int, doc_id long, wide boolean, ids binary", setup)
 
