@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     members = stored(loose.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select("component", F.col("node").alias("doc_id"), "n_shingles"))
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = stored(dealt.select("component", "block", "blocks", "doc_id").join(docs, "doc_id"))
+    # the candidates are a share of all documents at every size, so both sides are always sorted by doc_id
+    texts = stored(dealt.select("component", "block", "blocks", "doc_id").join(docs.hint("merge"), "doc_id"))
     inner = stored(_blocks(texts, ["component", "block"], words, percent))
     links = inner.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     if texts.where("blocks > 1").limit(1).count():
