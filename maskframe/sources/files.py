@@ -10,13 +10,13 @@ FORMATS = ("parquet", "orc", "json", "csv", "table")
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.{txt,json}") -> DataFrame:
     """file_name, doc_id and text: every matching file of a folder (not below it) as one document; none makes an empty table."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """One file as one document, whatever its name."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
 
 
