@@ -34,7 +34,7 @@ STOP_WORDS = (
 
 #: The base rules of the contract.
 BASE_RULES = (
-    Rule("few_words", "n_words", "one", 1000, None),
+    Rule("few_words", "n_words", "_one", 1000, None),
     Rule("repeated_words", "n_repeat_words", "n_words", None, 20),
 )
 #: Length, symbol, stop-word and line ratios. Each bound leaves room around what clean prose in the four languages shows.
@@ -60,12 +60,12 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
     return ok
 
 
-#: Words inside five-word windows that occur twice or more in ``w``. Only texts whose
+#: Words inside five-word windows that occur twice or more in ``_words``. Only texts whose
 #: windows are not all different (by hash: equal windows have equal hashes) compare the
 #: windows themselves, sorted next to each other.
 _REPEATED = r"""
-CASE WHEN size(w) < 6 OR size(array_distinct(h)) = size(h) THEN 0L ELSE
-  transform(array(sort_array(transform(h, (x, i) -> struct(concat_ws(' ', slice(w, i + 1, 5)) AS p, i AS i)))), s ->
+CASE WHEN size(_words) < 6 OR size(array_distinct(_hashes)) = size(_hashes) THEN 0L ELSE
+  transform(array(sort_array(transform(_hashes, (x, i) -> struct(concat_ws(' ', slice(_words, i + 1, 5)) AS p, i AS i)))), s ->
     aggregate(
       array_sort(transform(filter(s, (x, k) -> (k > 0 AND get(s, k - 1).p = x.p) OR get(s, k + 1).p <=> x.p), x -> x.i)),
       struct(0L AS n, 0 AS upto),
@@ -85,24 +85,24 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     words = docs.withColumns(
         {
             "_t": F.expr("coalesce(cast(text AS string), '')"),
-            "w": F.expr(r"filter(split(coalesce(cast(text AS string), ''), '[\\x20\\x09-\\x0D]+', -1), x -> x <> '')"),
-            "ls": F.expr(r"filter(split(coalesce(cast(text AS string), ''), '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
+            "_words": F.expr(r"filter(split(coalesce(cast(text AS string), ''), '[\\x20\\x09-\\x0D]+', -1), x -> x <> '')"),
+            "_lines": F.expr(r"filter(split(coalesce(cast(text AS string), ''), '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
         }
     )
-    hashed = words.withColumn("h", F.expr("CASE WHEN size(w) < 6 THEN array() ELSE transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])) END"))
+    hashed = words.withColumn("_hashes", F.expr("CASE WHEN size(_words) < 6 THEN array() ELSE transform(sequence(0, size(_words) - 5), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4])) END"))
     figures = {
-        "n_words": "cast(size(w) AS long)",
+        "n_words": "cast(size(_words) AS long)",
         "word_chars": r"cast(length(translate(_t, ' \t\n\x0B\f\r', '')) AS long)".replace(r"\x0B", "\x0b").replace(r"\f", "\x0c").replace(r"\t", "\t").replace(r"\n", "\n").replace(r"\r", "\r"),
         "n_symbols": "cast(length(_t) - length(translate(_t, '#*$%&|<>', '')) AS long)",
-        "n_lines": "cast(size(ls) AS long)",
-        "n_dup_lines": "cast(size(ls) - size(array_distinct(ls)) AS long)",
+        "n_lines": "cast(size(_lines) AS long)",
+        "n_dup_lines": "cast(size(_lines) - size(array_distinct(_lines)) AS long)",
         "n_repeat_words": f"cast({_REPEATED} AS long)",
-        "n_stop_words": f"cast(size(filter(w, x -> lower(x) IN ({stop}))) AS long)",
-        "one": "1L",
+        "n_stop_words": f"cast(size(filter(_words, x -> lower(x) IN ({stop}))) AS long)",
+        "_one": "1L",
     }
     measured = hashed.withColumns({k: F.expr(v) for k, v in figures.items()})
     judged = measured.withColumn("base_failed", ~verdict(BASE_RULES))
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("_t", "w", "ls", "h", "one")
+    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("_t", "_words", "_lines", "_hashes", "_one")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -111,8 +111,8 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The row number keeps the optimizer from pushing the filter below the projection: it
     would put the word arrays inside the lambdas and build them anew for every word.
     """
-    scored = score_quality(docs, rules).withColumn("_row", F.monotonically_increasing_id())
-    return scored.where("kept AND _row >= 0").select(*docs.columns)
+    scored = score_quality(docs.select("text", F.struct(*docs.columns).alias("_doc")), rules).withColumn("_row", F.monotonically_increasing_id())
+    return scored.where("kept AND _row >= 0").select("_doc.*")
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
