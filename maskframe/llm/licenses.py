@@ -50,11 +50,11 @@ def match_lines(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """
     corpus = lines.select("line", "n").withColumn("w", F.explode(F.expr(_cleaned(_tokens("line")))))
     counted = corpus.groupBy("line", "w").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-    total = lines.agg(F.sum("n").alias("total"))
+    total = float(lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     df = counted.groupBy("w").agg(F.sum("n").alias("df"))
     terms = templates.withColumn("w", F.explode(F.expr(_cleaned(_tokens("text"))))).groupBy("license", "w").agg(F.count("*").alias("tf"))
-    idf = F.log((1.0 + F.coalesce("total", F.lit(0))) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    weigh = lambda d: d.join(df, "w", "left").crossJoin(F.broadcast(total)).withColumn("x", F.col("tf") * idf)  # noqa: E731  one row of totals
+    idf = F.log((1.0 + F.lit(total)) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
+    weigh = lambda d: d.join(df, "w", "left").withColumn("x", F.col("tf") * idf)
     own, given = weigh(counted), weigh(terms)
     norms = own.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     sides = given.groupBy("license").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("side"))
