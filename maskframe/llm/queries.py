@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, chat, decontam, licenses, neardup, pii, quality, secretscan, tokenfile, toxicity
 from .common import shared_dir, stored
 
-#: Where the public tokenizer files are; a parameter, as they are never copied into the repository.
-TOKENIZERS = os.environ.get("MASKFRAME_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = "word_bpe_49k.json"
 
 
-def tokenizer(name: str = WORD_BPE) -> str:
-    """The path of a public tokenizer file."""
-    try:
-        import public_tokenizers
+def tokenizer(name: str = WORD_BPE, folder: str | None = None) -> str:
+    """The path of a public tokenizer file, in ``folder`` or where the installed package has it; never copied into the repository."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
