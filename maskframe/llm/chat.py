@@ -55,7 +55,9 @@ def best_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
             break
         pointers.append(state.where("up IS NOT NULL").select("tree", "node", "copy", "up"))
         above = state.where("copy = 1").select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("size").alias("longer"))
-        state = state.join(above, ["tree", "up"], "left").select("tree", "node", "copy", F.col("further").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("size") + F.coalesce("longer", F.lit(0))).alias("size"))
+        # only nodes that aren't at their root yet meet their ancestors; the others are carried on
+        risen = state.where("up IS NOT NULL").join(above, ["tree", "up"]).select("tree", "node", "copy", F.col("further").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("longer")).alias("size"))
+        state = state.where("up IS NULL").unionByName(risen)
     answered = rows.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.lit(1).alias("copy")).distinct()
     leaves = state.where("up IS NULL").join(answered, ["tree", "node", "copy"], "left_anti")
     if per_tree is not None:
