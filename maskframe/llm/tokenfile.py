@@ -16,6 +16,7 @@ doc_id, one range a partition; only compressed ids are shuffled, never texts.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, Pieces
+from .bpe import Pieces
 from .common import map_rows, shared_dir
 
 BLOCK = "bucket int, doc_ids binary, sizes binary, control binary, data binary"
+#: Pieces of text that a task keeps with their ids.
+TABLE = 600_000
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
 
@@ -71,6 +74,7 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -89,19 +93,22 @@ class LibraryEncoder:
         if plain:
             # one text a thousand words: as many end-of-word tokens as words, and each word ends with one
             texts = [b" ".join(plain[k : k + 1000]).decode() for k in range(0, len(plain), 1000)]
-            got = np.concatenate([np.array(e.ids, self.dtype) for e in encode(texts, add_special_tokens=False)])
+            # few texts at once: the library's encodings hold much more than ids
+            got = np.concatenate([np.array(e.ids, self.dtype) for k in range(0, len(texts), 8) for e in encode(texts[k : k + 8], add_special_tokens=False)])
             packed, width = got.tobytes(), got.itemsize
             ends = ((np.flatnonzero(self.ends[got]) + 1) * width).tolist()
             ids = {p: packed[a:b] for p, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True)}
         if other:
-            ids.update(zip(other, (np.array(e.ids, self.dtype).tobytes() for e in encode([p.decode("utf-8", "surrogatepass") for p in other], add_special_tokens=False)), strict=True))
+            for k in range(0, len(other), 4000):
+                some = other[k : k + 4000]
+                ids.update(zip(some, (np.array(e.ids, self.dtype).tobytes() for e in encode([p.decode("utf-8", "surrogatepass") for p in some], add_special_tokens=False)), strict=True))
         return [ids[p] for p in pieces]
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
     def setup() -> tuple:
         library = LibraryEncoder(path)
-        return Pieces(library, library.dtype, CACHE), np.array([end_id], library.dtype).tobytes(), zstandard.ZstdCompressor(level=1), np.array(bounds, np.int64)
+        return Pieces(library, library.dtype, TABLE), np.array([end_id], library.dtype).tobytes(), zstandard.ZstdCompressor(level=1), np.array(bounds, np.int64)
 
     def rows(batch: dict, state: tuple) -> dict:
         pieces, end, zstd, cuts = state
