@@ -7,10 +7,12 @@
     and wraps round. Documents that share the first ``DEPTH`` values of an order are a
     region of that tree. Each tree is sorted by region and then by the rest of the
     order, so those with the longest common prefix stand side by side. A region of up to
-    ``RUN`` documents is compared whole; a larger one is cut along the order, which
-    means a greater depth just there. Signatures are compared, and what agrees in
-    ``AGREE`` values or more is joined to the smallest id of its run; a run gives fewer
-    links than it has documents, never its pairs.
+    ``RUN`` documents is compared whole, a larger one first in runs along the order.
+    Signatures are compared, and what agrees in ``AGREE`` values or more is joined to the
+    smallest id of its run; a run gives fewer links than it has documents, never its
+    pairs. Regions that are larger than a run, or that a partition boundary may cut, are
+    named as well. Where the links so far leave such a region in several components,
+    what is outside its largest one is compared with the whole region, in bounded blocks.
 3.  The components of these loose links are the candidates. Within each the true links
     are found on full sets. A component is dealt into blocks of bounded size; a block
     is searched by an inverted index, smallest component first, and stops when only one
@@ -45,6 +47,8 @@ SIZE = TREES * DEPTH
 AGREE = 40
 #: Documents of a region that are compared with each other at once.
 RUN = 512
+#: Documents on each side of a block of a region that is larger than a run.
+SIDE = 4096
 #: Most documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 
@@ -129,8 +133,13 @@ def _loose(names: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Loose links within the regions of a sorted tree, in runs that overlap by half where a region is large."""
+    """Loose links (a, b) within the regions of a sorted tree, in runs that overlap by half where a region is large.
+
+    The members (a) of regions larger than a run, and of the first and the last region
+    of the partition, come with the tree and region and without b.
+    """
     found: list[tuple[int, int]] = []
+    named: list[tuple[np.ndarray, int, int]] = []
 
     def drain(doc: np.ndarray, values: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
         while len(doc) > RUN:
@@ -140,30 +149,93 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.extend(_loose(doc, values))
         return doc, values
 
-    def made() -> pa.RecordBatch:
+    def made() -> list[pa.RecordBatch]:
         pairs = np.array(found, np.int64).reshape(-1, 2)
-        found.clear()
-        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        links = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "tree": pa.nulls(len(pairs), pa.int32()), "region": pa.nulls(len(pairs), pa.int64())})
+        own = [pa.table({"a": doc, "b": pa.nulls(len(doc), pa.int64()), "tree": pa.array([tree] * len(doc), pa.int32()), "region": pa.array([region] * len(doc), pa.int64())}) for doc, tree, region in named]
+        found.clear(), named.clear()
+        return pa.concat_tables([links, *own]).combine_chunks().to_batches()
 
     held: tuple | None = None
+    seen: list[np.ndarray] = []  # all documents of the region that is held
+    first = True
     for b in batches:
         if not b.num_rows:
             continue
         now = [b["tree"].to_numpy(), b["region"].to_numpy(), b["doc_id"].to_numpy(), np.frombuffer(b"".join(b["order"].to_pylist()), np.uint8).reshape(-1, SIZE)]
+        new = 0
         if held:
+            new = len(held[0])
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         tree, region, doc, values = now
         edge = np.flatnonzero((tree[1:] != tree[:-1]) | (region[1:] != region[:-1])) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(tree)]])
+        seen.append(doc[new : ends[0]])
         several = np.flatnonzero(ends - starts > 1)
         for k in several[several < len(starts) - 1]:
             drain(doc[starts[k] : ends[k]], values[starts[k] : ends[k]], last=True)
+            if k and ends[k] - starts[k] > RUN:
+                named.append((doc[starts[k] : ends[k]], tree[starts[k]], region[starts[k]]))
+        if len(starts) > 1:
+            if first or sum(map(len, seen)) > RUN:
+                named.append((np.concatenate(seen), tree[0], region[0]))
+            first = False
+            seen = [doc[starts[-1] :]]
         rest = drain(doc[starts[-1] :], values[starts[-1] :], last=False)
         held = (tree[-len(rest[0]) :], region[-len(rest[0]) :], *rest)
-        yield made()
+        yield from made()
     if held:
         drain(held[2], held[3], last=True)
-        yield made()
+        named.append((np.concatenate(seen), held[0][0], held[1][0]))
+        yield from made()
+
+
+def _sides(asking: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray], group: np.ndarray, asked_group: np.ndarray) -> list[tuple[int, int]]:
+    """Loose links between two sides (names and signatures) that join components; ``group`` is what each belongs to so far."""
+    heads, label = np.unique(np.concatenate([group, asked_group]), return_inverse=True)
+    mine, theirs = label[: len(group)], label[len(group) :]
+    found: list[tuple[int, int]] = []
+    for i in range(0, len(mine), RUN):
+        for j in range(0, len(theirs), RUN):
+            a, b = slice(i, i + RUN), slice(j, j + RUN)
+            if (mine[a] == mine[i]).all() and (theirs[b] == mine[i]).all():
+                continue
+            near = np.zeros((len(mine[a]), len(theirs[b])), np.uint8)
+            for k in range(SIZE):
+                near += asking[1][a, k, None] == asked[1][None, b, k]
+            for x, y in np.argwhere((near >= AGREE) & (mine[a, None] != theirs[None, b])):
+                p, q = mine[i + x], theirs[j + y]
+                if p != q:
+                    found.append((int(asking[0][i + x]), int(asked[0][j + y])))
+                    label[label == q] = p  # mine and theirs are views of it
+    return found
+
+
+def _large(named: DataFrame, so_far: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Loose links (a, b) within the named regions (tree, region, doc_id) that components ``so_far`` leave in several parts."""
+    members = stored(named.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")))
+    counts = members.groupBy("tree", "region", "group").agg(F.count("*").alias("n"))
+    open_regions = counts.groupBy("tree", "region").agg(F.max(F.struct("n", "group")).alias("m"), F.count("*").alias("groups"), F.sum("n").alias("all")).where("groups > 1")
+    deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(n / SIDE)).cast("int")
+    state = members.join(open_regions.select("tree", "region", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"), "all"), ["tree", "region"])
+    state = stored(state.join(classes.select("doc_id", "values"), "doc_id").withColumns({"asks": F.col("group") != F.col("largest"), "block": deal(F.col("all"), "block"), "part": deal(F.col("outside"), "part")}))
+    if not state.limit(1).count():
+        return None
+    upto = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / SIDE) - 1).cast("int")))
+    same = ["tree", "region", "part", "block", "doc_id", "group", "values"]
+    asking = state.where("asks").withColumn("block", upto("all")).select(*same, F.lit(True).alias("asks"))
+    asked = state.withColumn("part", upto("outside")).select(*same, F.lit(False).alias("asks"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["group", "doc_id"])
+        sides = []
+        for one in (frame[frame["asks"]], frame[~frame["asks"]]):
+            sides.append((one["doc_id"].to_numpy(), np.frombuffer(b"".join(one["values"]), np.uint8).reshape(-1, SIZE), one["group"].to_numpy()))
+        links = _sides(sides[0][:2], sides[1][:2], sides[0][2], sides[1][2]) if all(len(x[0]) for x in sides) else []
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    links = stored(asking.unionByName(asked).groupBy("tree", "region", "part", "block").applyInPandas(run, "a long, b long"))
+    return links if links.limit(1).count() else None
 
 
 def links_in_block(sets: list[np.ndarray], percent: int, groups: np.ndarray | None = None) -> np.ndarray:
@@ -223,6 +295,20 @@ def _blocks(texts: DataFrame, keys: list[str], words: int, percent: int, known:
     return texts.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {dict(texts.dtypes)[k]}" for k in keys) + ", doc_id long, head long")
 
 
+def _candidates(classes: DataFrame) -> DataFrame:
+    """node and component of the loose links among ``classes`` (doc_id, regions, values)."""
+    placed = classes.select("doc_id", "values", F.posexplode("regions").alias("tree", "region"))
+    cut = F.col("tree") * DEPTH
+    forest = placed.select("tree", "region", "doc_id", F.concat(F.substr("values", cut + 1), F.substr("values", F.lit(1), cut)).alias("order"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = forest.repartitionByRange(parts, "tree", "region", "order").sortWithinPartitions("tree", "region", "order")
+    runs = stored(ordered.mapInArrow(_runs, "a long, b long, tree int, region long"))
+    links = runs.where("b IS NOT NULL").select("a", "b")
+    loose = components(links)
+    further = _large(runs.where("b IS NULL").select("tree", "region", F.col("a").alias("doc_id")), loose, classes)
+    return loose if further is None else components(links.unionByName(further))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the groups of near copies among ``docs`` (doc_id, text).
 
@@ -235,13 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(_signed(docs, words))
     classes = stored(signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "regions", "values")).alias("r")).select("digest", "r.*"))
-    placed = classes.select("doc_id", "values", F.posexplode("regions").alias("tree", "region"))
-    cut = F.col("tree") * DEPTH
-    forest = placed.select("tree", "region", "doc_id", F.concat(F.substr("values", cut + 1), F.substr("values", F.lit(1), cut)).alias("order"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = forest.repartitionByRange(parts, "tree", "region", "order").sortWithinPartitions("tree", "region", "order")
-    loose = components(ordered.mapInArrow(_runs, "a long, b long"))
-
+    loose = _candidates(classes)
     members = stored(loose.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select("component", F.col("node").alias("doc_id"), "n_shingles"))
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))

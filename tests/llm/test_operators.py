@@ -139,6 +139,19 @@ def test_near_duplicates_over_several_blocks(spark):
     assert [got[k] for k in range(len(texts))] == label
 
 
+def test_pairs_far_apart_in_a_region_larger_than_a_run(spark):
+    """1,400 signatures share the region of one tree only; each pair differs where the order begins, so no run holds both."""
+    rng, n = np.random.default_rng(5), 700
+    left = rng.integers(0, 256, (n, neardup.SIZE), np.uint8)
+    right = left.copy()
+    left[:, 3:9], right[:, 3:9] = left[:, 3:9] & 0x7F, right[:, 3:9] | 0x80
+    values = np.concatenate([left, right])
+    values[:, :3] = 1
+    rows = [(k, [0, *(int(x) for x in rng.integers(1, 1 << 60, neardup.TREES - 1))], bytearray(v.tobytes())) for k, v in enumerate(values)]
+    got = {r.node: r.component for r in neardup._candidates(spark.createDataFrame(rows, "doc_id long, regions array<long>, values binary")).collect()}
+    assert got == {k: k % n for k in range(2 * n)}
+
+
 # 4 decontamination
 
 
