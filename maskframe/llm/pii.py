@@ -1,8 +1,8 @@
 """PII by bootstrapped contextual extraction.
 
 Seeds are what four fixed expressions find (e-mail, IP, card, phone). The words around
-a seed are a lexical pattern. Other tokens that look like identifiers are candidate
-instances, known by the same patterns. Patterns and instances make a graph, scored in
+a seed are a lexical pattern. Other runs of digit groups and other tokens that look like
+identifiers are candidate instances, known by the same patterns. Patterns and instances make a graph, scored in
 rounds: a pattern is as good as the instances that it draws in, an instance as the
 patterns that draw it in. Patterns that end above a limit, with enough different
 instances behind them, turn their remaining candidates into findings.
@@ -28,6 +28,10 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Digit groups joined by single blanks, dots or dashes and by brackets: the shapes of card, phone and address without their checks.
+RUN = re.compile(r"(?<![\w@.-])[+(]?[0-9]++(?:(?:\)[\x20.-]?|[\x20.-]\(?)[0-9]++(?![\w@]))*+(?!\w|[@.-]\w)")
+RUN_DIGITS = 7
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 KINDS = ("email", "ip", "card", "phone")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -88,17 +92,26 @@ def context(text: str, start: int) -> str | None:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens like identifiers that no base span touches."""
+    """Runs of digit groups and tokens like identifiers that no base span touches."""
     out, taken = [], sorted((a, b) for _, a, b in base)
-    for m in re.finditer(r"\S*[0-9@]\S*", text):
+    parts, upto = [], 0
+    for a, b in taken:
+        parts += [text[upto:a], "\0" * (b - max(a, upto))]
+        upto = max(upto, b)
+    rest = "".join(parts) + text[upto:]  # of the same length; base spans part the runs beside them
+    for m in RUN.finditer(rest):
+        if sum(c.isdigit() for c in m[0]) >= RUN_DIGITS:
+            out.append((m.start(), m.end()))
+    taken = sorted(taken + out)
+    for m in TOKEN.finditer(text):
         raw = m[0].strip(TRIM)
-        if len(raw) < 5 or len(raw) > 64 or (sum(c.isdigit() for c in raw) < 3 and "@" not in raw):
+        if len(raw) < 5 or (sum(c.isdigit() for c in raw) < 3 and "@" not in raw):
             continue
         a = m.start() + m[0].index(raw)
         b = a + len(raw)
         if not any(x < b and a < y for x, y in taken):
             out.append((a, b))
-    return out
+    return sorted(out)
 
 
 FOUND = "doc_id long, base array<struct<kind:string,start:int,end:int>>, seeds array<struct<kind:string,pattern:string,form:string,value:long>>, others array<struct<start:int,end:int,pattern:string,form:string,value:long>>"

@@ -82,6 +82,18 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[0] == "please charge card number [CARD] today" and masked[13] == texts[13]
 
 
+def test_contexts_find_identifiers_of_several_groups(spark):
+    cards = [f"please charge card number {' '.join(re.findall('....', luhn_number(1000 + k)))} today" for k in range(12)]
+    phones = [f"then call +1 (269) 555-{3000 + k} today" for k in range(12)]
+    texts = [*cards, *phones, "please charge card number 4111 1111 1111 1112 today", "then call (017) 555-7713 today", "at 10.0.0.1 please charge card number 4111-1111-1111-1113, ok", "the year number 2024 01 01 here", "tel: then call tel:555-7713 today"]
+    got = {r.doc_id: r.spans for r in pii.digest_pii(docs(spark, texts)).collect()}
+    assert [got[k] for k in (24, 25, 27)] == ["card:26:45", "phone:10:24", ""]
+    assert got[26] == "ip:3:11,card:38:57"
+    assert pii.candidates("tel:555-7713 550e8400-e29b-41d4-a716-446655440000", []) == [(4, 12), (13, 49)]
+    assert pii.candidates("4111 1111 1111 1112 3pm", []) == [(0, 19)]
+    assert pii.candidates("10.0.0.1 4111 1111 1111 1112", [("ip", 0, 8)]) == [(9, 28)]
+
+
 # 2 quality
 
 
