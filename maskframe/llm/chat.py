@@ -36,13 +36,14 @@ def best_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     ``nodes`` has tree, node, parent (null: a root), role, text and score (null: 0). A
     parent that isn't there makes a root as well. Rows of equal (tree, node) are separate
     leaves; replies to such a node go to the first by role and text. Rows on a cycle have
-    no root and no path. ``per_tree`` None keeps all branches; else the best by mean
+    no root and no path. Rows of a null tree are one tree. ``per_tree`` None keeps all branches; else the best by mean
     score, the longer one on ties, then the one with the smallest leaf.
     """
     spark = nodes.sparkSession
+    # a tree is a struct until the end, as a struct that holds a null meets its like in joins
     same = Window.partitionBy("tree", "node").orderBy("role", "text")
     rows = stored(
-        nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+        nodes.select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
         .withColumn("copy", F.row_number().over(same))
     )
     firsts = rows.where("copy = 1").select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
@@ -69,7 +70,7 @@ def best_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
         path = path.unionByName(higher) if k + 1 == len(pointers) else stored(path.unionByName(higher))
     if not pointers:
         path = path.select("tree", "leaf", "leaf_copy", "node", "copy", "depth")
-    return path.join(rows, ["tree", "node", "copy"]).select("tree", "leaf", "leaf_copy", "depth", "role", "text")
+    return path.join(rows, ["tree", "node", "copy"]).select("tree.tree", "leaf", "leaf_copy", "depth", "role", "text")
 
 
 def format_paths(paths: DataFrame, trained: str = "assistant") -> DataFrame:

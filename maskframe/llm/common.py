@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words where a contract says ``[^\x20\x09-\x0D]+``.
 SPACE = r"\x20\x09-\x0D"
@@ -35,6 +36,32 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_keys(docs: DataFrame, repeated: bool = True) -> tuple[DataFrame, int]:
+    """``docs`` with _key, a number of the row's own that isn't null, and the largest doc_id.
+
+    _key is the doc_id; rows without one (and, where ``repeated``, all but one of the
+    rows that share one) get numbers beyond the largest doc_id. Only such rows are stored.
+    """
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    top, nulls = keyed.agg(F.coalesce(F.max("_key"), F.lit(0)), F.count_if(F.col("_key").isNull())).first()
+    top = max(top, 0)
+    odd = keyed.where("_key IS NULL") if nulls else keyed.where("false")
+    if repeated:
+        shared = stored(keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
+        if shared.limit(1).count():
+            odd = odd.unionByName(keyed.join(shared, "_key", "left_semi"))
+            keyed, nulls = keyed.where("_key IS NOT NULL").join(shared, "_key", "left_anti"), nulls + 1
+    if not nulls:
+        return keyed, top
+    if top >= 1 << 62:
+        raise ValueError("rows without a doc_id of their own need doc_ids below 2^62")
+    odd = stored(odd.withColumn("_row", F.monotonically_increasing_id()))
+    first = odd.where("_key IS NOT NULL").groupBy("_key").agg(F.min("_row").alias("_first"))
+    own = F.when(F.col("_row") == F.col("_first"), F.col("_key")).otherwise(F.col("_row") + F.lit(top + 1))
+    numbered = odd.join(first, "_key", "left").withColumn("_key", own).select(*keyed.columns)
+    return keyed.where("_key IS NOT NULL").unionByName(numbered), top
+
+
 def map_rows(df: DataFrame, rows: Callable[[dict], Iterator[dict] | dict], schema: str, setup: Callable | None = None) -> DataFrame:
     """``rows`` over whole Arrow batches as dicts of lists; ``setup`` runs once a task and its result is the second argument."""
     from pyspark.sql.types import StructType

@@ -30,8 +30,8 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 class Patterns:
     """Shift tables and suffix buckets of one block of items, one pair for each pattern length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        of: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
+        of: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item, text in items:
             words = alnum_words(text)
             size = min(window, len(words))
@@ -49,7 +49,7 @@ class Patterns:
                     key = p[end - block : end]
                     shift[key] = min(shift.get(key, size), size - end)
                 first = buckets.setdefault(p[-block:], {}).setdefault(p[:block], [])
-                first.append((list(p), sorted(owners)))
+                first.append((list(p), list(owners)))
             self.groups.append((size, block, size - block + 1, shift, buckets))
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -82,7 +82,7 @@ def covered(ranges: list[tuple[int, int]]) -> int:
 
 
 def _result(ids: list, n_words: list, hits: list, items: list) -> dict:
-    texts = [",".join(sorted(x)) for x in items]
+    texts = [",".join(sorted(i for i in x if i is not None)) for x in items]
     n_hit = [covered(x) for x in hits]
     return {"doc_id": ids, "n_words": n_words, "n_hit": n_hit, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in texts], "contaminated": [x > 0 for x in n_hit]}
 
@@ -92,7 +92,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     ``benchmark`` has item_id and text. A null or empty text has no words and no hits;
     repeated items and repeated documents keep their own rows; an empty benchmark
-    contaminates nothing; columns beyond those named are ignored.
+    contaminates nothing; columns beyond those named are ignored. Items with a null
+    item_id count as one item, which the digest of the items leaves out.
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -102,7 +103,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     scans = []
     for k in range(n):
         own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        given = spark.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator() if r.item is not None])
+        given = spark.sparkContext.broadcast([(r.item, r.text) for r in own.toLocalIterator()])
         scans.append((given, n))
     if n == 1:
 
@@ -116,14 +117,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     def part(batch: dict, patterns: Patterns) -> dict:
         words = [alnum_words(x) for x in batch["text"]]
         got = [patterns.search(x) for x in words]
-        return {"row": batch["row"], "doc_id": batch["doc_id"], "n_words": [len(x) for x in words], "starts": [[a for a, _ in x] for x, _ in got], "ends": [[b for _, b in x] for x, _ in got], "items": [sorted(x) for _, x in got]}
+        return {"row": batch["row"], "doc_id": batch["doc_id"], "n_words": [len(x) for x in words], "starts": [[a for a, _ in x] for x, _ in got], "ends": [[b for _, b in x] for x, _ in got], "items": [list(x) for _, x in got]}
 
     def united(batch: dict) -> dict:
         hits = [list(zip(a, b, strict=True)) for a, b in zip(batch["starts"], batch["ends"], strict=True)]
         return _result(batch["doc_id"], batch["n_words"], hits, [set(x) for x in batch["items"]])
 
     # equal rows have equal hits, so a row is known by its id and text; copies are told apart again by their number
-    keyed = docs.withColumn("row", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "text"), 256))
+    keyed = docs.withColumn("row", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
     copies = keyed.groupBy("row").agg(F.count("*").alias("copies"))
     each = [map_rows(keyed, part, "row string, " + HITS, lambda given=given: Patterns(given.value, window)) for given, _ in scans]
     flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, space_words, stored
+from .common import map_rows, space_words, stored, with_keys
 from .components import components
 
 TREES, DEPTH = 24, 3
@@ -316,9 +316,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     similarity of ``percent`` per cent or more; a component is what links reach. kept
     marks the smallest id of each. A text of fewer words is one shingle; a null or empty
     text has none, is linked with nothing and is kept. Rows of equal doc_id count as one
-    document. Further columns are ignored, an empty table gives an empty one.
+    document. A row with a null doc_id is a document of its own, later in order than all
+    others; where only such rows are copies of each other, component_id is null and one is
+    kept. Further columns are ignored, an empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed, top = with_keys(docs, repeated=False)
+    docs = keyed.select(F.col("_key").alias("doc_id"), "text")
     signed = stored(_signed(docs, words))
     classes = stored(signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "regions", "values")).alias("r")).select("digest", "r.*"))
     loose = _candidates(classes)
@@ -333,7 +337,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_do
         links = links.unionByName(_across(texts.where("blocks > 1"), inner, words, percent, block_docs))
     joined = components(links)
     of_class = classes.select("digest", F.col("doc_id").alias("node")).join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return signed.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = signed.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumns({c: F.when(F.col(c) <= top, F.col(c)) for c in ("doc_id", "component_id")})
 
 
 def _across(texts: DataFrame, inner: DataFrame, words: int, percent: int, block_docs: int) -> DataFrame:

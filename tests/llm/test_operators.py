@@ -351,6 +351,32 @@ def test_secret_rows(spark):
     assert (got[0].spans, got[0].n_hex) == ("", 0)
 
 
+# Null and repeated ids
+
+
+def test_null_ids(spark, tiny, tmp_path):
+    import corpus_pipeline as C
+
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    d = spark.createDataFrame([(None, text), (4, text), (None, other), (None, other), (7, "x"), (None, None), (5, "")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(d).collect())
+    assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 4, False), (4, 4, True), (5, 5, True), (7, 7, True)]
+    stage = sorted((r.doc_id or 0, r.text or "") for r in C.keep_one_of_each(spark, d, tiny).collect())
+    assert stage == [(0, ""), (0, other), (4, text), (5, ""), (7, "x")]
+
+    bench = spark.createDataFrame([(None, "w3 w4 w5"), (1, "zz")], "item_id long, text string")
+    for size in (1 << 20, 3):
+        got = sorted((r.doc_id or 0, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.decontaminate(d, bench, block_bytes=size).collect())
+        assert got == [(0, 0, 0, sha(""), False)] * 3 + [(0, 3, 1, sha(""), True), (4, 3, 1, sha(""), True), (5, 0, 0, sha(""), False), (7, 0, 0, sha(""), False)]
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r.doc_id or 0, r.text or "") for r in C.keep_clean(spark, d, str(tmp_path)).collect()) == [(0, ""), (0, other), (0, other), (5, ""), (7, "x")]
+    m = spark.createDataFrame([(None, "mail a.b@c.example now"), (None, "x"), (1, "at 10.0.0.1 ok")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in C.mask(spark, m, tiny).collect()) == [(0, "mail [EMAIL] now"), (0, "x"), (1, "at [IP] ok")]
+
+    turns = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, 0, "user", "z")], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.n_turns, r.loss_sha256) for r in chat.digest_conversations(spark, turns).collect() if r.conv_id != -7} == {(None, 2, sha("a")), (1, 1, sha(""))}
+
+
 # Pipeline
 
 
