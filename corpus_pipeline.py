@@ -2,6 +2,8 @@
 
 Quality rules drop what they reject; of each group of near copies one document stays;
 documents with benchmark text go; personal data is masked; the rest becomes tokens.
+Decisions and spans meet their rows by a number of each row, so rows with a null or a
+repeated doc_id are documents like all others.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.llm import bpe, decontam, neardup, pii, quality
-from maskframe.llm.common import shared_dir
+from maskframe.llm.common import shared_dir, with_keys
 from maskframe.llm.queries import table, tokenizer
 
 
@@ -21,19 +23,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    keyed, _ = with_keys(docs)
+    kept = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    keyed, _ = with_keys(docs)
+    found = decontam.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(found, "_key", "left_semi").select(*docs.columns)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked by kind."""
-    return pii.mask_pii(docs, pii.find_pii(docs))
+    keyed = with_keys(docs)[0].withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("_key"))
+    return pii.mask_pii(keyed, pii.find_pii(keyed)).withColumn("doc_id", F.col("_id")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
