@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import NEEDED, Catalog
+from ..catalog import NEEDED, Catalog, builtin_entities
 from ..functions.text import chunks
 
 SPAN = "struct<text:string,start:int,end:int,entity_id:string,display_name:string,confidence:double,source:string,seq:int>"
@@ -85,11 +85,12 @@ class Rules:
     def __init__(self, catalog: Catalog) -> None:
         self.names = {e.id: e.display_name for e in catalog.entities}
         self.recognizers = catalog.recognizers()
+        own = {p for e in builtin_entities() for p in e.patterns}  # only of these is it known that a \d must match
         self.rules: list[tuple[str, re.Pattern, bool, tuple[str, ...]]] = []
         for e in catalog.entities:
             for p in e.patterns:
                 try:
-                    self.rules.append((e.id, re.compile(p, re.I | re.M), r"\d" in p and "|" not in p, NEEDED.get(p, ())))
+                    self.rules.append((e.id, re.compile(p, re.I | re.M), p in own and r"\d" in p and "|" not in p, NEEDED.get(p, ())))
                 except re.error:
                     continue
 

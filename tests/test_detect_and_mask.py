@@ -49,6 +49,13 @@ def test_checksums():
     assert D.iban("GB82 WEST 1234 5698 7654 32") and not D.iban("GB83 WEST 1234 5698 7654 32")
 
 
+def test_rules_of_a_file_with_digits_that_may_be_absent(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"entities": [{"id": "a", "display_name": "A", "patterns": [r"ID-[A-Z]+\d*"]}, {"id": "b", "display_name": "B", "patterns": [r"[^\d\s]{8,}"]}]}))
+    got = [(s["entity_id"], s["text"]) for s in D.Rules(C.load_catalog(str(path))).scan("the ID-ABC of somebodyelse")]
+    assert got == [("a", "ID-ABC"), ("b", "somebodyelse")]
+
+
 def test_bad_rule_is_left_out():
     c = C.Catalog((C.Entity("x", "x", patterns=("(", "a+")),))
     assert [s["text"] for s in D.Rules(c).scan("caat")] == ["aa"]
