@@ -377,6 +377,18 @@ def test_null_ids(spark, tiny, tmp_path):
     assert {(r.conv_id, r.n_turns, r.loss_sha256) for r in chat.digest_conversations(spark, turns).collect() if r.conv_id != -7} == {(None, 2, sha("a")), (1, 1, sha(""))}
 
 
+def test_repeated_ids_through_the_stages(spark, tiny, tmp_path):
+    import corpus_pipeline as C
+
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    d = spark.createDataFrame([(1, text), (1, text), (2, text), (3, other), (3, "mail a.b@c.example now"), (4, "x")], "doc_id long, text string")
+    assert sorted(map(tuple, C.keep_one_of_each(spark, d, tiny).collect())) == [(1, text), (3, "mail a.b@c.example now"), (3, other), (4, "x")]
+    spark.createDataFrame([(1, "v3 v4 v5")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = C.keep_clean(spark, d, str(tmp_path))
+    assert sorted(map(tuple, clean.where("doc_id = 3").collect())) == [(3, "mail a.b@c.example now")]
+    assert sorted(r.text for r in C.mask(spark, d, tiny).where("doc_id = 3").collect()) == ["mail [EMAIL] now", other]
+
+
 # Pipeline
 
 
