@@ -7,14 +7,16 @@ shorter prefix is tried and, when none is left, the walk steps back. The answers
 "may these two stand side by side" are kept in a pair table. The result equals
 merging by rank, in time linear in the word.
 
-Texts are split at white space first and each distinct piece is encoded once a task,
+Texts are split at white space first and each distinct piece is encoded once a worker,
 so rare pieces pay for the walk and common ones for a look-up. The table of pieces
-stops growing at ``CACHE`` entries; pieces beyond it are encoded anew. Decoding
-gathers bytes from one buffer through a table of offsets.
+stops growing at ``CACHE`` entries; pieces beyond it are encoded anew. A Python worker
+that Spark uses again keeps tokenizer and table. Decoding gathers bytes from one buffer
+through a table of offsets.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces of text that a task keeps with their ids.
+#: Pieces of text that a worker keeps with their ids.
 CACHE = 400_000
 PAIRS = 2_000_000
 
@@ -169,21 +171,38 @@ class Encoder:
         return out
 
 
+#: Signs that make a word of their own in the split expression when they follow a letter or digit and end a piece; no special token ends in them.
+MARKS = ".,;:!?)]}*#$%&+/=@^_~\"\\-"
+
+
+_ALNUM = np.array([b < 0x80 and chr(b).isalnum() for b in range(256)])
+
+
+def _gather(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``tokens`` (start, size) that ``at`` names, one behind the other, and where each ends."""
+    size = sizes[at]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.int32 if max(total, len(tokens)) < 1 << 31 else np.int64
+    source = np.repeat((starts[at] - (ends - size)).astype(place), size)
+    source += np.arange(total, dtype=place)
+    return tokens[source], ends
+
+
 class Pieces:
     """Ids of whole texts from the ids of their pieces between ASCII white space.
 
     The pieces of some texts are made distinct by Arrow, and only the distinct ones are
     looked up in the table or, where it lacks them, encoded; ids of whole texts are then
     gathered by numpy. ``encode`` takes a list of pieces and returns the ids of each,
-    packed as ``dtype``. A full stop or comma behind an ASCII letter or digit is a word
-    of its own in the split expression, so such a piece is looked up as two. A-Z are
-    lower-cased at once where no special token can be.
+    packed as ``dtype``. A run of ``MARKS`` behind a letter or digit is a word of its own
+    in the split expression, so such a piece is looked up as two. A-Z are lower-cased at
+    once where no special token can be.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], dtype: str, most: int = CACHE) -> None:
         self.encode, self.dtype, self.most = encode, np.dtype(dtype), most
         self.known: dict[bytes, bytes] = {}
-        self.marks = dict(zip((b".", b","), encode([b".", b","]), strict=True))
 
     def texts(self, texts: list[str | None], step: int = 4000) -> list[bytes]:
         """The ids of each text, packed as ``dtype``."""
@@ -198,34 +217,52 @@ class Pieces:
             lower = pc.if_else(special, texts, lower)
         split = pc.ascii_split_whitespace(lower)
         words = split.flatten().dictionary_encode()
-        ids = self._ids(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
-        tokens = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        starts = np.cumsum(sizes) - sizes
-        at = words.indices.to_numpy()
-        size = sizes[at]
-        ends = np.cumsum(size)
-        source = np.repeat(starts[at] - (ends - size), size)
-        source += np.arange(len(source))
-        packed = tokens[source].tobytes()
+        tokens, starts, sizes = self._distinct(words.dictionary)
+        found, ends = _gather(tokens, starts, sizes, words.indices.to_numpy())
+        packed = found.tobytes()
         offsets = split.offsets.to_numpy()
         cuts = (np.concatenate([[0], ends])[offsets - offsets[0]] * self.dtype.itemsize).tolist()
         return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one behind the other, with the start and size of each."""
+        core = pc.utf8_rtrim(pieces, MARKS)
+        length = pc.binary_length(core).to_numpy()
+        # by the last bytes of the core: an ASCII letter or digit, or a letter of Latin-1
+        offsets = np.frombuffer(core.buffers()[1], np.int64)[core.offset : core.offset + len(core) + 1]
+        data = np.frombuffer(core.buffers()[2], np.uint8) if core.buffers()[2] is not None else np.zeros(0, np.uint8)
+        data = np.concatenate([[0, 0], data]).astype(np.uint8)
+        last, before = data[offsets[1:] + 1], data[offsets[1:]]
+        ends_well = _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        parted = (length > 0) & ends_well & (length < pc.binary_length(pieces).to_numpy())
+        core = pc.if_else(pa.array(parted), core, pieces).dictionary_encode()
+        marks = self._tails(pieces, length, parted).dictionary_encode()
+        ids = self._ids(core.dictionary.cast(pa.large_binary()).to_pylist() + marks.dictionary.cast(pa.large_binary()).to_pylist())
+        tokens = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        both = np.stack([core.indices.to_numpy(), marks.indices.to_numpy() + len(core.dictionary)], 1).reshape(-1)
+        found, ends = _gather(tokens, starts, sizes, both)
+        ends = ends[1::2]
+        return found, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, np.diff(ends, prepend=0)
+
+    @staticmethod
+    def _tails(pieces: pa.Array, length: np.ndarray, parted: np.ndarray) -> pa.Array:
+        """What follows the first ``length`` bytes of the ``parted`` pieces; nothing of the others."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        size = np.where(parted, np.diff(offsets) - length, 0)
+        tails, ends = _gather(np.frombuffer(pieces.buffers()[2], np.uint8), offsets[:-1] + length, size, np.arange(len(pieces)))
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(tails)])
+
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of distinct pieces; an empty one has none."""
-        known, marks = self.known, self.marks
+        known = self.known
         out = list(map(known.get, pieces))
-        lacking = [k for k, x in enumerate(out) if x is None]
-        core_of = {k: p[:-1] if (p := pieces[k])[-1:] in marks and p[-2:-1].isalnum() else p for k in lacking}
-        wanted = [p for p in set(core_of.values()).difference(known) if p]
-        fresh = dict(zip(wanted, self.encode(wanted), strict=True)) | {b"": b""}
+        wanted = [p for p, ids in zip(pieces, out, strict=True) if ids is None and p]
+        fresh = dict(zip(wanted, self.encode(wanted), strict=True)) if wanted else {}
         if (room := self.most - len(known)) > 0:
             known.update(islice(fresh.items(), room))
-        for k, core in core_of.items():
-            ids = fresh[core] if core in fresh else known[core]
-            out[k] = ids if core == pieces[k] else ids + marks[pieces[k][-1:]]
-        return out
+        return [fresh.get(p, b"") if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
 
 
 class Decoder:
@@ -292,7 +329,9 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+@functools.lru_cache(maxsize=2)
 def _tools(path: str) -> tuple[Pieces, Decoder]:
+    """Encoder and decoder of a tokenizer file, made once a worker."""
     v = Vocabulary(path)
     encoder = Encoder(v)
     return Pieces(lambda pieces: [array(CODES[id_type(v)], encoder.piece(p)).tobytes() for p in pieces], id_type(v)), Decoder(v)

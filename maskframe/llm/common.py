@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: The white space that separates words where a contract says ``[^\x20\x09-\x0D]+``.
 SPACE = r"\x20\x09-\x0D"
 
+#: Folders made inside each open :func:`scratch` block.
+_MADE: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
@@ -26,7 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="maskframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/maskframe-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/maskframe-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the folders that :func:`shared_dir` made inside the block: for callers that have written their result by then."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            drop_dir(spark, path)
 
 
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:

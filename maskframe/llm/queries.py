@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, decontam, licenses, neardup, pii, quality, secretscan, tokenfile, toxicity
-from .common import shared_dir, stored
+from .common import shared_dir
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -60,7 +60,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark)
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer(), out)
-    return tokenfile.with_starts(stored(tokenfile.read_tokens(spark, out, "ids_crc32 long")))
+    return tokenfile.read_tokens(spark, out, "ids_crc32 long")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

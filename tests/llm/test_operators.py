@@ -233,10 +233,11 @@ def test_variable_length_codes():
         assert (tokenfile.unpack(*tokenfile.pack(v), n) == v).all()
 
 
-def test_token_files(spark, tmp_path):
+def test_token_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 40)
     t, out = library(), f"{tmp_path}/tokens"
     tokenfile.write_tokens(docs(spark, TEXTS, start=5).orderBy(F.rand(3)), Q.tokenizer(), out)
-    got = sorted(tokenfile.with_starts(tokenfile.read_tokens(spark, out, "ids_crc32 long")).collect(), key=lambda r: r.doc_id)
+    got = sorted(tokenfile.read_tokens(spark, out, "ids_crc32 long").collect(), key=lambda r: r.doc_id)
     start = 0
     for r, text in zip(got, TEXTS, strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -246,6 +247,29 @@ def test_token_files(spark, tmp_path):
     assert ids[8] == [*t.encode("word", add_special_tokens=False).ids, 2]
 
 
+def test_starts_of_repeated_and_null_ids_agree_with_the_files(spark, tmp_path):
+    t, out = library(), f"{tmp_path}/tokens"
+    texts = ["one", "two words", "seven words make a text of some length", "x", None, "two words", "end"]
+    rows = list(zip([5, 5, 5, None, None, 5, 9], texts, strict=True))
+    tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), Q.tokenizer(), out)
+    got = sorted(tokenfile.read_tokens(spark, out).collect(), key=lambda r: r.start)
+    stream = [i for r in got for i in r.ids]
+    assert [r.doc_id for r in got] == [None, None, 5, 5, 5, 5, 9]
+    assert all(stream[r.start : r.start + r.n_tokens] == r.ids and r.ids[-1] == 2 for r in got)
+    assert sorted(r.ids for r in got) == sorted([*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts)
+
+
+def test_library_encoder_by_pieces():
+    t, e = library(), tokenfile.LibraryEncoder(Q.tokenizer())
+    rng = random.Random(12)
+    parts = ["a", "Q", "é", "É", "ß", "ÿ", "×", "÷", "Ü", "'s", "'", ".", ",", "%%%", "...", "…", "9", "x²", "e\u0301", "\u0338", "<|endoftext|>", "<|", "|>", "\u00a0", "日", "İ", "Σ", "-", "the", "ing", '"', "\\", "@", "_", "~", "\x1c", " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in bpe.Pieces(e, e.dtype).texts(texts)] == want
+    own = bpe.Encoder(bpe.Vocabulary(Q.tokenizer()))
+    assert [np.frombuffer(x, "<u2").tolist() for x in bpe.Pieces(lambda ps: [np.array(own.piece(p), "<u2").tobytes() for p in ps], "<u2").texts(texts)] == want
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     tokenfile.write_tokens(docs(spark, ["x"]).where("doc_id < 0"), Q.tokenizer(), f"{tmp_path}/tokens")
     assert tokenfile.read_tokens(spark, f"{tmp_path}/tokens").count() == 0
