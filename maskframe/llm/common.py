@@ -63,12 +63,12 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def with_keys(docs: DataFrame, repeated: bool = True) -> tuple[DataFrame, int]:
-    """``docs`` with _key, a number of the row's own that isn't null, and the largest doc_id.
+    """``docs`` as _key, a number of the row's own that isn't null, and doc, a struct of all its columns; and the largest doc_id.
 
     _key is the doc_id; rows without one (and, where ``repeated``, all but one of the
     rows that share one) get numbers beyond the largest doc_id. Only such rows are stored.
     """
-    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_key"), F.struct(*docs.columns).alias("doc"))
     top, nulls = keyed.agg(F.coalesce(F.max("_key"), F.lit(0)), F.count_if(F.col("_key").isNull())).first()
     top = max(top, 0)
     odd = keyed.where("_key IS NULL") if nulls else keyed.where("false")
@@ -84,7 +84,7 @@ def with_keys(docs: DataFrame, repeated: bool = True) -> tuple[DataFrame, int]:
     odd = stored(odd.withColumn("_row", F.monotonically_increasing_id()))
     first = odd.where("_key IS NOT NULL").groupBy("_key").agg(F.min("_row").alias("_first"))
     own = F.when(F.col("_row") == F.col("_first"), F.col("_key")).otherwise(F.col("_row") + F.lit(top + 1))
-    numbered = odd.join(first, "_key", "left").withColumn("_key", own).select(*keyed.columns)
+    numbered = odd.join(first, "_key", "left").withColumn("_key", own).select("_key", "doc")
     return keyed.where("_key IS NOT NULL").unionByName(numbered), top
 
 

@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed, top = with_keys(docs, repeated=False)
-    docs = keyed.select(F.col("_key").alias("doc_id"), "text")
+    docs = keyed.select(F.col("_key").alias("doc_id"), "doc.text")
     signed = stored(_signed(docs, words))
     classes = stored(signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "regions", "values")).alias("r")).select("digest", "r.*"))
     loose = _candidates(classes)

@@ -1,26 +1,37 @@
 """PII by bootstrapped contextual extraction.
 
-Seeds are what four fixed expressions find (e-mail, IP, card, phone). The words around
-a seed are a lexical pattern. Other runs of digit groups and other tokens that look like
-identifiers are candidate instances, known by the same patterns. Patterns and instances make a graph, scored in
-rounds: a pattern is as good as the instances that it draws in, an instance as the
-patterns that draw it in. Patterns that end above a limit, with enough different
-instances behind them, turn their remaining candidates into findings.
-
-Texts are read once. What leaves that pass is small: the spans of the seeds and, for
-each candidate, its place, shape and context. Rows of the graph are summed before they
-are shuffled; occurrences meet patterns in ordinary joins.
+Seeds are what four fixed expressions find (e-mail, IP, card, phone). Each place of a
+seed yields lexical patterns: the two words before it, the two words behind it, the word
+on either side, and the written shape of the value. Other runs of digit groups and other
+tokens that look like identifiers are candidate instances with patterns of the same
+sorts. Patterns and values make a graph, scored in rounds:
+
+- the score of a pattern for a kind is the mean belief of all different values that it
+  draws in, where a seed of the kind counts 1 and a seed of another kind 0;
+- the belief in a candidate is ``DAMPING`` times the score of its best pattern.
+
+Only patterns with ``MIN_SEEDS`` seeds of the kind take part at first. A candidate that a
+pattern at ``MIN_SCORE`` or above draws in becomes a seed itself, so its other places
+induce patterns in the next round. Values accepted after the last round are findings,
+wherever they stand.
+
+Texts are read once. What leaves that pass is small: the spans of the seeds and, for each
+candidate, its place and the hashes of its value and patterns. Edges are made distinct
+before they are shuffled; both joins of a round spread their keys over ``SALT`` parts, so
+that a value or pattern that a third of all rows share is no single task's work.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, stored, with_keys
 
 # The base expressions of the contract, made linear where they would rescan a run.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,9 +47,16 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 TRIM = "\"'()[]{}<>,;:!?."
-ROUNDS = 3
+ROUNDS = 4
 #: A pattern is accepted at this score, with this many different seed values behind it.
 MIN_SCORE, MIN_SEEDS = 0.8, 5
+#: What a step from pattern to value keeps of the score.
+DAMPING = 0.9
+#: More digits than any identifier of the four kinds has.
+MOST_DIGITS = 19
+LONG_GROUP = re.compile(r"(?<!\S)[0-9]{12,19}(?!\S)")
+#: Parts that the values of a pattern, or the patterns of a value, are spread over in joins.
+SALT = 16
 
 
 def luhn(digits: str) -> bool:
@@ -85,14 +103,44 @@ def form(token: str) -> str:
     return "at" if "@" in token else "num" if all(c.isdigit() or c in " .()+-/" for c in token) else "mix"
 
 
-def context(text: str, start: int) -> str | None:
-    """The pattern of a place: the two words before it, digits as #; None at the start of a text."""
-    left = text[max(0, start - 60) : start].lower().split()[-2:]
-    return " ".join("#" if any(c.isdigit() for c in w) else w for w in left) or None
+def shape(value: str) -> str:
+    """The written shape: letters as one a; digits as 9, each one in numbers, as one 9 elsewhere; the rest as it is."""
+    out = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", value))
+    return out if form(value) == "num" else re.sub("9+", "9", out)
+
+
+def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The patterns of each place (start, end): words before, behind and around it, in lower case with digits as #, and its shape.
+
+    White space parts words; a word that is cut by the span counts with the part outside it.
+    """
+    words = [m.span() for m in re.finditer(r"\S+", text)] if spans else []
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+
+    def plain(a: int, b: int) -> str:
+        return re.sub(r"\S*\d\S*", "#", text[a:b].lower())
+
+    out = []
+    for start, end in spans:
+        at, behind = bisect_left(begins, start), bisect_right(ends, end)
+        left = [plain(a, min(b, start)) for a, b in words[max(0, at - 2) : at]]
+        right = [plain(max(a, end), b) for a, b in words[behind : behind + 2]]
+        own = [f"= {shape(text[start:end])}"]
+        if left:
+            own.append("< " + " ".join(left))
+        if right:
+            own.append("> " + " ".join(right))
+        if left and right:
+            own.append(f"| {left[-1]} _ {right[0]}")
+        out.append(own)
+    return out
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of digit groups and tokens like identifiers that no base span touches."""
+    """Runs of digit groups and tokens like identifiers that no base span touches.
+
+    A run of more digits than any identifier has is parted at its long groups.
+    """
     out, taken = [], sorted((a, b) for _, a, b in base)
     parts, upto = [], 0
     for a, b in taken:
@@ -100,21 +148,44 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
         upto = max(upto, b)
     rest = "".join(parts) + text[upto:]  # of the same length; base spans part the runs beside them
     for m in RUN.finditer(rest):
-        if sum(c.isdigit() for c in m[0]) >= RUN_DIGITS:
-            out.append((m.start(), m.end()))
-    taken = sorted(taken + out)
+        pieces = [m.span()]
+        if sum(c.isdigit() for c in m[0]) > MOST_DIGITS:
+            pieces, at = [], m.start()
+            for g in LONG_GROUP.finditer(m[0]):
+                pieces += [(at, m.start() + g.start()), (m.start() + g.start(), m.start() + g.end())]
+                at = m.start() + g.end()
+            pieces.append((at, m.end()))
+        for a, b in pieces:
+            piece = rest[a:b]
+            a, b = a + len(piece) - len(piece.lstrip(" .-")), b - len(piece) + len(piece.rstrip(" .-"))
+            if sum(c.isdigit() for c in piece) >= RUN_DIGITS:
+                out.append((a, b))
+    taken = _disjoint(sorted(taken + out))
+    ends = [b for _, b in taken]
     for m in TOKEN.finditer(text):
         raw = m[0].strip(TRIM)
         if len(raw) < 5 or (sum(c.isdigit() for c in raw) < 3 and "@" not in raw):
             continue
         a = m.start() + m[0].index(raw)
         b = a + len(raw)
-        if not any(x < b and a < y for x, y in taken):
+        at = bisect_right(ends, a)  # the first span that ends behind the token's start
+        if at == len(taken) or taken[at][0] >= b:
             out.append((a, b))
     return sorted(out)
 
 
-FOUND = "doc_id long, base array<struct<kind:string,start:int,end:int>>, seeds array<struct<kind:string,pattern:string,form:string,value:long>>, others array<struct<start:int,end:int,pattern:string,form:string,value:long>>"
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, seeds array<struct<kind:string,value:long,patterns:array<long>>>, others array<struct<start:int,end:int,mail:boolean,value:long,patterns:array<long>>>"
 
 
 def _value(text: str) -> int:
@@ -123,57 +194,80 @@ def _value(text: str) -> int:
 
 def _find(docs: DataFrame) -> DataFrame:
     def rows(batch: dict) -> dict:
-        out: dict = {"doc_id": batch["doc_id"], "base": [], "seeds": [], "others": []}
+        out: dict = {"row": batch["row"], "doc_id": batch["doc_id"], "base": [], "seeds": [], "others": []}
         for text in batch["text"]:
             text = text or ""
             base = base_spans(text)
+            more = candidates(text, base)
+            hashed = [list(map(_value, p)) for p in patterns(text, [(a, b) for _, a, b in base] + more)]
             out["base"].append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-            out["seeds"].append([{"kind": k, "pattern": p, "form": form(text[a:b]), "value": _value(text[a:b])} for k, a, b in base if (p := context(text, a))])
-            out["others"].append([{"start": a, "end": b, "pattern": p, "form": form(text[a:b]), "value": _value(text[a:b])} for a, b in candidates(text, base) if (p := context(text, a))])
+            out["seeds"].append([{"kind": k, "value": _value(text[a:b]), "patterns": p} for (k, a, b), p in zip(base, hashed, strict=False)])
+            out["others"].append([{"start": a, "end": b, "mail": "@" in text[a:b], "value": _value(text[a:b]), "patterns": p} for (a, b), p in zip(more, hashed[len(base) :], strict=True)])
         return out
 
     return map_rows(docs, rows, FOUND)
 
 
-def score_patterns(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, pattern, form, n_seeds, score: the graph's patterns after some rounds.
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)))
 
-    ``seeds`` has kind, pattern, form, value; ``others`` has pattern, form, value. An
-    instance counts once a pattern, however often it occurs. The score of a pattern for
-    a kind is the weight of what it draws in, seeds of that kind at 1, by the number of
-    all instances that it draws in; an instance of another source weighs what its best
-    pattern scored in the round before, and counts for a kind only in that kind's form.
+
+def _spread(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+
+
+def score_values(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """kind, value, belief: the candidate values that are accepted after some rounds, each for its best kind.
+
+    ``seeds`` has kind, pattern, value; ``others`` has pattern, value, mail. A value counts
+    once a pattern, however often it occurs. A value with an at sign can be an e-mail only,
+    and no other value can. A value that is a seed anywhere is a seed of that kind, never a
+    candidate. On ties the kind first by name is taken.
     """
-    seeds = stored(seeds.groupBy("kind", "pattern", "value").agg(F.first("form").alias("form")))
-    others = stored(others.groupBy("pattern", "value").agg(F.first("form").alias("form")))
-    drawn = seeds.select("pattern").unionByName(others.select("pattern")).groupBy("pattern").agg(F.count("*").alias("n_all"))
-    strong = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= MIN_SEEDS).join(drawn, "pattern")
-    of_kind = F.when(F.col("kind") == "email", "at").otherwise("num")
-    edges = stored(others.join(strong, "pattern").where(F.col("form") == of_kind))
-    weight = edges.select("kind", "value").distinct().withColumn("weight", F.lit(0.0))
+    seeds, others = stored(seeds.distinct()), stored(others.distinct())
+    # of each value one row meets here, so nothing needs to be spread; seeds among the candidates are few
+    both = others.select("value").distinct().join(seeds.select("value").distinct(), "value", "left_semi")
+    edges = stored(_salted(others, "pattern").join(_spread(both), ["value", "salt"], "left_anti").select("pattern", "value", "mail"))
+    drawn = stored(seeds.select("pattern", "value").distinct().select("pattern").unionByName(edges.select("pattern")).groupBy("pattern").agg(F.count("*").alias("n_all")))
+    first = stored(seeds.groupBy("kind", "pattern").agg(F.count("*").alias("n_seeds")))
+    belief = None
     for _ in range(rounds):
-        gain = edges.join(weight, ["kind", "value"]).groupBy("kind", "pattern", "form", "n_seeds", "n_all").agg(F.sum("weight").alias("gain"))
-        scores = stored(gain.select("kind", "pattern", "form", "n_seeds", ((F.col("n_seeds") + F.col("gain")) / F.col("n_all")).alias("score")))
-        weight = edges.join(scores.select("kind", "pattern", "score"), ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("score").alias("weight"))
-    return scores
+        if belief is None:
+            held = first.select("kind", "pattern", "n_seeds", F.col("n_seeds").cast("double").alias("weight"))
+        else:
+            reached = _salted(edges.select("pattern", "value"), "pattern").join(_spread(belief), ["value", "salt"])
+            gain = reached.groupBy("kind", "pattern").agg(F.count_if("accepted").alias("more"), F.sum("belief").alias("gain"))
+            all_weights = first.join(gain, ["kind", "pattern"], "full")
+            held = all_weights.select("kind", "pattern", (F.coalesce("n_seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_seeds"), (F.coalesce("n_seeds", F.lit(0)) + F.coalesce("gain", F.lit(0.0))).alias("weight"))
+        scores = stored(held.where(F.col("n_seeds") >= MIN_SEEDS).join(drawn, "pattern").select("kind", "pattern", (F.col("weight") / F.col("n_all")).alias("score")))
+        fits = (F.col("kind") == "email") == F.col("mail")
+        best = _salted(edges, "value").join(_spread(scores), ["pattern", "salt"]).where(fits).groupBy("kind", "value").agg(F.max("score").alias("score"))
+        belief = stored(best.select("kind", "value", (F.lit(DAMPING) * F.col("score")).alias("belief"), (F.col("score") >= MIN_SCORE).alias("accepted")))
+    good = belief.where("accepted")
+    return good.groupBy("value").agg(F.min(F.struct((-F.col("belief")).alias("b"), "kind")).alias("m")).select("m.kind", "value", (-F.col("m.b")).alias("belief"))
+
+
+def _found(docs: DataFrame, rounds: int) -> DataFrame:
+    """row, doc_id, base and added for each row of ``docs`` (row, doc_id, text)."""
+    found = stored(_find(docs))
+    seeds = found.select(F.explode("seeds").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
+    places = found.select("row", F.explode("others").alias("o")).select("row", "o.*")
+    good = score_values(seeds, places.select(F.explode("patterns").alias("pattern"), "value", "mail"), rounds)
+    hits = _salted(places.select("row", "start", "end", "value"), "row").join(_spread(good.select("kind", "value")), ["value", "salt"])
+    added = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return found.select("row", "doc_id", "base").join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` spans (arrays of kind, start, end in code points) of every whole text.
 
-    A null or empty text has none. Rows of equal doc_id get the same added spans only if
-    their texts are equal as well. An empty table gives an empty one; further columns
-    are ignored.
+    A null or empty text has none. Every row is judged by itself, whatever its doc_id: null
+    and repeated ids keep all their rows, and rows of equal text have equal spans. An empty
+    table gives an empty one; further columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(_find(docs).withColumn("row", F.monotonically_increasing_id()))
-    seeds = found.select(F.explode("seeds").alias("s")).select("s.*")
-    places = found.select("row", F.explode("others").alias("o")).select("row", "o.*")
-    good = score_patterns(seeds, places, rounds).where(F.col("score") >= MIN_SCORE)
-    best = good.groupBy("pattern", "form").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    added = places.join(best, ["pattern", "form"]).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return found.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _found(rows, rounds).select("doc_id", "base", "added")
 
 
 def _listed(spans: F.Column) -> F.Column:
@@ -182,24 +276,43 @@ def _listed(spans: F.Column) -> F.Column:
 
 
 def digest_pii(docs: DataFrame) -> DataFrame:
-    """The counts and the digest of the base spans, and all spans as text."""
+    """The counts and the digest of the base spans, all spans as text, and how many spans there are and were added."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return find_pii(docs).select(
-        "doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added")
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 
-def mask_pii(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text (by doc_id) replaced by its kind in brackets; n_chars follows the new text."""
-    mask = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+def masked_text(text: str, spans: list[dict]) -> str:
+    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first by start, then end, kind."""
+    out, upto = [], 0
+    for a, b, kind in sorted((s["start"], s["end"], s["kind"]) for s in spans):
+        if a >= upto:
+            out += [text[upto:a], f"[{kind.upper()}]"]
+        upto = max(upto, b)
+    return "".join(out) + text[upto:]
+
 
-    def step(acc: F.Column, s: F.Column) -> F.Column:
-        put = F.concat(acc["out"], F.substr(text, acc["upto"] + 1, s["start"] - acc["upto"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["upto"], F.struct(put.alias("out"), s["end"].alias("upto"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["upto"], s["end"]).alias("upto")))
+def mask_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with every finding in its text replaced by its kind in brackets; n_chars, where it is a column, follows the new text.
 
-    masked = F.aggregate(F.col("_spans"), begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["upto"] + 1, F.length(text))))
-    touched = spans.select("doc_id", mask.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["doc_id"])
-    new = docs.join(touched, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text"))).drop("_spans")
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else new.select(*docs.columns)
+    Spans meet their row by a number of the row's own, so rows of null and repeated doc_ids
+    are masked by their own spans. Null texts stay null; all columns are kept as they are.
+    """
+    keyed, _ = with_keys(docs)
+    spans = _found(keyed.select(F.col("_key").alias("row"), F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")), rounds)
+    touched = spans.select(F.col("row").alias("_key"), F.concat("base", "added").alias("spans")).where(F.size("spans") > 0)
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or t is None else masked_text(t, list(s)) for t, s in zip(texts, found, strict=True)], dtype=object)
+
+    own = F.col("doc.text").cast("string")
+    new = keyed.join(touched, "_key", "left").select("doc", F.when(F.col("spans").isNull(), own).otherwise(mask(own, "spans")).alias("masked"))
+    put = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return new.select(*[(put[c] if c in put else F.col("doc")[c]).alias(c) for c in docs.columns])

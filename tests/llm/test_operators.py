@@ -78,7 +78,7 @@ def test_contexts_find_unseen_identifiers(spark):
     got = {r.doc_id: r.spans for r in pii.digest_pii(docs(spark, texts)).collect()}
     assert got[12] == f"card:26:{26 + len(bad)}"
     assert got[13] == "" and got[14] == ""
-    masked = {r.doc_id: r.text for r in pii.mask_pii(docs(spark, texts), pii.find_pii(docs(spark, texts))).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs(spark, texts)).collect()}
     assert masked[0] == "please charge card number [CARD] today" and masked[13] == texts[13]
 
 
@@ -94,6 +94,87 @@ def test_contexts_find_identifiers_of_several_groups(spark):
     assert pii.candidates("10.0.0.1 4111 1111 1111 1112", [("ip", 0, 8)]) == [(9, 28)]
 
 
+def brute_scores(texts, rounds=pii.ROUNDS):
+    """kind of each accepted value, by dictionaries over all texts."""
+    seeds, others = set(), set()
+    for t in texts:
+        base = brute_pii(t or "")
+        more = pii.candidates(t or "", base)
+        for (k, a, b), ps in zip(base, pii.patterns(t or "", [x[1:] for x in base]), strict=True):
+            seeds |= {(k, p, t[a:b]) for p in ps}
+        for (a, b), ps in zip(more, pii.patterns(t or "", more), strict=True):
+            others |= {(p, t[a:b]) for p in ps}
+    own = {v for _, _, v in seeds}
+    edges = {(p, v) for p, v in others if v not in own}
+    drawn = {}
+    for p, v in {(p, v) for _, p, v in seeds} | edges:
+        drawn[p] = drawn.get(p, 0) + 1
+    belief = {}
+    for _ in range(rounds):
+        scores = {}
+        for kind in pii.KINDS:
+            for p, n in drawn.items():
+                first = len({v for k, q, v in seeds if (k, q) == (kind, p)})
+                reached = [belief[kind, v] for q, v in edges if q == p and (kind, v) in belief]
+                if first + sum(ok for _, ok in reached) >= pii.MIN_SEEDS:
+                    scores[kind, p] = (first + sum(b for b, _ in reached)) / n
+        best = {}
+        for (kind, p), s in scores.items():
+            for q, v in edges:
+                if p == q and (kind == "email") == ("@" in v):
+                    best[kind, v] = max(best.get((kind, v), 0), s)
+        belief = {x: (pii.DAMPING * s, s >= pii.MIN_SCORE) for x, s in best.items()}
+    out = {}
+    for (kind, v), (b, ok) in sorted(belief.items(), key=lambda x: (-x[1][0], x[0][0])):
+        if ok:
+            out.setdefault(v, kind)
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(160):
+        kind = rng.choice(("card", "card", "card", "bad", "phone", "mail", "mail", "mail", "host", "year", "code"))
+        value = {"card": luhn_number(k), "bad": luhn_number(k)[:-1] + "x", "phone": f"+1 (269) 555-{3000 + k}", "mail": f"u{k}@m.example", "host": f"u{k}@m", "year": f"2024{k:04d}", "code": f"AB-{k}77-X"}[kind]
+        own = {"card": "pay with card", "bad": "pay with card", "phone": "please call", "mail": "write to", "host": "write to"}.get(kind, "")
+        left = own if rng.random() < 0.9 else rng.choice(("card number", "please call", "", "year"))
+        texts.append(f"{left} {value} {rng.choice(('today', 'now please', '', 'or later'))}".strip())
+    want = brute_scores(texts)
+    assert 0 < len(want)
+    got = {r.doc_id: r.spans for r in pii.digest_pii(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        base = brute_pii(t)
+        added = [(want[t[a:b]], a, b) for a, b in pii.candidates(t, base) if t[a:b] in want]
+        spans = sorted(base + added, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert got[k] == ",".join(f"{x}:{a}:{b}" for x, a, b in spans)
+
+
+def test_accepted_values_induce_patterns(spark):
+    """Values that one pattern accepts carry another pattern, which then finds what no seed stands beside."""
+    first = [f"charge card {luhn_number(1000 + k)} at once" for k in range(40)]
+    bad = [f"77-{k:02d}-AB-{k * 37:05d}" for k in range(8)]
+    linked = [f"charge card {v} x" for v in bad[:7]]
+    second = [f"{'abcdefgh'[k]} under ticket reference {v}" for k, v in enumerate(bad)]
+    texts = [*first, *linked, *second, "nothing here 12345-AB"]
+    got = {r.doc_id: r.spans for r in pii.digest_pii(docs(spark, texts)).collect()}
+    assert got[len(texts) - 2] == f"card:25:{25 + len(bad[7])}"
+    assert got[len(texts) - 1] == ""
+
+
+def test_long_contexts_and_candidates_are_whole(spark):
+    word, token = "w" * 500, "Q" + "7" * 300
+    texts = [f"{word} number {luhn_number(k)}" for k in range(8)] + [f"{word} number {token}", f"number {token}z"]
+    got = {r.doc_id: r.spans for r in pii.digest_pii(docs(spark, texts)).collect()}
+    assert got[8] == f"card:508:{508 + len(token)}" and got[9] == ""
+
+
+def test_masks_of_repeated_and_null_ids(spark):
+    d = spark.createDataFrame([(1, "mail a@b.example now", 5), (1, "other text with longer tail c@d.example", 6), (None, "x@y.example", 7), (None, None, 8), (2, "", 9)], "doc_id long, text string, _spans int")
+    got = sorted((r._spans, r.text) for r in pii.mask_pii(d.withColumn("row", F.lit(3))).collect())
+    assert got == [(5, "mail [EMAIL] now"), (6, "other text with longer tail [EMAIL]"), (7, "[EMAIL]"), (8, None), (9, "")]
+
+
 # 2 quality
 
 
