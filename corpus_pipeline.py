@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.llm import bpe, decontam, neardup, pii, quality
-from maskframe.llm.common import shared_dir, with_keys
+from maskframe.llm.common import scratch, shared_dir, with_keys
 from maskframe.llm.queries import table, tokenizer
 
 
@@ -24,21 +24,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
     keyed, _ = with_keys(docs)
-    kept = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    kept = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "doc.text")).where("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select("doc.*")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     keyed, _ = with_keys(docs)
-    found = decontam.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(F.col("doc_id").alias("_key"))
-    return keyed.join(found, "_key", "left_semi").select(*docs.columns)
+    found = decontam.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "doc.text"), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(found, "_key", "left_semi").select("doc.*")
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked by kind."""
-    keyed = with_keys(docs)[0].withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.col("_key"))
-    return pii.mask_pii(keyed, pii.find_pii(keyed)).withColumn("doc_id", F.col("_id")).select(*docs.columns)
+    return pii.mask_pii(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        with scratch(spark):  # what a stage stored on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     return docs
