@@ -59,7 +59,14 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete what :func:`stored` wrote for ``df``, once nothing reads it any more."""
+    drop_dir(df.sparkSession, df._stored_at)
 
 
 def with_keys(docs: DataFrame, repeated: bool = True) -> tuple[DataFrame, int]:

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
+
+#: A node with more neighbours than this and than its share of all links is a hub; there are at most 2 * ``HUBS`` of them.
+HUB_LINKS, HUBS = 1000, 50_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``edges`` (u, v) with ``least`` of u, from a table of u, n (its neighbours) and least.
+
+    No key of the join has more than ``most`` rows: hubs meet their rows by a broadcast,
+    which is small whatever the input, as ``most`` is at least the number of links by ``HUBS``.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.col("least").alias("_of_hub")))
+    tagged = edges.join(hubs, "u", "left")
+    others = tagged.where("_of_hub IS NULL").select("u", "v").join(least.where(F.col("n") <= most).select("u", "least"), "u")
+    return tagged.where("_of_hub IS NOT NULL").select("u", "v", F.col("_of_hub").alias("least")).unionByName(others)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,21 +28,24 @@ def components(links: DataFrame) -> DataFrame:
 
     A round hangs each node's larger neighbours on its smallest one and then its smaller
     ones, by an aggregate and a join, so no node's neighbours are ever gathered. Rounds
-    go on until the table of links no longer changes; each is stored in the shared folder.
+    go on until the table of links no longer changes; each is stored in the shared folder
+    and the one before it deleted.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stored(edges)
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before or now[0] == 0:
             break
         before = tuple(now)
+        most = max(HUB_LINKS, now[0] // HUBS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        large = stored(large)
-        first = large.groupBy("u").agg(F.min("v").alias("least"))
-        small = large.join(first, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stored(small)
+        least = stored(both.groupBy("u").agg(F.count("*").alias("n"), F.least("u", F.min("v")).alias("least")))
+        large = stored(_with_least(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, most).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct())
+        first = stored(large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("least")))
+        pairs = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v"))))
+        small = stored(_with_least(large, first, most).select(pairs.alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        for old in (edges, least, large, first):
+            drop_stored(old)
+        edges = small
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

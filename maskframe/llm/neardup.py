@@ -355,11 +355,13 @@ def _across(texts: DataFrame, inner: DataFrame, words: int, percent: int, block_
     largest = counts.groupBy("component").agg(F.max(F.struct("n", "group")).alias("m")).select("component", F.col("m.group").alias("largest"))
     state = so_far.join(largest, "component")
     outside = state.where("group <> largest")
-    # those outside the largest component meet every block of their candidate, those in it stay in their own block
-    asked = outside.select("component", "blocks", "block", "group", "doc_id").withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = asked.select("component", F.col("block").alias("asking"), F.col("part").alias("block"), "group", "doc_id")
-    askers = outside.select("component", F.col("block").alias("asking")).distinct()
-    others = state.select("component", "block", "group", "doc_id").join(askers, "component").select("component", "asking", "block", "group", "doc_id")
+    # Those outside the largest component are dealt into parts of their own; each part meets every block of its
+    # candidate once, so a block's texts are sent as often as there are parts, however the outsiders lie.
+    outside = state.where("group <> largest")
+    parts = outside.groupBy("component").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
+    dealt = outside.join(parts, "component").select("component", "blocks", "group", "doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.col("parts")).cast("int").alias("asking"))
+    rows = dealt.select("component", "asking", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "group", "doc_id")
+    others = state.join(parts, "component").select("component", F.explode(F.expr("sequence(0, parts - 1)")).alias("asking"), "block", "group", "doc_id")
     pairs = rows.unionByName(others).distinct().join(texts.select("doc_id", "text"), "doc_id")
     return found.unionByName(_blocks(pairs, ["component", "asking", "block"], words, percent, known=True).select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
 

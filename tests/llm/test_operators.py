@@ -245,6 +245,22 @@ def test_pairs_far_apart_in_a_region_larger_than_a_run(spark):
     assert got == {k: k % n for k in range(2 * n)}
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from maskframe.llm import components as K
+
+    monkeypatch.setattr(K, "HUB_LINKS", hub)
+    rng = random.Random(hub)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(7, k) for k in range(400, 440)] + [(k, k + 1) for k in range(500, 540)]
+    label = {x: x for e in links for x in e}
+    for _ in range(60):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in K.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert got == {k: v for k, v in label.items() if k not in alone}
+
+
 # 4 decontamination
 
 
@@ -389,10 +405,11 @@ def test_toxicity_without_labels(spark):
 def test_reply_trees(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good \\h ### </turn>\n", 0.9), (1, 4, 3, "user", "thanks", 0.5), (1, 5, 2, "user", "hm", 0.2), (2, 1, 99, "u:x", None, None), (3, 1, 2, "user", "loop", 1.0), (3, 2, 1, "user", "loop", 1.0), (4, 1, None, "user", "a", 1.0), (4, 1, None, "user", "b", 1.0), (4, 2, 1, "assistant", "c", 1.0)]
     nodes = spark.createDataFrame(rows, "tree int, node int, parent int, role string, text string, score double")
-    best = chat.read_chats(chat.format_paths(chat.best_paths(nodes))).collect()
+    best = chat.read_chats(chat.format_trees(nodes)).collect()
     got = {r.tree: [(t.role, t.text) for t in r.turns] for r in best}
     assert got == {1: [("user", "q"), ("assistant", "good \\h ### </turn>\n"), ("user", "thanks")], 2: [("u:x", "")], 4: [("user", "a"), ("assistant", "c")]}
     assert next(r.trained for r in best if r.tree == 1) == ["good \\h ### </turn>\n"]
+    assert sorted(r.chat for r in chat.format_paths(chat.best_paths(nodes)).collect()) == sorted(r.chat for r in best)
     everything = chat.best_paths(nodes, per_tree=None).groupBy("tree", "leaf", "leaf_copy").count()
     assert sorted((r.tree, r.leaf) for r in everything.collect()) == [(1, 4), (1, 5), (2, 1), (4, 1), (4, 2)]
 
