@@ -49,6 +49,8 @@ AGREE = 40
 RUN = 512
 #: Documents on each side of a block of a region that is larger than a run.
 SIDE = 4096
+#: Parts that the members of a region are spread over where they meet the region's own row.
+SALT = 32
 #: Most documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 
@@ -217,7 +219,9 @@ def _large(named: DataFrame, so_far: DataFrame, classes: DataFrame) -> DataFrame
     counts = members.groupBy("tree", "region", "group").agg(F.count("*").alias("n"))
     open_regions = counts.groupBy("tree", "region").agg(F.max(F.struct("n", "group")).alias("m"), F.count("*").alias("groups"), F.sum("n").alias("all")).where("groups > 1")
     deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(n / SIDE)).cast("int")
-    state = members.join(open_regions.select("tree", "region", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"), "all"), ["tree", "region"])
+    # one region may hold a third of all members: they meet its row in parts
+    spread = open_regions.select("tree", "region", F.col("m.group").alias("largest"), (F.col("all") - F.col("m.n")).alias("outside"), "all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    state = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALT))).join(spread, ["tree", "region", "salt"]).drop("salt")
     state = stored(state.join(classes.select("doc_id", "values"), "doc_id").withColumns({"asks": F.col("group") != F.col("largest"), "block": deal(F.col("all"), "block"), "part": deal(F.col("outside"), "part")}))
     if not state.limit(1).count():
         return None
