@@ -95,6 +95,20 @@ def with_keys(docs: DataFrame, repeated: bool = True) -> tuple[DataFrame, int]:
     return keyed.where("_key IS NOT NULL").unionByName(numbered), top
 
 
+#: Parts that the rows of one key are spread over in joins with a smaller side.
+SALT = 16
+
+
+def salted(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with a part number (``salt``) from the hash of ``by``: the side of a join where one key may have many rows."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Each row of ``df`` once for every part of :func:`salted`: the smaller side of the join."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+
+
 def map_rows(df: DataFrame, rows: Callable[[dict], Iterator[dict] | dict], schema: str, setup: Callable | None = None) -> DataFrame:
     """``rows`` over whole Arrow batches as dicts of lists; ``setup`` runs once a task and its result is the second argument."""
     from pyspark.sql.types import StructType

@@ -17,7 +17,7 @@ wherever they stand.
 
 Texts are read once. What leaves that pass is small: the spans of the seeds and, for each
 candidate, its place and the hashes of its value and patterns. Edges are made distinct
-before they are shuffled; both joins of a round spread their keys over ``SALT`` parts, so
+before they are shuffled; both joins of a round spread their keys over parts, so
 that a value or pattern that a third of all rows share is no single task's work.
 """
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, with_keys
+from .common import map_rows, salted, spread, stored, with_keys
 
 # The base expressions of the contract, made linear where they would rescan a run.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -55,8 +55,6 @@ DAMPING = 0.9
 #: More digits than any identifier of the four kinds has.
 MOST_DIGITS = 19
 LONG_GROUP = re.compile(r"(?<!\S)[0-9]{12,19}(?!\S)")
-#: Parts that the values of a pattern, or the patterns of a value, are spread over in joins.
-SALT = 16
 
 
 def luhn(digits: str) -> bool:
@@ -208,14 +206,6 @@ def _find(docs: DataFrame) -> DataFrame:
     return map_rows(docs, rows, FOUND)
 
 
-def _salted(df: DataFrame, by: str) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)))
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-
-
 def score_values(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """kind, value, belief: the candidate values that are accepted after some rounds, each for its best kind.
 
@@ -227,7 +217,7 @@ def score_values(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> D
     seeds, others = stored(seeds.distinct()), stored(others.distinct())
     # of each value one row meets here, so nothing needs to be spread; seeds among the candidates are few
     both = others.select("value").distinct().join(seeds.select("value").distinct(), "value", "left_semi")
-    edges = stored(_salted(others, "pattern").join(_spread(both), ["value", "salt"], "left_anti").select("pattern", "value", "mail"))
+    edges = stored(salted(others, "pattern").join(spread(both), ["value", "salt"], "left_anti").select("pattern", "value", "mail"))
     drawn = stored(seeds.select("pattern", "value").distinct().select("pattern").unionByName(edges.select("pattern")).groupBy("pattern").agg(F.count("*").alias("n_all")))
     first = stored(seeds.groupBy("kind", "pattern").agg(F.count("*").alias("n_seeds")))
     belief = None
@@ -235,13 +225,13 @@ def score_values(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> D
         if belief is None:
             held = first.select("kind", "pattern", "n_seeds", F.col("n_seeds").cast("double").alias("weight"))
         else:
-            reached = _salted(edges.select("pattern", "value"), "pattern").join(_spread(belief), ["value", "salt"])
+            reached = salted(edges.select("pattern", "value"), "pattern").join(spread(belief), ["value", "salt"])
             gain = reached.groupBy("kind", "pattern").agg(F.count_if("accepted").alias("more"), F.sum("belief").alias("gain"))
             all_weights = first.join(gain, ["kind", "pattern"], "full")
             held = all_weights.select("kind", "pattern", (F.coalesce("n_seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_seeds"), (F.coalesce("n_seeds", F.lit(0)) + F.coalesce("gain", F.lit(0.0))).alias("weight"))
         scores = stored(held.where(F.col("n_seeds") >= MIN_SEEDS).join(drawn, "pattern").select("kind", "pattern", (F.col("weight") / F.col("n_all")).alias("score")))
         fits = (F.col("kind") == "email") == F.col("mail")
-        best = _salted(edges, "value").join(_spread(scores), ["pattern", "salt"]).where(fits).groupBy("kind", "value").agg(F.max("score").alias("score"))
+        best = salted(edges, "value").join(spread(scores), ["pattern", "salt"]).where(fits).groupBy("kind", "value").agg(F.max("score").alias("score"))
         belief = stored(best.select("kind", "value", (F.lit(DAMPING) * F.col("score")).alias("belief"), (F.col("score") >= MIN_SCORE).alias("accepted")))
     good = belief.where("accepted")
     return good.groupBy("value").agg(F.min(F.struct((-F.col("belief")).alias("b"), "kind")).alias("m")).select("m.kind", "value", (-F.col("m.b")).alias("belief"))
@@ -253,7 +243,7 @@ def _found(docs: DataFrame, rounds: int) -> DataFrame:
     seeds = found.select(F.explode("seeds").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     places = found.select("row", F.explode("others").alias("o")).select("row", "o.*")
     good = score_values(seeds, places.select(F.explode("patterns").alias("pattern"), "value", "mail"), rounds)
-    hits = _salted(places.select("row", "start", "end", "value"), "row").join(_spread(good.select("kind", "value")), ["value", "salt"])
+    hits = salted(places.select("row", "start", "end", "value"), "row").join(spread(good.select("kind", "value")), ["value", "salt"])
     added = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.select("row", "doc_id", "base").join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
