@@ -6,18 +6,22 @@ second person, shares of capitals, exclamation and question marks, digits and sy
 inside words (obfuscation), repeated words, and length. The features of every row come
 from one pass over its whole text; the model is Spark ML's.
 
-The labelled rows are dealt into three parts by a hash of the id: the lexicons come
-from the first, the trees from the second and the calibration from the third, so none
-of them is judged on rows that an earlier one has seen. Each part takes at most
-``SAMPLE`` rows, in the order of that hash: the bound of the fitting sample.
+Everything is cross-fitted: the labelled rows are dealt into ``FOLDS`` folds by a hash of
+the id, a row's features come from lexicons of the other folds, and the raw scores that
+the calibration learns from come from trees that have not seen the row's fold. The
+lexicons and trees that score all documents learn from all of the sample, which takes at
+most ``SAMPLE`` rows, in the order of that hash: its documented bound. Nothing here is
+drawn at random, so equal input gives equal scores; of labels that contradict each other
+for one doc_id the toxic one counts, of several texts with one doc_id the first.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
-#: Labelled rows that each of the three parts uses at most.
-SAMPLE = 4000
+#: Labelled rows that are learned from at most.
+SAMPLE = 12_000
+FOLDS = 3
 #: Terms of each lexicon at most, and how many positive rows must hold a term.
 TERMS, SUPPORT = 400, 4
 LIMIT = 0.7
@@ -78,7 +83,10 @@ def features(text: str, words: dict[str, float], beginnings: dict[str, float]) -
     return [len(hits) / n, partly / n, weight / n, near / n, sum(map(str.isupper, text)) / letters, text.count("!") / letters, text.count("?") / letters, symbols / letters, (hidden + odd) / n, repeats / n, math.log1p(len(all_words))]
 
 
-def _lexicons(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+Lexicons = tuple[dict[str, float], dict[str, float]]
+
+
+def _lexicons(rows: DataFrame) -> Lexicons:
     """Terms of toxic rows with their log-odds: words, and beginnings of four letters; bounded by ``TERMS`` each."""
 
     def terms(batch: dict) -> dict:
@@ -97,16 +105,25 @@ def _lexicons(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     return out
 
 
-def _featured(docs: DataFrame, words: dict, beginnings: dict, keep: str = "") -> DataFrame:
-    """doc_id, the ``keep`` columns as DDL, and one double for each feature."""
-    kept = [c.split()[0] for c in keep.split(",") if c]
+def _featured(docs: DataFrame, lexicons: list[Lexicons], keep: str = "") -> DataFrame:
+    """The ``keep`` columns as DDL and one double for each feature; a column ``fold`` says which of the lexicons a row takes."""
+    kept = [c.split()[0] for c in keep.split(",")]
 
     def rows(batch: dict) -> dict:
-        made = [features(t or "", words, beginnings) for t in batch["text"]]
-        return {"doc_id": batch["doc_id"]} | {k: batch[k] for k in kept} | {f: [m[i] for m in made] for i, f in enumerate(FEATURES)}
+        made = [features(t or "", *lexicons[k]) for t, k in zip(batch["text"], batch["fold"], strict=True)]
+        return {k: batch[k] for k in kept} | {f: [m[i] for m in made] for i, f in enumerate(FEATURES)}
+
+    ddl = keep + ", " + ", ".join(f"{f} double" for f in FEATURES)
+    return map_rows(docs.select(*dict.fromkeys([*kept, "fold", "text"])), rows, ddl)
+
+
+def _vector(df: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
+
 
-    ddl = "doc_id long, " + (keep + ", " if keep else "") + ", ".join(f"{f} double" for f in FEATURES)
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(map_rows(docs.select("doc_id", *kept, "text"), rows, ddl))
+def _trees(rows: DataFrame) -> GBTClassificationModel:
+    trees = GBTClassifier(labelCol="toxic", maxIter=15, maxDepth=4, stepSize=0.3, seed=7, minInstancesPerNode=5)
+    return trees.fit(rows.coalesce(2).sortWithinPartitions("doc_id"))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -117,32 +134,32 @@ def held_out(doc_id: F.Column) -> F.Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 at ``LIMIT`` or more) for every row of ``docs`` (doc_id, text).
 
-    ``labels`` has doc_id and toxic; held-out rows and null labels are not used. Null and
-    empty texts get a score as well. Where the labels show one class only, that class is
-    the score of all. Repeated rows and further columns need no care; an empty table
-    gives an empty one.
+    ``labels`` has doc_id and toxic; held-out rows, null labels and labels of null doc_ids
+    are not used. Null and empty texts get a score as well, and so do rows of null doc_ids.
+    Where the labels show one class only, that class is the score of all, 0 where there are
+    none. Repeated rows and further columns need no care; an empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    part = F.pmod(order, F.lit(3))
-    chosen = usable.where(part == 0).orderBy(order).limit(sample)
-    for k in (1, 2):
-        chosen = chosen.unionByName(usable.where(part == k).orderBy(order).limit(sample))
-    labelled = stored(docs.join(F.broadcast(chosen.withColumn("part", part.cast("int"))), "doc_id").dropDuplicates(["doc_id"]))  # 3 * sample ids at most
-    known = {(r.part, r.toxic): r.n for r in labelled.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-    if not all(known.get((k, y)) for k in range(3) for y in (0, 1)):
-        pos = sum(n for (_, y), n in known.items() if y)
-        constant = 1.0 if pos and pos == sum(known.values()) else 0.0
+    chosen = usable.orderBy(order, "doc_id").limit(sample).withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int"))
+    # as many ids as the sample at most
+    labelled = stored(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")))
+    known = {(r.fold, r.toxic): r.n for r in labelled.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    both = [sum(n for (_, y), n in known.items() if y == label) for label in (0, 1)]
+    if not all(both):
+        constant = 1.0 if both[1] else 0.0
         return own.select("doc_id", "held_out", F.lit(constant).alias("score"), F.lit(int(constant >= LIMIT)).alias("predicted"))
-    words, beginnings = _lexicons(labelled.where("part = 0"))
-    ready = stored(_featured(labelled, words, beginnings, "toxic int, part int").select("toxic", "part", *FEATURES))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(ready)
-    trees = GBTClassifier(labelCol="toxic", maxIter=15, maxDepth=4, stepSize=0.3, seed=7, minInstancesPerNode=5).fit(ready.where("part = 1").coalesce(2).cache())
+    # a fold is scored by the others if those have rows of both classes; else, with few labels, by all
+    others = [F.col("fold") != k if all(sum(n for (j, y), n in known.items() if y == label and j != k) for label in (0, 1)) else F.lit(True) for k in range(FOLDS)]
+    lexicons = [*(_lexicons(labelled.where(o)) for o in others), _lexicons(labelled)]
+    kept = stored(_featured(labelled, lexicons, "doc_id long, toxic int, fold int"))
+    ready = _vector(kept)
     chance = vector_to_array("probability")[1]
-    third = trees.transform(ready.where("part = 2")).select("toxic", chance.alias("raw"))
-    curve = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(third.coalesce(2))
-    scored = curve.transform(trees.transform(_featured(own, words, beginnings, "held_out boolean")).select("doc_id", "held_out", chance.alias("raw")))
+    raw = reduce(DataFrame.unionByName, (_trees(ready.where(o)).transform(ready.where(F.col("fold") == k)).select("doc_id", "toxic", chance.alias("raw")) for k, o in enumerate(others)))
+    curve = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(raw.coalesce(2))
+    every = _vector(_featured(own.withColumn("fold", F.lit(FOLDS)), lexicons, "doc_id long, held_out boolean"))
+    scored = curve.transform(_trees(ready).transform(every).select("doc_id", "held_out", chance.alias("raw")))
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= LIMIT).cast("int").alias("predicted"))

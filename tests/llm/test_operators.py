@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -394,6 +395,69 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == labels[r.doc_id][1] for r in held) >= 0.95 * len(held)
 
 
+def brute_features(text, words, beginnings):
+    edge = "\"'()[]{}<>,;:!?.*#$%&|-_"
+    ws = [w.strip(edge) for w in text.lower().split() if w.strip(edge)]
+    leet = dict(zip("013457@$!", "oieastasi", strict=True))
+    hits, partly, weight, hidden = [], 0, 0.0, 0
+    for k, w in enumerate(ws):
+        bare = re.sub(r"(.)\1{2,}", r"\1", "".join(c for c in (w if w.isalpha() else "".join(leet.get(c, c) for c in w)) if c.isalnum()))
+        if w in words or (not w.isalpha() and bare in words):
+            hidden += w not in words
+            hits.append(k)
+            weight += words.get(w, words.get(bare, 0))
+        if w[:4] in beginnings:
+            partly += 1
+            weight += beginnings[w[:4]]
+    you = [k for k, w in enumerate(ws) if w in toxicity.YOU]
+    near = sum(any(abs(k - y) <= 5 for y in you) for k in hits)
+    odd = sum(any(c.isdigit() for c in w) and any(c.isalpha() for c in w) for w in ws)
+    n, chars = max(1, len(ws)), max(1, len(text))
+    same = sum(ws[k] == ws[k + 1] for k in range(len(ws) - 1))
+    return [len(hits) / n, partly / n, weight / n, near / n, sum(c.isupper() for c in text) / chars, text.count("!") / chars, text.count("?") / chars, sum(c in "#*$%&|<>" for c in text) / chars, (hidden + odd) / n, same / n, np.log(1 + len(ws))]
+
+
+def test_toxicity_features_by_brute_force():
+    rng = random.Random(31)
+    words, beginnings = {"idiot": 4.0, "stupid": 3.5, "fool": 3.1}, {"idio": 3.2, "hate": 3.3}
+    parts = ["idiot", "1d10t", "stuuuupid", "STUPID!", "st-upid", "fool,", "f0ol", "you", "Your", "hateful", "a1b", "###", "é", "ÑO", "tree", "tree", "?", "du"]
+    for _ in range(2000):
+        t = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert np.allclose(toxicity.features(t, words, beginnings), brute_features(t, words, beginnings))
+
+
+def test_toxicity_lexicons_by_brute_force(spark):
+    rng = random.Random(32)
+    rows = [(int(k % 4 == 0), " ".join(rng.choice(("tree", "house", "river", "stone", "walking")) for _ in range(9)) + (f" grob{k % 3}nik snarkle" if k % 4 == 0 and k % 7 else "")) for k in range(400)]
+    pos = sum(y for y, _ in rows)
+    count = {}
+    for y, t in rows:
+        for term in {("w", w) for w in t.split()} | {("b", w[:4]) for w in t.split() if len(w) >= 4}:
+            n, hit = count.get(term, (0, 0))
+            count[term] = (n + 1, hit + y)
+    want = [{}, {}]
+    for (kind, term), (n, hit) in count.items():
+        odds = np.log((hit + 0.5) / (pos + 1)) - np.log((n - hit + 0.5) / (len(rows) - pos + 1))
+        if hit >= toxicity.SUPPORT and odds > 3:
+            want["wb".index(kind)][term] = odds
+    got = toxicity._lexicons(spark.createDataFrame(rows, "toxic int, text string"))
+    assert all(want) and [set(g) for g in got] == [set(w) for w in want]
+    assert all(np.isclose(g[t], w[t]) for g, w in zip(got, want, strict=True) for t in w)
+
+
+def test_toxicity_of_clashing_rows_is_settled(spark):
+    rng = random.Random(33)
+    rows = [(k, " ".join(rng.choice(("tree", "house", "river")) for _ in range(12)) + " snarkle grobnik" * (k % 3 == 0)) for k in range(240)]
+    clash = [(k, f"other text {k}") for k in range(0, 240, 5)]
+    labels = [(k, int(k % 3 == 0)) for k in range(240)] + [(k, 0) for k in range(0, 240, 6)]
+    runs = []
+    for order in (1, -1):
+        d = spark.createDataFrame((rows + clash)[::order], "doc_id long, text string")
+        y = spark.createDataFrame(labels[::order], "doc_id long, toxic int")
+        runs.append(sorted((r.doc_id, round(r.score, 12)) for r in toxicity.score_toxicity(d, y).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows) + len(clash)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.score_toxicity(docs(spark, ODD), none).collect()} == {(0.0, 0)}
@@ -435,6 +499,34 @@ def test_licences_are_inherited(spark):
     assert licenses.scan_licenses(files.where("id < 0")).count() == 0
 
 
+def test_real_licence_files_and_headers(spark):
+    quoted = lambda t: t.replace("(the Software)", '(the "Software")').replace("AS IS", '"AS IS"')
+    comment = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    wrap = lambda t: "\n\n".join("\n".join(textwrap.wrap(x, 70)) for x in quoted(t).split("\n"))
+    code = "\ndef f(x):\n    return x + 1\n" * 30
+    mit, bsd2, bsd3 = licenses._MIT, licenses._BSD.format(third=""), licenses._BSD.format(third=licenses._THIRD)
+    gpl = licenses._GNU.format(thing="program", name="General Public License", version=3)
+    rows = [
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrap(mit), "MIT"),
+        ("n/LICENSE", "Copyright (c) 2021 Some Body\n\n" + wrap(mit), "MIT"),
+        ("b2/LICENSE.txt", "Copyright 2020, Some Body\n\n" + wrap(bsd2), "BSD-2-Clause"),
+        ("b3/COPYING", "Copyright 2020, Some Body\nAll the rest.\n\n" + wrap(bsd3), "BSD-3-Clause"),
+        ("isc/LICENSE", "Copyright (c) 2019 A. Person\n\n" + wrap(licenses._ISC), "ISC"),
+        ("g/x.c", comment("x.c does things\n\n" + wrap(gpl), " *") + code, "GPL-3.0"),
+        ("g2/x.py", comment(wrap(gpl.replace("version 3", "version 2")), "#") + code, "GPL-2.0"),
+        ("a/x.java", comment("Copyright 2018 The Authors\n\n" + wrap(licenses._APACHE), "//") + code, "Apache-2.0"),
+        ("g3/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Preamble\n\n" + "Many other words follow here in long sections. " * 400, "GPL-3.0"),
+        ("s/x.rs", "// SPDX-License-Identifier: MIT\n" + code, "MIT"),
+        ("s2/x.rs", "// SPDX-License-Identifier: GPL-3.0-or-later\n" + code, "GPL-3.0"),
+        ("s3/x.rs", "// SPDX-License-Identifier: Own-1.0\n" + code, None),
+        ("no/a.txt", "The permission of the owner is needed, free of charge, for any copy of the key to this house.\nCopyright is a right that the law gives to authors of books, and it ends some decades later.", None),
+        ("no/b.txt", "You need a driving license to drive in this country. " * 20, None),
+    ]
+    files = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "id int, path string, text string")
+    got = {r.id: r for r in licenses.scan_licenses(files).collect()}
+    assert {k: got[k].license for k in got} == {k: x for k, (_, _, x) in enumerate(rows)}
+
+
 # 10 secrets
 
 
