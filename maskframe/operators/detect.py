@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,11 +66,20 @@ RECOGNIZERS: dict[str, tuple[re.Pattern, Callable[[str], bool] | None, float, st
 }
 
 
+#: A character that a text must hold for a recogniser to find anything in it; the others need a digit.
+NEEDED_SIGN = {"EMAIL_ADDRESS": "@", "IP_ADDRESS": "."}
+DIGIT = re.compile(r"\d")
+
+
 def recognise(text: str, wanted: dict[str, str], min_score: float = MIN_SCORE) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, entity, score) of the values that the recognisers of ``wanted`` (recogniser to entity) find."""
+    digits = DIGIT.search(text) is not None
     for name, entity in wanted.items():
         if name not in RECOGNIZERS:
             continue
+        sign = NEEDED_SIGN.get(name)
+        if not (digits if sign is None else sign in text or name == "IP_ADDRESS" and ":" in text):
+            continue
         pattern, check, score, words = RECOGNIZERS[name]
         for m in pattern.finditer(text):
             if check is not None and not check(m[0]):
@@ -93,16 +103,22 @@ class Rules:
                     self.rules.append((e.id, re.compile(p, re.I | re.M), p in own and r"\d" in p and "|" not in p, NEEDED.get(p, ())))
                 except re.error:
                     continue
+        #: One pass over a text finds which of the words that rules need are in it.
+        self.words = ahocorasick.Automaton()
+        for w in {w for *_, needed in self.rules for w in needed}:
+            self.words.add_word(w, w)
+        if len(self.words):
+            self.words.make_automaton()
 
     def scan(self, text: str | None) -> list[dict]:
         """Recognisers' findings, then rules' in catalogue order; group 1 is the span where a rule has one."""
         if not text:
             return []
         out = [self._span(text, a, b, entity, score) for a, b, entity, score in recognise(text, self.recognizers)]
-        digits = any(c.isdigit() for c in text)
-        lower = text.lower()
+        digits = DIGIT.search(text) is not None
+        held = {w for _, w in self.words.iter(text.lower())} if len(self.words) else set()
         for entity, pattern, numeric, needed in self.rules:
-            if numeric and not digits or needed and not any(w in lower for w in needed):
+            if numeric and not digits or needed and held.isdisjoint(needed):
                 continue
             for m in pattern.finditer(text):
                 a, b = m.span(1) if m.lastindex else m.span()
@@ -116,6 +132,14 @@ class Rules:
         return {"text": text[start:end], "start": start, "end": end, "entity_id": entity, "display_name": self.names[entity], "confidence": score, "source": "pattern"}
 
 
+def scan_safely(rules: Rules, text: str | None) -> tuple[list[dict], str | None]:
+    """The spans of a text and no error, or none and the error's name: one bad row must not lose the others."""
+    try:
+        return rules.scan(text), None
+    except Exception as e:
+        return [], type(e).__name__
+
+
 def detect_rules(df: DataFrame, catalog: Catalog, text: str = "text_clean", out: str = "spans") -> DataFrame:
     """Adds the spans of all rules and recognisers, and layer_error where a row's scan failed (it then has none)."""
 
@@ -123,13 +147,7 @@ def detect_rules(df: DataFrame, catalog: Catalog, text: str = "text_clean", out:
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rules = Rules(catalog)
         for texts in batches:
-            rows = []
-            for t in texts:
-                try:
-                    rows.append((rules.scan(t), None))
-                except Exception as e:  # one bad row must not lose the others
-                    rows.append(([], type(e).__name__))
-            yield pd.DataFrame(rows, columns=["spans", "error"])
+            yield pd.DataFrame([scan_safely(rules, t) for t in texts], columns=["spans", "error"])
 
     return df.withColumn("_found", scan(F.col(text))).withColumns({out: F.col("_found.spans"), "layer_error": F.col("_found.error")}).drop("_found")
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.masking import mask_value
-from ..functions.text import prepare, strip
-from .detect import Scorer, detect_rules
-from .spans import merge_all, trim_multiline
+from ..functions.text import clean, guess_language, prepare, strip
+from .detect import SPAN, SPANS, Rules, Scorer, detect_rules, scan_safely
+from .spans import fold, trim_lines
 
 MAX_CHARS = 500_000
 
@@ -33,19 +35,47 @@ def guard(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> Data
     return df.withColumn("reject_reason", F.when(t.isNull() | (strip(t) == ""), "empty").when(F.length(t) > max_chars, "too_long"))
 
 
+#: What the helpers return for a text: its spans in order, the number of each value, and the texts between the spans that are masked.
+PLACED = f"spans:{SPANS},n:array<int>,gaps:array<string>"
+
+
+def number(spans: list[dict]) -> list[int]:
+    """For each span of a document, in order, the place of its value among the different values of its entity, by first sight."""
+    seen: dict[str, dict[str, int]] = {}
+    out = []
+    for s in spans:
+        own = seen.setdefault(s["entity_id"], {})
+        out.append(own.setdefault(s["text"], len(own) + 1))
+    return out
+
+
+def place(text: str, spans: list[dict], known: frozenset[str]) -> tuple[list[dict], list[int], list[str]]:
+    """Spans by start, their numbers, and the pieces of ``text`` around the spans of ``known`` entities; one pass."""
+    ordered = sorted(spans, key=lambda s: s["start"])
+    gaps, upto = [], 0
+    for s in ordered:
+        if s["entity_id"] in known:
+            gaps.append(text[upto : s["start"]])
+            upto = s["end"]
+    return ordered, number(ordered), [*gaps, text[upto:]]
+
+
 def number_spans(spans: Column) -> Column:
     """The spans in order, each with ``n``: the place of its value among the different values of its entity.
 
     The values of an entity in the order of their first sight give the numbers, so equal values share one.
     """
-    ordered = F.array_sort(spans, lambda a, b: a["start"] - b["start"])
-    values = F.array_distinct(F.transform(ordered, lambda s: F.struct(s["entity_id"].alias("e"), s["text"].alias("t"))))
 
-    def n(s: Column) -> Column:
-        own = F.filter(values, lambda v: v["e"] == s["entity_id"])
-        return F.array_position(F.transform(own, lambda v: v["t"]), s["text"]).cast("int")
+    @F.pandas_udf(f"array<{SPAN[:-1]},n:int>>")
+    def numbered(rows: pd.Series) -> pd.Series:
+        ordered = [sorted(r, key=lambda s: s["start"]) if r is not None else [] for r in rows]
+        return pd.Series([[s | {"n": n} for s, n in zip(o, number(o), strict=True)] for o in ordered], dtype=object)
 
-    return F.transform(ordered, lambda s: s.withField("n", n(s)))
+    return numbered(spans)
+
+
+def _with_numbers(placed: Column) -> Column:
+    return F.transform(placed["spans"], lambda s, i: s.withField("n", F.get(placed["n"], i)))
 
 
 def mask_spans_column(spans: Column, catalog: Catalog, key: str | None = None) -> Column:
@@ -69,41 +99,92 @@ def mask_spans_column(spans: Column, catalog: Catalog, key: str | None = None) -
     return F.transform(own, lambda s: F.struct(s["text"].alias("original"), masked(s).alias("masked"), s["entity_id"].alias("entity_id"), strategy(s).alias("strategy"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def splice(text: Column, masked: Column) -> Column:
-    """The text with each of the sorted, disjoint masked spans in place of its original."""
-    begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("upto"))
-    step = lambda a, m: F.struct(F.concat(a["parts"], F.array(F.substr(text, a["upto"] + 1, m["start"] - a["upto"]), m["masked"])).alias("parts"), m["end"].alias("upto"))
-    return F.aggregate(masked, begin, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["upto"] + 1, F.length(text))))
+def splice(gaps: Column, masked: Column) -> Column:
+    """The text of ``gaps`` with the masked spans between them."""
+    return F.concat(F.array_join(F.transform(masked, lambda m, i: F.concat(F.get(gaps, i), m["masked"])), ""), F.get(gaps, F.size(masked)))
+
+
+def _put(df: DataFrame, catalog: Catalog, key: str | None) -> DataFrame:
+    """Adds masked_text and masked_spans from ``_placed``, which is dropped."""
+    masked = df.withColumn("_masked", mask_spans_column(_with_numbers(F.col("_placed")), catalog, key))
+    # descending by start, as the replacement goes from right to left
+    return masked.withColumns({"masked_text": splice(F.col("_placed.gaps"), F.col("_masked")), "masked_spans": F.reverse("_masked")}).drop("_placed", "_masked")
 
 
 def mask_spans(df: DataFrame, catalog: Catalog, key: str | None = None, text: str = "text_clean", spans: str = "spans") -> DataFrame:
-    """Adds masked_text and masked_spans (descending by start, as the replacement goes from right to left)."""
-    numbered = df.withColumn("_numbered", number_spans(F.col(spans)))
-    masked = numbered.withColumn("_masked", mask_spans_column(F.col("_numbered"), catalog, key))
-    return masked.withColumns({"masked_text": splice(F.col(text), F.col("_masked")), "masked_spans": F.reverse("_masked")}).drop("_numbered", "_masked")
+    """Adds masked_text and masked_spans for disjoint ``spans`` of ``text``."""
+    known = frozenset(e.id for e in catalog.entities)
+
+    @F.pandas_udf(f"struct<{PLACED}>")
+    def placed(texts: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        made = [place(t or "", list(r) if r is not None else [], known) for t, r in zip(texts, rows, strict=True)]
+        return pd.DataFrame(made, columns=["spans", "n", "gaps"])
 
+    return _put(df.withColumn("_placed", placed(F.col(text), F.col(spans))), catalog, key)
 
-def stats(spans: Column, merged: Column, language: Column) -> Column:
-    """Counts of spans by source, of the merged ones, and the language."""
-    of = lambda source: F.size(F.filter(spans, lambda s: s["source"] == source))
-    return F.struct(of("pattern").alias("spans_pattern"), of("ner").alias("spans_ner"), of("llm").alias("spans_llm"), F.size(merged).alias("spans_total"), language.alias("language"))
+
+def stats(counts: Column, merged: Column, language: Column) -> Column:
+    """Counts of spans by source (pattern, ner, llm), of those that are left, and the language."""
+    return F.struct(*[counts[k].alias(f"spans_{name}") for k, name in enumerate(("pattern", "ner", "llm"))], F.size(merged).alias("spans_total"), language.alias("language"))
+
+
+class Resolver:
+    """Merge, trim, number and part the spans of one document: what stands between detection and masks, in one linear pass."""
+
+    def __init__(self, catalog: Catalog) -> None:
+        self.priority = {e.id: e.priority for e in catalog.entities}
+        self.known = frozenset(self.priority)
+        self.no_multiline = catalog.no_multiline
+
+    def __call__(self, text: str, spans: list[dict]) -> tuple:
+        merged = trim_lines(fold(spans, self.priority), self.no_multiline)
+        return (*place(text, merged, self.known), [sum(s["source"] == source for s in spans) for source in ("pattern", "ner", "llm")])
+
+
+_RESOLVED = f"struct<{PLACED},counts:array<int>"
+
+
+def _finished(df: DataFrame, catalog: Catalog, options: MaskOptions) -> DataFrame:
+    out = df.withColumn("detected_spans", F.col("_placed.spans")).withColumn("stats", stats(F.col("_placed.counts"), F.col("detected_spans"), F.col("language")))
+    return _put(out, catalog, options.key)
 
 
 def finish(df: DataFrame, catalog: Catalog, options: MaskOptions) -> DataFrame:
     """Merge, trim, mask and count: the steps behind detection. ``df`` has text_clean, language and spans."""
-    merged = df.withColumn("_merged", merge_all(F.col("spans"), catalog)).withColumn("detected_spans", trim_multiline(F.col("_merged"), tuple(sorted(catalog.no_multiline))))
-    done = mask_spans(merged, catalog, options.key, spans="detected_spans")
-    return done.withColumn("stats", stats(F.col("spans"), F.col("detected_spans"), F.col("language"))).drop("_merged", "spans")
+    resolver = Resolver(catalog)
+
+    @F.pandas_udf(_RESOLVED + ">")
+    def resolve(texts: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        made = [resolver(t or "", list(r) if r is not None else []) for t, r in zip(texts, rows, strict=True)]
+        return pd.DataFrame(made, columns=["spans", "n", "gaps", "counts"])
+
+    return _finished(df.withColumn("_placed", resolve("text_clean", "spans")), catalog, options).drop("spans")
 
 
 def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskOptions()) -> DataFrame:
     """Documents with personal data masked: masked_text, detected_spans, masked_spans, stats.
 
     Everything stays in the document's row: no shuffle, and the same call serves batch
-    and streaming. Rows that :func:`guard` rejects are left out; :func:`rejects` has them.
+    and streaming. One helper guesses the language, scans, merges, trims and numbers, so a
+    clean text goes to Python once; its time is linear in the text and its spans. Rows that
+    :func:`guard` rejects are left out; :func:`rejects` has them. layer_error names what
+    went wrong in a row's scan; such a row has no spans.
     """
     good = guard(df, options.text, options.max_chars).where("reject_reason IS NULL").drop("reject_reason")
-    out = finish(detect_rules(prepare(good, options.text, options.language), catalog), catalog, options)
+    resolver, configured = Resolver(catalog), options.language
+
+    @F.pandas_udf(_RESOLVED + ",language:string,error:string>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rules = Rules(catalog)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                found, error = scan_safely(rules, t)
+                rows.append((*resolver(t or "", found), guess_language(t) if configured == "auto" else configured, error))
+            yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error"])
+
+    ready = clean(good, options.text).withColumn("_placed", scan("text_clean")).withColumns({"language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})
+    out = _finished(ready, catalog, options)
     return out if options.keep_original else out.drop(options.text)
 
 
@@ -114,7 +195,7 @@ def rejects(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> Da
 
 def mask_with_model(df: DataFrame, catalog: Catalog, scorer: Scorer, options: MaskOptions = MaskOptions(), threshold: float = 0.4, key: str = "doc_id") -> DataFrame:
     """As :func:`mask_documents`, with a model's spans beside those of the rules."""
-    from .detect import SPANS, score_chunks
+    from .detect import score_chunks
 
     good = guard(df, options.text, options.max_chars).where("reject_reason IS NULL").drop("reject_reason")
     ready = detect_rules(prepare(good, options.text, options.language), catalog)

@@ -15,8 +15,6 @@ from ..catalog import DEFAULT_PRIORITY, Catalog
 from .detect import SPANS
 
 SOURCES = {"pattern": 0, "ner": 1, "llm": 2}
-#: Spans of a document up to which the built-in fold is used.
-FOLD = 200
 
 
 def _priorities(catalog: Catalog) -> Column:
@@ -83,6 +81,19 @@ def fold(spans: list[dict], priority: dict[str, int]) -> list[dict]:
     return kept
 
 
+def trim_lines(spans: list[dict], ids: frozenset[str]) -> list[dict]:
+    """:func:`trim_multiline` of one document's spans, for the helper."""
+    out = []
+    for s in spans:
+        if s["entity_id"] in ids and "\n" in s["text"]:
+            head = s["text"].split("\n", 1)[0].rstrip()
+            if len(head) < 2:
+                continue
+            s = s | {"text": head, "end": s["start"] + len(head)}
+        out.append(s)
+    return out
+
+
 def merge_all(spans: Column, catalog: Catalog) -> Column:
     """Equal spans, then overlaps, without thresholds."""
     priority = {e.id: e.priority for e in catalog.entities}

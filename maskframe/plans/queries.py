@@ -7,7 +7,9 @@ from the other tables by expressions that both sides share.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import catalog as cat
 from ..functions import masking, text
 from ..operators import detect, mask, report, spans
+from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; only a local session may make its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="maskframe-")
+    return f"{base}/maskframe-{uuid.uuid4().hex}"
+
+
 # Texts and spans made from the tables ------------------------------------------------------------------------------
 
 CUSTOMER_TEXT = "concat('MRN: ', lpad(cast(c_custkey AS string), 8, '0'), ', mail user', cast(c_custkey AS string), '@example.com, SSN 219-09-', lpad(cast(c_custkey % 10000 AS string), 4, '0'))"
@@ -173,22 +186,27 @@ def strip_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
 
 
-def _markdown_sql(t: str) -> str:
-    for pattern, keep in text.MARKDOWN:
-        p = pattern.replace("(?md)", "(?m)").replace("'", "''")
-        t = f"regexp_replace({t}, '{p}', '{keep.replace('$1', chr(92) + '1')}', 'g')"
-    return t
-
-
-@query(f"SELECT p_partkey, {_markdown_sql('t')} AS stripped FROM (SELECT p_partkey, '## ' || p_name || chr(10) || '> **' || p_brand || '** and __' || p_type || '__ `x` [a](u) ![pic](v)' || chr(10) || '---' || chr(10) || '***z***' AS t FROM part)")
+@query(r"""
+    SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || 'more and ' || p_type || ' x y a !pic' || chr(10) || chr(10) || 'z *' || chr(10) || 'select ' || p_partkey::VARCHAR || chr(10) || chr(10) || 'end ** of' AS stripped FROM part
+""")
 def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.expr("concat('## ', p_name, '\\n> **', p_brand, '** and __', p_type, '__ `x` [a](u) ![pic](v)\\n---\\n***z***')")
+    """Headings, quotations, emphasis over lines, code, links, images, rules and fences around the names of parts."""
+    t = F.expr("concat('## ', p_name, '\\n> **', p_brand, '\\nmore** and __', p_type, '__ `x` ``y`` [a](u) ![pic](v)\\n---\\n***z*** *\\n```sql\\nselect ', cast(p_partkey AS string), '\\n```\\n>end ** of')")
     return table(spark, sf_dir, "part").select("p_partkey", text.strip_markdown(t).alias("stripped"))
 
 
-@query()
+_WORDS = ", ".join(f"({k}, '{lang}', '{w}', {share}::DOUBLE)" for k, (lang, words) in enumerate(text.FUNCTION_WORDS.items()) for w in words.split() for n, share in text._SHARES[w] if n == k)
+
+
+@query(rf"""
+    WITH f(k, language, w, share) AS (VALUES {_WORDS}),
+    w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),
+    s AS (SELECT doc_id, k, language, round(sum(share), 6) AS s FROM w JOIN f USING (w) GROUP BY ALL),
+    best AS (SELECT doc_id, language FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, k) = 1)
+    SELECT doc_id, coalesce(language, 'en') AS language FROM documents LEFT JOIN best USING (doc_id)
+""")
 def language_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The guessed language of every document; the tests hold it against the lang column."""
+    """The guessed language of every document; the tests hold it against the lang column as well."""
     return table(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
@@ -224,7 +242,21 @@ def chunks_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(spark, sf_dir, 1200, 100, "blank")
 
 
-@query()
+@query("""
+    WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n FROM documents),
+    c AS (
+        SELECT doc_id, 0 AS chunk_idx, 0::BIGINT AS start, text, n, CASE WHEN n <= 3500 THEN n END AS last FROM w
+        UNION ALL
+        SELECT doc_id, chunk_idx + 1, greatest(cut - 200, start + 1), text, n, CASE WHEN n - greatest(cut - 200, start + 1) <= 3500 THEN n END
+        FROM (SELECT *, start + CASE WHEN line >= 1750 THEN line + 1 WHEN blank > 0 THEN blank + 1 ELSE 3500 END AS cut
+              FROM (SELECT *, CASE WHEN strpos(part, chr(10)) > 0 THEN 3500 - strpos(part, chr(10)) ELSE -1 END AS line, CASE WHEN strpos(part, ' ') > 0 THEN 3500 - strpos(part, ' ') ELSE -1 END AS blank
+                    FROM (SELECT *, reverse(substring(text, start + 1, 3500)) AS part FROM c WHERE last IS NULL)))),
+    e AS (
+        SELECT doc_id, chunk_idx, start, text, coalesce(last, start + CASE WHEN line >= 1750 THEN line + 1 WHEN blank > 0 THEN blank + 1 ELSE 3500 END) AS cut
+        FROM (SELECT *, CASE WHEN strpos(part, chr(10)) > 0 THEN 3500 - strpos(part, chr(10)) ELSE -1 END AS line, CASE WHEN strpos(part, ' ') > 0 THEN 3500 - strpos(part, ' ') ELSE -1 END AS blank
+              FROM (SELECT *, reverse(substring(text, start + 1, 3500)) AS part FROM c)))
+    SELECT doc_id, chunk_idx, start::INTEGER AS "offset", (cut - start)::INTEGER AS n_chars, sha256(substring(text, start + 1, cut - start)) AS sha FROM e
+""")
 def chunks_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(spark, sf_dir, 3500, 200, "line")
 
@@ -261,6 +293,18 @@ def catalog_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.with_threshold(_findings(spark, sf_dir), cat.catalog_table(spark)).groupBy("entity_id", "threshold").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+    {_C} SELECT m.recognizer, m.id AS entity_id, count(*) AS n FROM o JOIN c ON c.id = o.entity_id
+    JOIN (SELECT recognizer, last(id ORDER BY k) AS id FROM (SELECT row_number() OVER () AS k, recognizer, id, enabled FROM c) WHERE recognizer IS NOT NULL AND enabled GROUP BY recognizer) m ON m.recognizer = c.recognizer GROUP BY ALL
+""")
+def catalog_recognizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by recogniser, under the entity that the recogniser reports: the last one listed."""
+    own = F.create_map(*[x for e in _E if e.recognizer for x in (F.lit(e.id), F.lit(e.recognizer))])
+    reported = F.create_map(*[x for r, e in cat.load_catalog().recognizers().items() for x in (F.lit(r), F.lit(e))])
+    named = _findings(spark, sf_dir).withColumn("recognizer", F.element_at(own, F.col("entity_id"))).where("recognizer IS NOT NULL")
+    return named.groupBy("recognizer", F.element_at(reported, F.col("recognizer")).alias("entity_id")).agg(F.count("*").alias("n"))
+
+
 # Detection ---------------------------------------------------------------------------------------------------------
 
 EMAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
@@ -384,6 +428,15 @@ def document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.document_gate(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (k % 3 != 0).alias("call_ok"), (k % 2 == 0).alias("parse_ok")))
 
 
+@query("SELECT c_custkey AS doc_id, 'user' || c_custkey::VARCHAR || '@example.com' AS text FROM customer")
+def failing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that doesn't compile is left out; the findings of the others stay."""
+    broken = cat.Entity("broken", "Broken", patterns=("([unclosed", "(?P<x"))
+    c = small_catalog().only("email_address")
+    c = replace(c, entities=(broken, *c.entities))
+    return flat(detect.detect_rules(customers(spark, sf_dir), c, "text"), "spans").select("doc_id", "text").distinct()
+
+
 # Spans -------------------------------------------------------------------------------------------------------------
 
 
@@ -515,6 +568,20 @@ def mask_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unionByName(bad.select("doc_id", F.lit("rejected").alias("outcome")))
 
 
+@query("SELECT n_name || '.txt' AS file_name, 'mail [EMAIL 1] of ' || n_name AS masked_text FROM nation")
+def files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations as one text file each, read as a folder of files, masked, written as files and as JSON, and read back."""
+    at = shared_folder(spark)
+    named = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".txt")).alias("file_name"), F.expr("concat('mail n', cast(n_nationkey AS string), '@example.com of ', n_name)").alias("masked_text"))
+    files.write_masked_files(named, f"{at}/in")
+    read = files.read_files(spark, f"{at}/in/*", "*.txt")  # one folder an input, named after it
+    own = read.withColumn("file_name", F.url_decode(F.regexp_extract(F.input_file_name(), "file_name=([^/]*)/", 1)))
+    done = mask.mask_documents(own, small_catalog())
+    files.write_results(done.select("file_name", "masked_text", "masked_spans"), f"{at}/json")
+    files.write_masked(spark.read.schema("file_name string, masked_text string").json(f"{at}/json"), f"{at}/out")
+    return spark.read.parquet(f"{at}/out")
+
+
 # Reports -----------------------------------------------------------------------------------------------------------
 
 
@@ -596,10 +663,7 @@ def stream_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as a stream of files through the same transform; the tests hold it against the batch."""
     from ..streaming.stream import mask_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskframe-")
-    import uuid
-
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark)
     source = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # a stream reads folders; the table may be one file, so it is read by its pattern in the folder
     folder, pattern = sf_dir, "documents.parquet"

@@ -68,3 +68,15 @@ def test_threshold(spark):
     df = spark.createDataFrame([([span("a", 0, 2, 0.5, "p1"), span("b", 3, 5, 0.5, "p3"), span("c", 6, 8, 0.9, "zz")],)], f"spans {detect.SPANS}")
     r = spans.merge(df, own).first()
     assert [x.text for x in r.high] == ["a", "c"] and [x.text for x in r.low] == ["b"]
+
+
+def test_many_spans_in_one_document(spark):
+    """20,000 findings are merged, numbered, masked and put together in linear time."""
+    import time
+
+    text = " ".join(f"u{k % 15000}@example.com" for k in range(20_000))
+    began = time.time()
+    row = mask.mask_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), C.load_catalog()).first()
+    assert time.time() - began < 60
+    assert row.masked_text == " ".join(f"[EMAIL {k % 15000 + 1}]" for k in range(20_000))
+    assert len(row.masked_spans) == 20_000 and row.stats.spans_total == 20_000
