@@ -19,13 +19,16 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored
@@ -86,23 +89,33 @@ def features(text: str, words: dict[str, float], beginnings: dict[str, float]) -
 Lexicons = tuple[dict[str, float], dict[str, float]]
 
 
-def _lexicons(rows: DataFrame) -> Lexicons:
-    """Terms of toxic rows with their log-odds: words, and beginnings of four letters; bounded by ``TERMS`` each."""
+def _terms(rows: DataFrame) -> DataFrame:
+    """fold, term, t (toxic rows with the term) and n (all rows with it): words (``w ``), and beginnings of four letters (``b ``)."""
 
     def terms(batch: dict) -> dict:
         found = [set(tokens(t or "")) for t in batch["text"]]
-        return {"toxic": batch["toxic"], "terms": [[f"w {w}" for w in f] + [f"b {b}" for b in {w[:4] for w in f if len(w) >= 4}] for f in found]}
+        return {"fold": batch["fold"], "toxic": batch["toxic"], "terms": [[f"w {w}" for w in f] + [f"b {b}" for b in {w[:4] for w in f if len(w) >= 4}] for f in found]}
 
-    sides = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = sides.get(1, 0), sides.get(0, 0)
-    counted = map_rows(rows.select("toxic", "text"), terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    listed = map_rows(rows.select("fold", "toxic", "text"), terms, "fold int, toxic int, terms array<string>")
+    return listed.select("fold", "toxic", F.explode("terms").alias("term")).groupBy("fold", "term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+
+
+def _lexicons(counted: DataFrame, pos: int, neg: int) -> Lexicons:
+    """Terms of toxic rows with their log-odds, from counts by :func:`_terms` of ``pos`` toxic and ``neg`` other rows; bounded by ``TERMS`` each."""
     odds = F.log((F.col("t") + 0.5) / (pos + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (neg + 1.0))
-    scored = counted.where(F.col("t") >= SUPPORT).select("term", odds.alias("odds"), "t").where("odds > 3")
-    out: tuple[dict, dict] = ({}, {})
-    for k, kind in enumerate("wb"):
-        for r in scored.where(F.col("term").startswith(f"{kind} ")).orderBy(F.desc(F.col("odds") * F.log1p("t")), "term").limit(TERMS).collect():
-            out[k][r.term[2:]] = float(r.odds)
-    return out
+    summed = counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    scored = summed.where(F.col("t") >= SUPPORT).select("term", odds.alias("odds"), "t").where("odds > 3")
+    place = F.row_number().over(Window.partitionBy(F.substring("term", 1, 1)).orderBy(F.desc(F.col("odds") * F.log1p("t")), "term"))
+    out: dict[str, dict[str, float]] = {"w": {}, "b": {}}
+    for r in scored.withColumn("place", place).where(F.col("place") <= TERMS).collect():
+        out[r.term[0]][r.term[2:]] = float(r.odds)
+    return out["w"], out["b"]
+
+
+def _at_once(spark: SparkSession, jobs: list[Callable]) -> list:
+    """The results of ``jobs``, which run side by side: each is a row of small Spark jobs that leave most cores idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
 
 
 def _featured(docs: DataFrame, lexicons: list[Lexicons], keep: str = "") -> DataFrame:
@@ -152,14 +165,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         constant = 1.0 if both[1] else 0.0
         return own.select("doc_id", "held_out", F.lit(constant).alias("score"), F.lit(int(constant >= LIMIT)).alias("predicted"))
     # a fold is scored by the others if those have rows of both classes; else, with few labels, by all
-    others = [F.col("fold") != k if all(sum(n for (j, y), n in known.items() if y == label and j != k) for label in (0, 1)) else F.lit(True) for k in range(FOLDS)]
-    lexicons = [*(_lexicons(labelled.where(o)) for o in others), _lexicons(labelled)]
-    kept = stored(_featured(labelled, lexicons, "doc_id long, toxic int, fold int"))
-    ready = _vector(kept)
+    sides = [[sum(n for (j, y), n in known.items() if y == label and j != k) for label in (0, 1)] for k in range(FOLDS)]
+    others = [F.col("fold") != k if all(sides[k]) else F.lit(True) for k in range(FOLDS)] + [F.lit(True)]
+    sizes = [s if all(s) else both for s in sides] + [both]
+    counted = stored(_terms(labelled))
+    lexicons = _at_once(docs.sparkSession, [partial(_lexicons, counted.where(o), pos, neg) for o, (neg, pos) in zip(others, sizes, strict=True)])
+    ready = _vector(stored(_featured(labelled, lexicons, "doc_id long, toxic int, fold int")))
     chance = vector_to_array("probability")[1]
-    raw = reduce(DataFrame.unionByName, (_trees(ready.where(o)).transform(ready.where(F.col("fold") == k)).select("doc_id", "toxic", chance.alias("raw")) for k, o in enumerate(others)))
+    *parts, trees = _at_once(docs.sparkSession, [partial(_trees, ready.where(o)) for o in others])
+    raw = reduce(DataFrame.unionByName, (t.transform(ready.where(F.col("fold") == k)).select("doc_id", "toxic", chance.alias("raw")) for k, t in enumerate(parts)))
     curve = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(raw.coalesce(2))
     every = _vector(_featured(own.withColumn("fold", F.lit(FOLDS)), lexicons, "doc_id long, held_out boolean"))
-    scored = curve.transform(_trees(ready).transform(every).select("doc_id", "held_out", chance.alias("raw")))
+    scored = curve.transform(trees.transform(every).select("doc_id", "held_out", chance.alias("raw")))
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= LIMIT).cast("int").alias("predicted"))

@@ -440,7 +440,8 @@ def test_toxicity_lexicons_by_brute_force(spark):
         odds = np.log((hit + 0.5) / (pos + 1)) - np.log((n - hit + 0.5) / (len(rows) - pos + 1))
         if hit >= toxicity.SUPPORT and odds > 3:
             want["wb".index(kind)][term] = odds
-    got = toxicity._lexicons(spark.createDataFrame(rows, "toxic int, text string"))
+    counted = toxicity._terms(spark.createDataFrame([(k % 3, *row) for k, row in enumerate(rows)], "fold int, toxic int, text string"))
+    got = toxicity._lexicons(counted, pos, len(rows) - pos)
     assert all(want) and [set(g) for g in got] == [set(w) for w in want]
     assert all(np.isclose(g[t], w[t]) for g, w in zip(got, want, strict=True) for t in w)
 
