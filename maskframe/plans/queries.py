@@ -18,6 +18,7 @@ from .. import catalog as cat
 from ..functions import masking, text
 from ..operators import detect, mask, report, spans
 from ..sources import files
+from .forms import FORMS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,6 +336,24 @@ def rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(found, "spans")
 
 
+def _quoted(value: str | None) -> str:
+    return "NULL::VARCHAR" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query(f"""
+    WITH forms(form, entity_id, before, value) AS (VALUES {", ".join(f"({k}, '{e}', {_quoted(b)}, {_quoted(v)})" for k, (e, b, v, _) in enumerate(FORMS))}),
+    o AS (SELECT o_orderkey, o_orderkey % {len(FORMS)} AS form, lpad((o_orderkey % 9000 + 1000)::VARCHAR, 4, '0') AS digits FROM orders)
+    SELECT o_orderkey, entity_id, replace(value, '{{}}', digits) AS text, length(before)::INTEGER AS start, (length(before) + length(replace(value, '{{}}', digits)))::INTEGER AS "end" FROM o JOIN forms USING (form) WHERE value IS NOT NULL
+""")
+def rule_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each entity's rules and recognisers find in its own planted forms, with the whole catalogue."""
+    forms = F.array(*(F.struct(F.lit(e).alias("own"), F.lit(b + (v or "") + a).alias("text")) for e, b, v, a in FORMS))
+    digits = F.lpad((F.col("o_orderkey") % 9000 + 1000).cast("string"), 4, "0")
+    planted = table(spark, sf_dir, "orders").select("o_orderkey", F.get(forms, (F.col("o_orderkey") % len(FORMS)).cast("int")).alias("form")).select("o_orderkey", "form.own", F.replace("form.text", F.lit("{}"), digits).alias("text"))
+    found = detect.detect_rules(planted, cat.load_catalog(), "text").select("o_orderkey", "own", F.inline("spans"))
+    return found.where("entity_id = own").select("o_orderkey", "entity_id", "text", "start", "end").distinct()
+
+
 @query()
 def rule_spans_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of the catalogue over all documents, before they are merged."""
