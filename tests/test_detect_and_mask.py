@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from maskframe import catalog as C
 from maskframe.functions import masking as M
 from maskframe.operators import detect as D
 from maskframe.operators import mask, report
+from maskframe.plans.forms import FORMS
 from maskframe.sources import files
 from maskframe.streaming import stream
 
@@ -121,6 +123,69 @@ def test_masking_job(spark):
     assert mask.mask_documents(df.where("doc_id < 0"), C.load_catalog()).count() == 0
 
 
+def plain_spans(text, c):
+    """start, end, entity, score of all rules and recognisers, one after another and without any quick test."""
+    out = []
+    for name, entity in c.recognizers().items():
+        pattern, check, score, words = D.RECOGNIZERS.get(name, (re.compile("(?!)"), None, 0.0, ""))
+        for m in pattern.finditer(text):
+            near = words and re.search(words, text[max(0, m.start() - 40) : m.start()], re.I)
+            score_here = 0.85 if near else score
+            if (check is None or check(m[0])) and score_here >= D.MIN_SCORE:
+                out.append((m.start(), m.end(), entity, score_here))
+    for e in c.entities:
+        for p in e.patterns:
+            for m in re.finditer(p, text, re.I | re.M):
+                at = 1 if m.lastindex else 0
+                if m.end(at) > m.start(at):
+                    out.append((m.start(at), m.end(at), e.id, 1.0))
+    return out
+
+
+def plain_merge(spans, c):
+    """What is left of the spans of a document: compared pair by pair."""
+    priority = {e.id: e.priority for e in c.entities}
+    once = [s for k, s in enumerate(spans) if not any(o[:3] == s[:3] and (o[3] > s[3] or o[3] == s[3] and j < k) for j, o in enumerate(spans))]
+    kept = []
+    for s in sorted(once, key=lambda s: s[0]):
+        rank = lambda x: (-x[3], priority[x[2]], x[0] - x[1])
+        if not kept or s[0] >= kept[-1][1]:
+            kept.append(s)
+        elif rank(s) < rank(kept[-1]):
+            kept[-1] = s
+    return kept
+
+
+def test_whole_catalogue_by_brute_force(spark, tiny):
+    c = C.load_catalog()
+    planted = [(-k, f"{before}{value or ''}{after}".replace("{}", "4821")) for k, (_, before, value, after) in enumerate(FORMS, 1)]
+    planted.append((0, "\n".join(t for _, t in planted) + "\nA\nMRN: A1-4821 and MRN: A1-4822, MRN: A1-4821"))
+    df = spark.read.parquet(f"{tiny}/documents.parquet").select(F.col("doc_id").cast("int").alias("doc_id"), "text").unionByName(spark.createDataFrame(planted, "doc_id int, text string"))
+    found = {r.doc_id: r for r in D.detect_rules(df, c, "text").collect()}
+    assert all(sorted((s.start, s.end, s.entity_id, s.confidence) for s in r.spans) == sorted(plain_spans(r.text or "", c)) for r in found.values())
+    done = mask.mask_documents(df, c).collect()
+    assert sum(len(r.detected_spans) for r in done) > len(FORMS) // 2
+    for r in done:
+        text, want = r.text_clean, []
+        for a, b, entity, score in plain_merge(plain_spans(r.text_clean, c), c):
+            if entity in c.no_multiline and "\n" in text[a:b]:
+                b = a + len(text[a:b].split("\n")[0].rstrip())
+                if b - a < 2:
+                    continue
+            want.append((a, b, entity, score))
+        assert [(s.start, s.end, s.entity_id, s.confidence) for s in r.detected_spans] == want
+        values = {e: list(dict.fromkeys(text[a:b] for a, b, x, _ in want if x == e)) for e in {w[2] for w in want}}
+        masks = {m.start: m for m in r.masked_spans}
+        for a, b, entity, _ in reversed(want):
+            e = c.by_id()[entity]
+            n = values[entity].index(text[a:b]) + 1
+            if e.strategy == "redact" and "{label}" not in e.format:
+                assert masks[a].masked == e.format.replace("{n}", str(n))
+            assert (masks[a].entity_id, masks[a].original) == (entity, text[a:b])
+            text = text[:a] + masks[a].masked + text[b:]
+        assert r.masked_text == text
+
+
 def test_masking_needs_no_shuffle(spark, tiny):
     df = mask.mask_documents(spark.read.parquet(f"{tiny}/documents.parquet"), C.load_catalog())
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
