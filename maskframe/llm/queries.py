@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, licenses, neardup, pii, quality, secretscan, tokenfile, toxicity
+from . import bpe, chat, decontam, lexical, licenses, linededup, manifest, neardup, pii, quality, secretscan, tokenfile, toxicity
 from .common import shared_dir
 
 WORD_BPE = "word_bpe_49k.json"
@@ -67,6 +67,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_token_file": op9_token_file,
     "op10_secrets": op10_secrets,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_manifest": op12_manifest,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -85,6 +100,9 @@ ORACLE: dict[str, str] = {
     "op3_near_duplicates": neardup.SQL,
     "op7_chat": chat.SQL,
     "op8_licenses": licenses.SQL,
+    "op11_lexical_search": lexical.SQL,
+    "op12_manifest": manifest.SQL,
+    "op13_line_dedup": linededup.SQL,
     "op4_decontaminate": r"""
         WITH words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
