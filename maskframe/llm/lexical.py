@@ -12,9 +12,10 @@ numbers, so sums don't depend on their order.
    nearest to theirs, clusters are cut into blocks, and each block has a summary, the
    coordinatewise maximum of its documents' parts over all terms. Shorter lists are one
    block without summary.
-3. Items run over the shards. The product of an item's weights with a summary bounds every
-   score in the block. Blocks are opened from the highest bound down; when it is below the
-   item's k-th score so far, the rest is skipped. Opened documents are scored in full. A
+3. Items run over the shards. Lists whose largest parts together stay below the item's k-th
+   score so far aren't opened at all. The product of an item's weights with a summary bounds
+   every score in the block. Blocks are opened from the highest bound down; when it is below
+   the k-th score, the rest is skipped. Opened documents are scored in full. A
    task hands its best scores on from shard to shard, so later shards skip more, and gives
    k rows an item to the ranking, which merges groups of tasks first.
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,14 @@ from pyspark.sql import functions as F
 from .common import alnum_words, drop_stored, stored, with_keys
 
 TOP = 50
-#: Documents of a block of a posting list.
-BLOCK = 64
+#: Documents of a block of a posting list, and blocks of a list (of twice as many at most, where it is long).
+BLOCK, BLOCKS = 64, 16
+#: Summaries hold parts by this unit, rounded up, so that two bytes do.
+UNIT = 16
+#: Numbers of the table of a shard's parts by document and term; summaries of shards with more terms are made from its rows.
+DENSE = 1 << 25
 #: Documents and postings after which a shard is closed.
-SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 20
+SHARD_DOCS, SHARD_POSTINGS = 2048, 1 << 19
 #: Signs that a document's parts are projected on.
 SKETCH = 32
 #: Bytes of all terms of a group of items, and terms of a block of items.
@@ -51,7 +56,7 @@ OPENED = 8
 MERGED = 64
 
 SHARD = "n_docs long, n_words long, keys binary, starts binary, terms binary, counts binary, lengths binary"
-INDEX = "keys binary, starts binary, terms binary, parts binary, list_terms binary, list_starts binary, block_starts binary, members binary, sum_terms binary, sum_starts binary, sum_blocks binary, sum_parts binary"
+INDEX = "keys binary, starts binary, terms binary, parts binary, list_terms binary, list_starts binary, list_parts binary, block_starts binary, members binary, sum_starts binary, sum_blocks binary, sum_parts binary"
 _SHARD = pa.schema([(c, pa.int64() if c.startswith("n_") else pa.binary()) for c in (x.split()[0] for x in SHARD.split(", "))])
 _INDEX = pa.schema([(x.split()[0], pa.binary()) for x in INDEX.split(", ")])
 
@@ -94,6 +99,12 @@ def _array(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(raw, kind)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of binary columns, not copied."""
+    for k in range(batch.num_rows):
+        yield {c: batch[c][k].as_buffer() for c in batch.schema.names if batch.schema.field(c).type == pa.binary()}
+
+
 def _frequencies(shards: DataFrame) -> DataFrame:
     """Documents that hold each term; a task adds up its shards first."""
 
@@ -123,76 +134,100 @@ def weight(n_docs: int, df: int) -> int:
 
 
 def cluster(members: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
-    """The documents of a posting list in blocks of at most ``BLOCK``, similar ones together."""
-    pivots = members[:: max(1, BLOCK // 2)]
+    """The documents of a posting list in blocks, similar ones together."""
+    size = max(BLOCK, len(members) // BLOCKS)
+    pivots = members[:: size // 2]
     nearest = np.argmax(sketch[members] @ sketch[pivots].T, axis=1)
     order = np.argsort(nearest, kind="stable")
     cuts = np.flatnonzero(np.diff(nearest[order])) + 1
     # small neighbouring clusters share a block, large ones are cut
     blocks, held = [], []
     for some in np.split(members[order], cuts):
-        for part in (some[k : k + BLOCK] for k in range(0, len(some), BLOCK)):
-            if sum(map(len, held)) + len(part) > BLOCK:
+        for part in (some[k : k + size] for k in range(0, len(some), size)):
+            if sum(map(len, held)) + len(part) > size:
                 blocks.append(np.concatenate(held))
                 held = []
             held.append(part)
     return [*blocks, np.concatenate(held)] if held else blocks
 
 
+def summarizer(starts: np.ndarray, local: np.ndarray, parts: np.ndarray, n_terms: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from documents to the terms that they hold and the largest part of each."""
+    if (len(starts) - 1) * n_terms <= DENSE:
+        dense = np.zeros((len(starts) - 1, n_terms), np.int32)
+        dense[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), local] = parts
+
+        def largest(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = dense[block].max(axis=0)
+            held = np.flatnonzero(top)
+            return held, top[held]
+
+        return largest
+    top = np.zeros(n_terms, np.int64)
+
+    def merged(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for d in block.tolist():
+            at = local[starts[d] : starts[d + 1]]
+            top[at] = np.maximum(top[at], parts[starts[d] : starts[d + 1]])
+        held = np.unique(np.concatenate([local[starts[d] : starts[d + 1]] for d in block.tolist()]))
+        out = top[held]
+        top[held] = 0
+        return held, out
+
+    return merged
+
+
 def block_index(starts: np.ndarray, terms: np.ndarray, parts: np.ndarray) -> dict[str, np.ndarray]:
     """Posting lists in blocks and their summaries, of one shard's rows.
 
     list_terms, list_starts: terms of the shard and where the blocks of each begin;
-    block_starts, members: the documents of each block. Summaries by term: sum_terms,
-    sum_starts, and the blocks that hold it (sum_blocks) with the largest part (sum_parts).
+    list_parts: the largest part of each; block_starts, members: the documents of each
+    block. Summaries by term: sum_starts, and the blocks that hold it (sum_blocks) with
+    the largest part (sum_parts, in units).
     """
     docs = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     used, local = np.unique(terms, return_inverse=True)
     signs = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (len(used), SKETCH))
-    sketch = np.zeros((len(starts) - 1, SKETCH), np.float32)
-    if len(terms):
-        # rare terms tell documents apart: parts weigh by how few documents of the shard hold the term
-        rarity = np.log1p((len(starts) - 1) / np.bincount(local)).astype(np.float32)
-        np.add.at(sketch, docs, signs[local] * (parts.astype(np.float32) * rarity[local])[:, None])
+    # rare terms tell documents apart: parts weigh by how few documents of the shard hold the term
+    rarity = np.log1p((len(starts) - 1) / np.bincount(local, minlength=len(used))).astype(np.float32)
+    sketch = np.add.reduceat(signs[local] * (parts.astype(np.float32) * rarity[local])[:, None], starts[:-1])
     sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
+    summary = summarizer(starts, local, parts, len(used))
     by_term = np.argsort(local, kind="stable")
     ends = np.cumsum(np.bincount(local, minlength=len(used)))
-    list_starts, block_starts, members = [0], [0], []
+    list_starts, sizes, members = [0], [], []
     sum_local, sum_blocks, sum_parts = [], [], []
-    top = np.zeros(len(used), np.int64)
     for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         own = docs[by_term[a:b]]
         blocks = cluster(own, sketch) if len(own) > BLOCK else [own]
-        for block in blocks:
-            if len(own) > BLOCK:
-                for d in block.tolist():
-                    at = local[starts[d] : starts[d + 1]]
-                    top[at] = np.maximum(top[at], parts[starts[d] : starts[d + 1]])
-                held = np.flatnonzero(top)
-                sum_local.append(held)
-                sum_blocks.append(np.full(len(held), len(block_starts) - 1, np.int64))
-                sum_parts.append(top[held])
-                top[held] = 0
-            members.append(block)
-            block_starts.append(block_starts[-1] + len(block))
-        list_starts.append(len(block_starts) - 1)
-    empty = [np.zeros(0, np.int64)]
+        for block in blocks if len(own) > BLOCK else ():
+            held, most = summary(block)
+            sum_local.append(held)
+            sum_blocks.append(np.full(len(held), len(sizes), np.int32))
+            sum_parts.append(-(-most // UNIT))
+            sizes.append(len(block))
+        if len(own) <= BLOCK:
+            sizes.append(len(own))
+        members += blocks
+        list_starts.append(len(sizes))
+    empty = [np.zeros(0, np.int32)]
     where, blocks, most = (np.concatenate(x or empty) for x in (sum_local, sum_blocks, sum_parts))
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.uint16 if len(used) < 1 << 16 else np.int64), kind="stable")
     return {
-        "list_terms": used.astype(np.int32), "list_starts": np.array(list_starts, np.int32), "block_starts": np.array(block_starts, np.int32), "members": np.concatenate(members or empty).astype(np.int32),
-        "sum_terms": used.astype(np.int32), "sum_starts": np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(used)))]).astype(np.int32), "sum_blocks": blocks[order].astype(np.int32), "sum_parts": most[order].astype(np.int32),
+        "list_terms": used.astype(np.int32), "list_starts": np.array(list_starts, np.int32), "list_parts": np.maximum.reduceat(parts[by_term], np.concatenate([[0], ends[:-1]])).astype(np.int32),
+        "block_starts": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), "members": np.concatenate(members or empty).astype(np.int32),
+        "sum_starts": np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(used)))]).astype(np.int32), "sum_blocks": blocks[order].astype(np.int32), "sum_parts": most[order].astype(np.uint16),
     }
 
 
 def _indexed(shards: DataFrame, n_docs: int, n_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 starts, terms, counts, lengths = _array(row["starts"], np.int32), _array(row["terms"], np.int32), _array(row["counts"], np.int64), _array(row["lengths"], np.int64)
                 if not len(lengths):
                     continue
-                parts = np.concatenate([parts_of(counts, np.repeat(lengths, np.diff(starts)), n_docs, n_words)])
+                parts = parts_of(counts, np.repeat(lengths, np.diff(starts)), n_docs, n_words)
                 made = block_index(starts, terms, parts) | {"keys": _array(row["keys"], np.int64), "starts": starts, "terms": terms, "parts": parts.astype(np.int32)}
                 yield pa.RecordBatch.from_pylist([{c: made[c].tobytes() for c in _INDEX.names}], schema=_INDEX)
 
@@ -204,7 +239,7 @@ class Shard:
 
     def __init__(self, row: dict[str, bytes]) -> None:
         for name in _INDEX.names:
-            setattr(self, name, _array(row[name], np.int64 if name == "keys" else np.int32))
+            setattr(self, name, _array(row[name], {"keys": np.int64, "sum_parts": np.uint16}.get(name, np.int32)))
         self.place = {t: k for k, t in enumerate(self.list_terms.tolist())}
         self.dense = np.zeros(int(self.terms.max()) + 1 if len(self.terms) else 1, np.int64)
 
@@ -217,16 +252,19 @@ class Shard:
 
     def search(self, item: list[tuple[int, int]], best: list[tuple[int, int]], k: int = TOP) -> tuple[list[tuple[int, int]], int]:
         """The ``k`` best (-score, key) of ``best`` and this shard's documents, and how many of them were scored; ``item`` has terms and weights above 0."""
-        own = [(self.place[t], t, w) for t, w in item if t in self.place]
-        if not own:
+        own = sorted((w * int(self.list_parts[self.place[t]]), self.place[t], t, w) for t, w in item if t in self.place)
+        # lists whose largest parts together stay below the k-th score hold no document by themselves
+        most = np.cumsum([x[0] for x in own])
+        opened = own if len(best) < k else own[int(np.searchsorted(most, -best[-1][0], side="left")) :]
+        if not opened:
             return best, 0
-        for _, t, w in own:
+        for _, _, t, w in own:
             self.dense[t] = w
         bounds = np.zeros(len(self.block_starts) - 1, np.int64)
-        for at, _, w in own:
+        for _, at, _, w in own:
             a, b = self.sum_starts[at], self.sum_starts[at + 1]
-            bounds[self.sum_blocks[a:b]] += w * self.sum_parts[a:b].astype(np.int64)
-        blocks = np.concatenate([np.arange(self.list_starts[at], self.list_starts[at + 1]) for at, _, _ in own])
+            bounds[self.sum_blocks[a:b]] += w * UNIT * self.sum_parts[a:b].astype(np.int64)
+        blocks = np.concatenate([np.arange(self.list_starts[at], self.list_starts[at + 1]) for _, at, _, _ in opened])
         short = blocks[bounds[blocks] == 0]  # lists of one block have no summary
         rest = blocks[bounds[blocks] > 0]
         rest = rest[np.argsort(-bounds[rest], kind="stable")]
@@ -244,10 +282,11 @@ class Shard:
             seen[docs] = True
             scored += len(docs)
             found = self.scores(docs, self.dense)
-            least = -best[-1][0] if len(best) >= k else 1
-            good = found >= max(least, 1)
+            good = np.flatnonzero(found >= max(-best[-1][0] if len(best) >= k else 1, 1))
+            if len(good) > k:  # the k best of these, and what is as good as the last
+                good = good[found[good] >= np.partition(found[good], -k)[-k]]
             best = sorted(best + list(zip((-found[good]).tolist(), self.keys[docs[good]].tolist(), strict=True)))[:k]
-        for _, t, _ in own:
+        for _, _, t, _ in own:
             self.dense[t] = 0
         return best, scored
 
@@ -258,7 +297,7 @@ def _searched(index: DataFrame, items, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, int]]] = {n: [] for n, _ in items.value}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 shard = Shard(row)
                 for n, item in items.value:
                     best[n], _ = shard.search(item, best[n], k)
