@@ -7,15 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Small pools for stand-in values; a value always gets the same one.
-POOLS = {
-    "fake_name": ("Alex Moor", "Robin Hale", "Sam Winter", "Kim Rivers", "Toni Field", "Lee Marsh", "Jo Summer", "Max Stone"),
-    "fake_address": ("1 Elm Road", "2 Oak Lane", "3 Ash Street", "4 Fir Court", "5 Yew Place", "6 Bay Drive", "7 Ivy Way", "8 Rue Terrace"),
-    "fake_city": ("Northam", "Eastwick", "Southby", "Westow", "Midham", "Overton", "Netherby", "Upwell"),
-    "fake_company": ("Acorn Works", "Birch Supply", "Cedar Group", "Dune Trading", "Ember Labs", "Fjord Lines", "Grove Foods", "Harbor Tools"),
-    "fake_email": tuple(f"user{k}@example.com" for k in range(1, 9)),
-    "fake_phone": tuple(f"+1-202-555-01{k:02d}" for k in range(10, 18)),
-}
+#: Syllables of stand-in names: a consonant and what follows it, 16 each, so that a hex digit picks one. Each begins with a
+#: consonant and has one only there or at its end before another, so a row of syllables can be read in one way.
+ONSETS = "b c d f g h j k l m n p r s t v".split()
+RIMES = "a e i o u ai au ea ei ie oa oi ou ua ue ui".split()
+STREETS = "Road Lane Street Court Avenue Drive Way Place Close Row Hill Square Terrace Walk Crescent Gardens".split()
+#: Rounds of the permutation.
+ROUNDS = 4
 BLOCK = 64
 
 
@@ -48,10 +46,47 @@ def hmac_sha256(value: Column, key: str) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(first)), 256)
 
 
-def stand_in(pool: tuple[str, ...], digest: Column) -> Column:
-    """A value of ``pool``, chosen by a digest."""
-    at = F.pmod(F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long"), F.lit(len(pool))).cast("int")
-    return F.element_at(F.array(*map(F.lit, pool)), at + 1)
+def permuted(value: Column, key: str) -> Column:
+    """The first 64 bits of a value's SHA-256 under a keyed Feistel permutation, as 16 hex digits.
+
+    As each round can be undone, different digests stay different: two values share a
+    result only if the first 64 bits of their digests are equal.
+    """
+    number = lambda x: F.conv(x, 16, 10).cast("long")
+
+    def swapped(bits: Column, k: Column) -> Column:
+        left, right = F.substring(bits, 1, 8), F.substring(bits, 9, 8)
+        mixed = F.substring(hmac_sha256(F.concat(k.cast("string"), F.lit(":"), right), key), 1, 8)
+        return F.concat(right, F.lower(F.lpad(F.hex(number(left).bitwiseXOR(number(mixed))), 8, "0")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.substring(F.sha2(F.encode(value, "UTF-8"), 256), 1, 16), swapped)
+
+
+def _digit(bits: Column, k: int, items: list[str]) -> Column:
+    """The item that hex digit ``k`` of ``bits`` picks of sixteen."""
+    return F.element_at(F.array(*map(F.lit, items)), F.conv(F.substring(bits, k + 1, 1), 16, 10).cast("int") + 1)
+
+
+def syllables(bits: Column, first: int, n: int) -> Column:
+    """``n`` syllables from the hex digits of ``bits`` from ``first`` on, two a syllable."""
+    return F.concat(*[x for k in range(first, first + 2 * n, 2) for x in (_digit(bits, k, ONSETS), _digit(bits, k + 1, RIMES))])
+
+
+def stand_ins(bits: Column) -> dict[str, Column]:
+    """Stand-in values from 64 permuted bits. Names, addresses, cities, companies and mail hold all of them, a phone number twelve digits' worth."""
+    name = lambda b, first, n: F.initcap(syllables(b, first, n))
+    number = lambda b, n: F.conv(F.substring(b, 1, n), 16, 10).cast("long")
+    made = {
+        "fake_name": lambda b: F.concat_ws(" ", name(b, 0, 2), name(b, 4, 2), name(b, 8, 4)),
+        "fake_address": lambda b: F.concat_ws(" ", (number(b, 3) + 1).cast("string"), name(b, 3, 6), _digit(b, 15, STREETS)),
+        "fake_city": lambda b: F.concat_ws(" ", name(b, 0, 4), name(b, 8, 4)),
+        "fake_company": lambda b: F.concat(name(b, 0, 4), F.lit(" "), name(b, 8, 4), F.lit(" Ltd")),
+        "fake_email": lambda b: F.concat(syllables(b, 0, 4), F.lit("."), syllables(b, 8, 4), F.lit("@example.com")),
+        # fixed value: country code 999 is not assigned
+        "fake_phone": lambda b: F.concat(F.lit("+999"), F.lpad(F.pmod(number(b, 15), F.lit(10**12)).cast("string"), 12, "0")),
+    }
+    # an array of one, so that the bits are worked out once for all digits
+    return {token: F.get(F.transform(F.array(bits), put), F.lit(0)) for token, put in made.items()}
 
 
 def token_columns(entity: str, value: Column, n: Column, strategy: str, key: str | None) -> dict[str, Column]:
@@ -61,10 +96,9 @@ def token_columns(entity: str, value: Column, n: Column, strategy: str, key: str
     if strategy in ("substitute", "encrypt"):
         if key is None:
             raise ValueError(f"strategy {strategy} needs a key")
-        keyed = hmac_sha256(value, key)
-        tokens |= {name: stand_in(pool, keyed) for name, pool in POOLS.items()}
+        tokens |= stand_ins(permuted(value, key))
         if strategy == "encrypt":
-            tokens["encrypted"] = keyed
+            tokens["encrypted"] = hmac_sha256(value, key)
     return tokens
 
 

@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import NEEDED, Catalog, builtin_entities
-from ..functions.text import chunks
+from ..functions.text import chunk_at_blanks, chunk_at_lines
 
 SPAN = "struct<text:string,start:int,end:int,entity_id:string,display_name:string,confidence:double,source:string,seq:int>"
 SPANS = f"array<{SPAN}>"
@@ -26,6 +26,10 @@ SPANS = f"array<{SPAN}>"
 MIN_SCORE = 0.6
 
 
+#: Takes texts, labels and a threshold; gives (start, end, label, score) of what it finds in each text.
+Scorer = Callable[[list[str], list[str], float], list[list[tuple[int, int, str, float]]]]
+
+
 def luhn(number: str) -> bool:
     """The check digit of card numbers."""
     digits = [int(c) for c in number if c.isdigit()]
@@ -90,9 +94,13 @@ def recognise(text: str, wanted: dict[str, str], min_score: float = MIN_SCORE) -
 
 
 class Rules:
-    """The rules of a catalogue, compiled once a worker; a rule that doesn't compile is left out."""
+    """The rules of a catalogue, compiled once a worker; a rule that doesn't compile is left out.
+
+    ``tagger``, trained on labels PERSON and ORG, is the recogniser of these two.
+    """
 
-    def __init__(self, catalog: Catalog) -> None:
+    def __init__(self, catalog: Catalog, tagger: Scorer | None = None) -> None:
+        self.tagger = tagger
         self.names = {e.id: e.display_name for e in catalog.entities}
         self.recognizers = catalog.recognizers()
         own = {p for e in builtin_entities() for p in e.patterns}  # only of these is it known that a \d must match
@@ -115,6 +123,8 @@ class Rules:
         if not text:
             return []
         out = [self._span(text, a, b, entity, score) for a, b, entity, score in recognise(text, self.recognizers)]
+        if self.tagger is not None:
+            out += [self._span(text, a, b, self.recognizers[name], score) for a, b, name, score in self.tagger([text], list(self.recognizers), MIN_SCORE)[0] if name in self.recognizers]
         digits = DIGIT.search(text) is not None
         held = {w for _, w in self.words.iter(text.lower())} if len(self.words) else set()
         for entity, pattern, numeric, needed in self.rules:
@@ -140,12 +150,12 @@ def scan_safely(rules: Rules, text: str | None) -> tuple[list[dict], str | None]
         return [], type(e).__name__
 
 
-def detect_rules(df: DataFrame, catalog: Catalog, text: str = "text_clean", out: str = "spans") -> DataFrame:
+def detect_rules(df: DataFrame, catalog: Catalog, text: str = "text_clean", out: str = "spans", tagger: Scorer | None = None) -> DataFrame:
     """Adds the spans of all rules and recognisers, and layer_error where a row's scan failed (it then has none)."""
 
     @F.pandas_udf(f"struct<spans:{SPANS},error:string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        rules = Rules(catalog)
+        rules = Rules(catalog, tagger)
         for texts in batches:
             yield pd.DataFrame([scan_safely(rules, t) for t in texts], columns=["spans", "error"])
 
@@ -157,9 +167,6 @@ def rule_values(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?imd){pattern}"), F.lit(1 if re.compile(pattern).groups else 0))
 
 
-Scorer = Callable[[list[str], list[str], float], list[list[tuple[int, int, str, float]]]]
-
-
 def gazetteer(phrases: dict[str, list[str]]) -> Scorer:
     """A scorer that finds the phrases of each label, whole words in any case, at a score of 0.9."""
 
@@ -173,41 +180,86 @@ def gazetteer(phrases: dict[str, list[str]]) -> Scorer:
     return score
 
 
-def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: float = 0.4, size: int = 1200, overlap: int = 100, text: str = "text_clean", key: str = "doc_id") -> DataFrame:
-    """key and spans of a model: chunks of the text are scored, offsets put back, equal spans kept once with the best score.
+def score_texts(texts: list[str], catalog: Catalog, scorer: Scorer, threshold: float, size: int, overlap: int) -> list[list[dict]]:
+    """The spans of a model in each text: chunks scored together, offsets put back, equal spans once with the best score, the first of equal ones."""
+    labels, names = catalog.labels(), {e.id: e.display_name for e in catalog.entities}
+    cut = [chunk_at_blanks(t or "", size, overlap) for t in texts]
+    parts = [part for own in cut for _, part in own]
+    try:
+        found = scorer(parts, list(labels), threshold)
+    except Exception:  # a chunk that the model fails on has no spans; the others keep theirs
+        found = []
+        for p in parts:
+            try:
+                found += scorer([p], list(labels), threshold)
+            except Exception:
+                found.append([])
+    out, at = [], 0
+    for own in cut:
+        best: dict[tuple[int, int, str], dict] = {}
+        for (offset, part), spans in zip(own, found[at : at + len(own)], strict=True):
+            for a, b, name, score in spans:
+                if name not in labels or score < threshold:
+                    continue
+                entity = labels[name]
+                key = (a + offset, b + offset, entity)
+                if key not in best or score > best[key]["confidence"]:
+                    best[key] = {"text": part[a:b], "start": key[0], "end": key[1], "entity_id": entity, "display_name": names[entity], "confidence": float(score), "source": "ner"}
+        at += len(own)
+        out.append([s | {"seq": k} for k, (_, s) in enumerate(sorted(best.items()))])
+    return out
+
+
+def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: float = 0.4, size: int = 1200, overlap: int = 100, text: str = "text_clean", out: str = "spans") -> DataFrame:
+    """Adds the spans of a model, by place and entity: overlapping chunks of the text are scored and their spans merged.
 
-    ``scorer`` takes texts, labels and a threshold and returns (start, end, label, score)
-    a text. A chunk that it fails on has no spans. Spans of unknown labels are dropped.
+    Everything stays in the row, whatever its id: no join and no shuffle. ``scorer`` takes
+    texts, labels and a threshold and returns (start, end, label, score) a text. Spans of
+    unknown labels are dropped; null and empty texts have none.
     """
-    labels, names = catalog.labels(), {e.id: e.display_name for e in catalog.entities}
-    each = df.select(key, F.explode(chunks(F.col(text), size, overlap)).alias("c")).select(key, "c.*")
 
     @F.pandas_udf(SPANS)
-    def score(offsets: pd.Series, parts: pd.Series) -> pd.Series:
-        out = []
-        try:
-            found = scorer(list(parts), list(labels), threshold)
-        except Exception:
-            found = []
-            for p in parts:
-                try:
-                    found += scorer([p], list(labels), threshold)
-                except Exception:
-                    found.append([])
-        for offset, part, spans in zip(offsets, parts, found, strict=True):
-            out.append([{"text": part[a:b], "start": a + offset, "end": b + offset, "entity_id": labels[name], "display_name": names[labels[name]], "confidence": float(s), "source": "ner", "seq": k} for k, (a, b, name, s) in enumerate(spans) if name in labels and s >= threshold])
-        return pd.Series(out)
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(list(texts), catalog, scorer, threshold, size, overlap), dtype=object)
 
-    spans = each.select(key, "chunk_idx", F.explode(score("offset", "chunk")).alias("s"))
-    best = spans.groupBy(key, "s.start", "s.end", "s.entity_id").agg(F.max_by("s", F.struct("s.confidence", -F.col("chunk_idx"), -F.col("s.seq"))).alias("s"))
-    return best.groupBy(key).agg(F.array_sort(F.collect_list("s"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])).alias("spans"))
+    return df.withColumn(out, score(F.col(text)))
 
 
-def candidates_of_chunks(chunks_table: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every chunk with the spans (exploded, as entity_id, text, start, end) that overlap it; chunks without any stay."""
-    c, s = chunks_table.alias("c"), spans.alias("s")
-    overlap = (F.col(f"c.{key}") == F.col(f"s.{key}")) & (F.col("s.start") < F.col("c.offset") + F.length("c.chunk")) & (F.col("s.end") > F.col("c.offset"))
-    return c.join(s, overlap, "left").select("c.*", F.col("s.entity_id").alias("entity_id"), F.col("s.text").alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+#: Characters of a bucket of positions in joins of intervals.
+BUCKET = 2048
+
+
+def candidates_of_chunks(chunks_table: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """Every chunk with the spans (exploded, as entity_id, text, start, end) that overlap it; chunks without any stay.
+
+    Chunks and spans meet by key and bucket of positions, so the work is linear in the
+    table, its spans' lengths and the result, and a long document is spread over tasks.
+    A pair that shares several buckets counts in the first one that both reach. Null keys
+    are a key like others; rows that share a key meet all spans of it.
+    """
+    reach = lambda first, end: F.explode(F.sequence(F.floor(first / bucket), F.floor(F.greatest(first, end - 1) / bucket)))
+    begin, end = F.col("offset"), F.col("offset") + F.length("chunk")
+    some = chunks_table.withColumns({"_begin": begin, "_end": end}).withColumn("_bucket", reach(F.col("_begin"), F.col("_end")))
+    places = spans.select(F.col(key).alias("_key"), F.col("entity_id"), F.col("text"), F.col("start"), F.col("end")).withColumn("_at", reach(F.col("start"), F.col("end")))
+    home = F.greatest(F.floor(F.col("_begin") / bucket), F.floor(F.col("start") / bucket))
+    met = some.join(places, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_at"))).where((F.col("start") < F.col("_end")) & (F.col("end") > F.col("_begin")) & (F.col("_bucket") == home))
+    named = ["entity_id", "text", "start", "end"]
+    found = met.select(*chunks_table.columns, *named)
+    had = found.select(F.col(key).alias("_k"), F.col("offset").alias("_o"), F.length("chunk").alias("_n")).distinct()
+    lone = chunks_table.join(had, F.col(key).eqNullSafe(F.col("_k")) & (F.col("offset") == F.col("_o")) & (F.length("chunk") == F.col("_n")), "left_anti")
+    return found.unionByName(lone, allowMissingColumns=True)
+
+
+def inside(parts: list[tuple[int, str]], spans: list[dict]) -> list[list[dict]]:
+    """For each chunk (offset, text), by rising offsets, the spans that overlap it, by start; a sweep, linear in spans and result."""
+    todo, at, active, out = sorted(spans, key=lambda s: (s["start"], s["seq"])), 0, [], []
+    for offset, part in parts:
+        while at < len(todo) and todo[at]["start"] < offset + len(part):
+            active.append(todo[at])
+            at += 1
+        active = [s for s in active if s["end"] > offset]  # offsets rise, so what ends here is in no later chunk
+        out.append([s for s in active if s["start"] < offset + len(part)])
+    return out
 
 
 def token_budget(n: Column, configured: int = 1024) -> Column:
@@ -221,13 +273,31 @@ PROMPT = ("Entities:\n", "\nText:\n", "\nCandidates (JSON):\n", "\nAnswer with a
 def build_review_prompts(df: DataFrame, catalog: Catalog, configured: int = 1024, size: int = 3500, overlap: int = 200, text: str = "text_clean", key: str = "doc_id", parts: tuple[str, str, str, str] = PROMPT) -> DataFrame:
     """key, chunk_idx, offset, prompt and max_tokens: one prompt a chunk, with the candidates among ``spans`` that overlap it.
 
-    The prompt is put together from fixed parts, so texts that look like placeholders change nothing.
+    One helper cuts the text and deals its spans to the chunks, so the spans of a document
+    don't travel with each of its chunks. The prompt is put together from fixed parts, so
+    texts that look like placeholders change nothing. ``key`` goes with the answers; where
+    ids are null or repeat, number the rows first (:func:`numbered_rows`).
     """
     entities = "\n".join(f"  {e.id} ({e.display_name})" for e in catalog.entities)
-    each = df.select(key, "spans", F.explode(chunks(F.col(text), size, overlap, at="line")).alias("c")).select(key, "spans", "c.*")
-    inside = F.filter("spans", lambda s: (s["start"] < F.col("offset") + F.length("chunk")) & (s["end"] > F.col("offset")))
-    told = F.to_json(F.transform(inside, lambda s: F.struct(s["entity_id"].alias("e"), s["text"].alias("t"))))
-    return each.select(key, "chunk_idx", "offset", F.concat(F.lit(parts[0] + entities + parts[1]), F.col("chunk"), F.lit(parts[2]), told, F.lit(parts[3])).alias("prompt"), token_budget(F.size(inside), configured).alias("max_tokens"))
+
+    @F.pandas_udf("array<struct<chunk_idx:int,offset:int,chunk:string,told:string,n:int>>")
+    def cut(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for t, spans in zip(texts, rows, strict=True):
+            own = chunk_at_lines(t or "", size, overlap)
+            told = inside(own, [] if spans is None else list(spans))
+            out.append([{"chunk_idx": k, "offset": o, "chunk": c, "told": json.dumps([{"e": s["entity_id"], "t": s["text"]} for s in some], ensure_ascii=False, separators=(",", ":")), "n": len(some)} for k, ((o, c), some) in enumerate(zip(own, told, strict=True))])
+        return pd.Series(out, dtype=object)
+
+    each = df.select(key, F.explode(cut(F.col(text), F.col("spans"))).alias("c")).select(key, "c.*")
+    prompt = F.concat(F.lit(parts[0] + entities + parts[1]), F.col("chunk"), F.lit(parts[2]), F.col("told"), F.lit(parts[3]))
+    return each.select(key, "chunk_idx", "offset", prompt.alias("prompt"), token_budget(F.col("n"), configured).alias("max_tokens"))
+
+
+def numbered_rows(df: DataFrame, path: str, name: str = "row_id") -> DataFrame:
+    """``df`` with a number of each row's own, written to ``path`` and read again, so that answers that come later find their rows whatever their ids."""
+    df.withColumn(name, F.monotonically_increasing_id()).write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def parse_response(raw: str | None) -> tuple[bool, list[dict]]:
@@ -279,9 +349,66 @@ def looks_truncated(raw: Column) -> Column:
     return (at > 0) & (F.locate("]", F.substr(raw, at)) == 0)
 
 
+#: Most tokens of an answer, whatever the attempt.
+MOST_TOKENS = 1536
+
+
 def retries(responses: DataFrame) -> DataFrame:
     """Answers that look cut off, with twice their budget, at most 1536."""
-    return responses.where(looks_truncated(F.col("raw"))).withColumn("max_tokens", F.least(2 * F.col("max_tokens"), F.lit(1536)))
+    return responses.where(looks_truncated(F.col("raw"))).withColumn("max_tokens", F.least(2 * F.col("max_tokens"), F.lit(MOST_TOKENS)))
+
+
+def settle(ledger: DataFrame, key: str = "doc_id", most_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What a ledger of attempts says of each chunk: its answer so far, and which chunks to ask again.
+
+    ``ledger`` has key, chunk_idx, attempt (from 1), call_ok, raw and max_tokens. The first
+    result has, for each chunk, its latest good answer (call and parse succeeded, not cut
+    off), else its latest one, as the columns of the ledger with ok. The second has the
+    chunks whose latest attempt was cut off or failed and that have attempts left: the next
+    attempt's number, with twice the budget after a cut. One aggregate, no join.
+    """
+    cut = F.coalesce(looks_truncated(F.col("raw")), F.lit(False))
+    good = F.coalesce(F.col("call_ok") & parsed_response("raw")["ok"] & ~cut, F.lit(False))
+    judged = ledger.withColumns({"_good": good, "_cut": cut})
+    row = F.struct("attempt", "call_ok", "raw", "max_tokens", "_good", "_cut")
+    each = judged.groupBy(key, "chunk_idx").agg(F.max_by(row, F.struct("_good", "attempt")).alias("b"), F.max_by(row, "attempt").alias("l"))
+    settled = each.select(key, "chunk_idx", "b.attempt", "b.call_ok", "b.raw", "b.max_tokens", F.col("b._good").alias("ok"))
+    doubled = F.when(F.col("l._cut"), F.least(2 * F.col("l.max_tokens"), F.lit(MOST_TOKENS))).otherwise(F.col("l.max_tokens"))
+    again = each.where(~F.col("b._good") & (F.col("l.attempt") < most_attempts)).select(key, "chunk_idx", (F.col("l.attempt") + 1).alias("attempt"), doubled.cast("int").alias("max_tokens"))
+    return settled, again
+
+
+def review(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame], path: str, key: str = "doc_id", most_attempts: int = 3) -> DataFrame:
+    """The settled answers of ``prompts``: asked, and asked again with larger budgets until none is left to ask.
+
+    ``ask`` takes prompts (with attempt and max_tokens) and gives key, chunk_idx, raw and
+    call_ok for them. Each attempt's answers are written under ``path``, by attempt, so a
+    job that stops goes on with the next attempt and asks nothing twice.
+    """
+    spark = prompts.sparkSession
+    columns = (key, "chunk_idx", "attempt", "call_ok", "raw", "max_tokens")
+    todo = prompts.withColumn("attempt", F.lit(1))
+    ledger = None
+    for k in range(1, most_attempts + 1):
+        at = f"{path}/attempt={k}"
+        if not _written(spark, at):
+            asked = ask(todo).select(key, "chunk_idx", "call_ok", "raw")
+            budget = todo.select(F.col(key).alias("_key"), F.col("chunk_idx").alias("_idx"), "attempt", "max_tokens")
+            whole = asked.join(budget, F.col(key).eqNullSafe(F.col("_key")) & (F.col("chunk_idx") == F.col("_idx"))).select(*columns)
+            whole.drop("attempt").write.mode("overwrite").parquet(at)
+        ledger = spark.read.parquet(path).select(*columns).where(F.col("attempt") <= k)
+        settled, again = settle(ledger, key, most_attempts)
+        if not again.limit(1).count():
+            return settled
+        new = again.select(F.col(key).alias("_key"), F.col("chunk_idx").alias("_idx"), F.col("attempt"), F.col("max_tokens"))
+        todo = prompts.drop("max_tokens").join(new, F.col(key).eqNullSafe(F.col("_key")) & (F.col("chunk_idx") == F.col("_idx"))).drop("_key", "_idx")
+    return settle(ledger, key, most_attempts)[0]
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a job finished writing ``path``."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
 
 REVIEWED = 0.93
@@ -293,39 +420,75 @@ def valid_detections(items: DataFrame, catalog_ids: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(catalog_ids.select(F.col("id").alias("entity_id"))), "entity_id", "left_semi")
 
 
+def folded(text: str) -> str:
+    """``text`` with each character in its folded case where that is one character, so that offsets stay as they are."""
+    if text.isascii():
+        return text.lower()
+    return "".join(f if len(f := c.casefold()) == 1 else f if len(f := c.lower()) == 1 else c for c in text)
+
+
+def _occurrences(text: str, values: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """All places of the values, overlapping ones too, by one automaton over the text."""
+    machine = ahocorasick.Automaton()
+    for v in values:
+        machine.add_word(v, v)
+    out: dict[str, list[tuple[int, int]]] = {}
+    if len(machine):
+        machine.make_automaton()
+        for last, v in machine.iter(text):
+            out.setdefault(v, []).append((last + 1 - len(v), last + 1))
+    return out
+
+
+def find_values(text: str, values: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """For each value every exact occurrence, overlapping ones too; where there is none, those in any case, one behind the other."""
+    asked = [v for v in dict.fromkeys(values) if v]
+    exact = _occurrences(text, asked)
+    missing = [v for v in asked if v not in exact]
+    if missing:
+        loose = _occurrences(folded(text), [folded(v) for v in missing])
+        for v in missing:
+            upto = -1
+            for a, b in loose.get(folded(v), ()):
+                if a >= upto:
+                    exact.setdefault(v, []).append((a, b))
+                    upto = b
+    return exact
+
+
 def find_all(text: str, value: str) -> list[tuple[int, int]]:
-    """Every exact occurrence, overlapping ones too; where there is none, those in any case, one behind the other."""
-    out, at = [], text.find(value)
-    while at >= 0 and value:
-        out.append((at, at + len(value)))
-        at = text.find(value, at + 1)
-    return out or [m.span() for m in re.finditer(re.escape(value), text, re.I) if value]
+    """:func:`find_values` of one value."""
+    return find_values(text, [value]).get(value, [])
 
 
 def locate(df: DataFrame, detections: DataFrame, catalog: Catalog, text: str = "text_clean", key: str = "doc_id") -> DataFrame:
     """``df`` with the spans (``llm_spans``) of the detections (key, entity_id, text, confidence) of each document.
 
     Detections are made distinct and gathered to one array a document before they meet
-    the texts; the first one of equal place and entity wins.
+    the texts; one automaton a document then finds all its values. The first one of equal
+    place and entity wins. Null keys are a key like others. ``key`` should name rows: rows
+    that share one are searched for all values of it; :func:`numbered_rows` gives each its own.
     """
     names = {e.id: e.display_name for e in catalog.entities}
     one = detections.groupBy(key, "entity_id", "text").agg(F.max("confidence").alias("confidence"))
-    lists = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entity_id", "text", "confidence"))).alias("_asked"))
+    lists = one.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("entity_id", "text", "confidence"))).alias("_asked"))
 
     @F.pandas_udf(SPANS)
     def place(texts: pd.Series, asked: pd.Series) -> pd.Series:
         out = []
         for t, items in zip(texts, asked, strict=True):
             seen, spans = set(), []
-            for x in items if items is not None else []:
-                for a, b in find_all(t or "", x["text"]):
+            items = list(items) if items is not None else []
+            found = find_values(t or "", [x["text"] for x in items]) if items else {}
+            for x in items:
+                for a, b in found.get(x["text"], ()):
                     if (a, b, x["entity_id"]) not in seen:
                         seen.add((a, b, x["entity_id"]))
                         spans.append({"text": t[a:b], "start": a, "end": b, "entity_id": x["entity_id"], "display_name": names.get(x["entity_id"], x["entity_id"]), "confidence": x["confidence"], "source": "llm", "seq": len(spans)})
             out.append(spans)
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    return df.join(lists, key, "left").withColumn("llm_spans", place(F.col(text), F.col("_asked"))).drop("_asked")
+    return df.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("llm_spans", place(F.col(text), F.col("_asked"))).drop("_asked", "_key")
 
 
 def document_gate(chunk_results: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -336,12 +499,15 @@ def document_gate(chunk_results: DataFrame, key: str = "doc_id") -> DataFrame:
 def ingest_responses(df: DataFrame, responses: DataFrame, catalog: Catalog, text: str = "text_clean", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Documents of ``df`` with ``llm_spans`` from the answers (key, chunk_idx, raw, call_ok), and the rejected ones.
 
-    Documents with a blank text pass without an answer; others without one good answer are rejected.
+    Documents with a blank text pass without an answer; others without one good answer are
+    rejected. Answers find their documents by ``key``; where doc_ids are null or repeat it
+    should be the number that :func:`numbered_rows` gave, or one document's answer would
+    pass the others of its id.
     """
     parsed = responses.withColumn("p", parsed_response("raw"))
-    gate = document_gate(parsed.select(key, "call_ok", F.col("p.ok").alias("parse_ok")), key)
+    gate = document_gate(parsed.select(key, "call_ok", F.col("p.ok").alias("parse_ok")), key).select(F.col(key).alias("_key"), "ok")
     items = parsed.where("call_ok AND p.ok").select(key, F.explode("p.items").alias("i")).select(key, "i.*")
     ids = df.sparkSession.createDataFrame([(e.id,) for e in catalog.entities], "id string")
-    judged = df.join(gate, key, "left").withColumn("ok", F.coalesce("ok", F.lit(False)) | (F.trim(F.col(text)) == ""))
+    judged = df.join(gate, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("ok", F.coalesce("ok", F.lit(False)) | (F.trim(F.coalesce(F.col(text), F.lit(""))) == ""))
     rejects = judged.where(~F.col("ok")).select(key, F.lit("review_failed").alias("reject_reason"))
     return locate(judged.where("ok").drop("ok"), valid_detections(items, ids), catalog, text, key), rejects

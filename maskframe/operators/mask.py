@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import json
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,22 +13,28 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.masking import mask_value
-from ..functions.text import clean, guess_language, prepare, strip
-from .detect import SPAN, SPANS, Rules, Scorer, detect_rules, scan_safely
+from ..functions.text import LEAST_LEAF, clean, guess_language, json_strings, strip
+from .detect import SPAN, SPANS, Rules, Scorer, scan_safely, score_texts
 from .spans import fold, trim_lines
 
 MAX_CHARS = 500_000
+#: Size and overlap of the chunks that a model scores.
+MODEL_CHUNKS = (1200, 100)
 
 
 @dataclass(frozen=True)
 class MaskOptions:
-    """How documents are masked. ``key`` is needed only by keyed strategies."""
+    """How documents are masked. ``key`` is needed only by keyed strategies. Texts of more than ``max_chars`` characters are rejected, not masked."""
 
     text: str = "text"
     language: str = "auto"
     max_chars: int = MAX_CHARS
     key: str | None = None
     keep_original: bool = False
+    #: Recogniser of names (labels PERSON and ORG), and a model over chunks with its least score.
+    tagger: Scorer | None = None
+    scorer: Scorer | None = None
+    threshold: float = 0.4
 
 
 def guard(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
@@ -99,16 +107,16 @@ def mask_spans_column(spans: Column, catalog: Catalog, key: str | None = None) -
     return F.transform(own, lambda s: F.struct(s["text"].alias("original"), masked(s).alias("masked"), s["entity_id"].alias("entity_id"), strategy(s).alias("strategy"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def splice(gaps: Column, masked: Column) -> Column:
+def splice(gaps: Column, masked: Column, escape: Callable[[Column], Column] = lambda m: m) -> Column:
     """The text of ``gaps`` with the masked spans between them."""
-    return F.concat(F.array_join(F.transform(masked, lambda m, i: F.concat(F.get(gaps, i), m["masked"])), ""), F.get(gaps, F.size(masked)))
+    return F.concat(F.array_join(F.transform(masked, lambda m, i: F.concat(F.get(gaps, i), escape(m["masked"]))), ""), F.get(gaps, F.size(masked)))
 
 
-def _put(df: DataFrame, catalog: Catalog, key: str | None) -> DataFrame:
+def _put(df: DataFrame, catalog: Catalog, key: str | None, escape: Callable[[Column], Column] = lambda m: m) -> DataFrame:
     """Adds masked_text and masked_spans from ``_placed``, which is dropped."""
     masked = df.withColumn("_masked", mask_spans_column(_with_numbers(F.col("_placed")), catalog, key))
     # descending by start, as the replacement goes from right to left
-    return masked.withColumns({"masked_text": splice(F.col("_placed.gaps"), F.col("_masked")), "masked_spans": F.reverse("_masked")}).drop("_placed", "_masked")
+    return masked.withColumns({"masked_text": splice(F.col("_placed.gaps"), F.col("_masked"), escape), "masked_spans": F.reverse("_masked")}).drop("_placed", "_masked")
 
 
 def mask_spans(df: DataFrame, catalog: Catalog, key: str | None = None, text: str = "text_clean", spans: str = "spans") -> DataFrame:
@@ -175,12 +183,13 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
 
     @F.pandas_udf(_RESOLVED + ",language:string,error:string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        rules = Rules(catalog)
+        rules = Rules(catalog, options.tagger)
         for texts in batches:
+            modelled = score_texts(list(texts), catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [[]] * len(texts)
             rows = []
-            for t in texts:
+            for t, more in zip(texts, modelled, strict=True):
                 found, error = scan_safely(rules, t)
-                rows.append((*resolver(t or "", found), guess_language(t) if configured == "auto" else configured, error))
+                rows.append((*resolver(t or "", found + more), guess_language(t) if configured == "auto" else configured, error))
             yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error"])
 
     ready = clean(good, options.text).withColumn("_placed", scan("text_clean")).withColumns({"language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})
@@ -188,20 +197,76 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     return out if options.keep_original else out.drop(options.text)
 
 
+def _quoted(text: str) -> str:
+    """``text`` as it stands within a JSON string; lone surrogates as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False)[1:-1])
+
+
+def place_in_json(text: str, find: Callable[[str], list[dict]], known: frozenset[str]) -> tuple[list[dict], list[int], list[str]] | None:
+    """As :func:`place` for the string leaves of a JSON text; None where it isn't JSON.
+
+    ``find`` gives the disjoint spans of a leaf. Spans have the places of their values in
+    their leaf's own text; values are numbered over the whole text. The pieces around them
+    are the text as it stands: only a leaf that holds a span is written anew, so the order
+    of keys, numbers, white space and the escapes of all other strings stay.
+    """
+    leaves = json_strings(text, paths=False)
+    if leaves is None:
+        return None
+    spans, gaps, held, upto = [], [], [], 0
+    for _, begin, end in leaves:
+        value = json.loads(text[begin:end])
+        if len(value) < LEAST_LEAF:
+            continue
+        own = sorted(find(re.sub("[\ud800-\udfff]", "\ufffd", value)), key=lambda s: s["start"])
+        masked = [s for s in own if s["entity_id"] in known]
+        spans += own
+        if not masked:
+            continue
+        held.append(text[upto : begin + 1])
+        at = 0
+        for s in masked:
+            gaps.append("".join(held) + _quoted(value[at : s["start"]]))
+            held, at = [], s["end"]
+        held.append(_quoted(value[at:]))
+        upto = end - 1
+    return spans, number(spans), [*gaps, "".join(held) + text[upto:]]
+
+
+def mask_json(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskOptions()) -> DataFrame:
+    """Adds masked_text (``options.text`` with its string leaves masked in place), detected_spans and masked_spans to rows of JSON texts.
+
+    Texts that aren't JSON have a null masked_text and no spans, null texts too: mask those
+    as documents. Depth and length of a text are bounded only by memory.
+    """
+    resolver = Resolver(catalog)
+
+    @F.pandas_udf(f"struct<ok:boolean,{PLACED}>")
+    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rules = Rules(catalog, options.tagger)
+        find = lambda value: trim_lines(fold(scan_safely(rules, value)[0], resolver.priority), resolver.no_multiline)
+        for texts in batches:
+            made = [None if t is None else place_in_json(t, find, resolver.known) for t in texts]
+            yield pd.DataFrame([(False, [], [], [""]) if m is None else (True, *m) for m in made], columns=["ok", "spans", "n", "gaps"])
+
+    ready = df.withColumn("_placed", placed(F.col(options.text))).withColumns({"detected_spans": F.col("_placed.spans"), "_ok": F.col("_placed.ok")})
+    return _put(ready, catalog, options.key, escape=json_escaped).withColumn("masked_text", F.when(F.col("_ok"), F.col("masked_text"))).drop("_ok")
+
+
+def json_escaped(value: Column) -> Column:
+    """A string as it stands within a JSON string."""
+    whole = F.to_json(F.array(value))
+    return F.substring(whole, F.lit(3), F.length(whole) - 4)
+
+
 def rejects(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
     """The rows that :func:`mask_documents` leaves out, with the reason."""
     return guard(df, text, max_chars).where("reject_reason IS NOT NULL")
 
 
-def mask_with_model(df: DataFrame, catalog: Catalog, scorer: Scorer, options: MaskOptions = MaskOptions(), threshold: float = 0.4, key: str = "doc_id") -> DataFrame:
-    """As :func:`mask_documents`, with a model's spans beside those of the rules."""
-    from .detect import score_chunks
-
-    good = guard(df, options.text, options.max_chars).where("reject_reason IS NULL").drop("reject_reason")
-    ready = detect_rules(prepare(good, options.text, options.language), catalog)
-    found = score_chunks(ready, catalog, scorer, threshold, key=key).withColumnRenamed("spans", "_ner")
-    both = ready.join(found, key, "left").withColumn("spans", F.concat("spans", F.coalesce("_ner", F.array().cast(SPANS)))).drop("_ner")
-    return finish(both, catalog, options)
+def mask_with_model(df: DataFrame, catalog: Catalog, scorer: Scorer, options: MaskOptions = MaskOptions(), threshold: float = 0.4) -> DataFrame:
+    """:func:`mask_documents` with a model's spans beside those of the rules, found in the same helper: no join, whatever the rows' ids."""
+    return mask_documents(df, catalog, replace(options, scorer=scorer, threshold=threshold))
 
 
 def mask_distinct(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskOptions(), key: str = "doc_id") -> DataFrame:
@@ -218,10 +283,23 @@ def number_table(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def span_detail(df: DataFrame, digits: int = 4, missing: str | None = None) -> DataFrame:
-    """One row a detected span: its mask and strategy, or its own text (or ``missing``) and unknown where it has none."""
-    each = df.select("doc_id", "masked_spans", F.explode("detected_spans").alias("s"))
-    own = F.get(F.filter("masked_spans", lambda m: (m["entity_id"] == F.col("s.entity_id")) & (m["original"] == F.col("s.text"))), F.lit(0))
-    fallback = F.lit(missing) if missing is not None else F.col("s.text")
-    return each.withColumn("m", own).select(
+    """One row a detected span: its mask and strategy, or its own text (or ``missing``) and unknown where it has none.
+
+    A helper looks masks up by entity and original, so a document's cost is linear in its spans.
+    """
+    fallback = F.lit(missing).cast("string") if missing is not None else F.col("s.text")
+
+    @F.pandas_udf("array<struct<masked:string,strategy:string>>")
+    def found(spans: pd.Series, masked: pd.Series) -> pd.Series:
+        out = []
+        for own, done in zip(spans, masked, strict=True):
+            by: dict[tuple[str, str], dict] = {}
+            for m in [] if done is None else done:
+                by.setdefault((m["entity_id"], m["original"]), {"masked": m["masked"], "strategy": m["strategy"]})
+            out.append([by.get((s["entity_id"], s["text"])) for s in ([] if own is None else own)])
+        return pd.Series(out, dtype=object)
+
+    both = df.select("doc_id", F.explode(F.arrays_zip(F.col("detected_spans").alias("s"), found("detected_spans", "masked_spans").alias("m"))).alias("x")).select("doc_id", "x.*")
+    return both.select(
         "doc_id", "s.entity_id", "s.display_name", F.col("s.text").alias("original"), F.coalesce("m.masked", fallback).alias("masked"), F.coalesce("m.strategy", F.lit("unknown")).alias("strategy"), F.round("s.confidence", digits).alias("confidence"), "s.source", "s.start", "s.end"
     )

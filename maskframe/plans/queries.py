@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as cat
 from ..functions import masking, text
-from ..operators import detect, mask, report, spans
+from ..operators import detect, mask, report, spans, tagger
 from ..sources import files
 from .forms import FORMS
 
@@ -383,6 +383,60 @@ def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect_rules(made, c, "text").select("o_orderkey", (F.size("spans") > 0).alias("is_iban"))
 
 
+_FIRST, _MORE = "Al Be Ca Do El Fi Ga Ho Is Jo Ka Le".split(), "ba den la mir na ro sa ton".split()
+_LAST, _ENDS = "Bar Cor Dun Ell Fen Gar Hol Kin Lan Mor Nor".split(), "dale field ham ley man ner ski son ton well".split()
+_FIRM, _TRADE, _SORT = "North River Stone Cedar Summit Delta Iron".split(), "Works Trading Systems Partners Supply".split(), "Inc Ltd Group".split()
+_FORMS = (
+    "Yesterday {P} of {O} called about order {N}.", "The parcel from {O} was signed by {P} at noon.", "{P} asked {O} for invoice {N} again.", "We wrote to {P} and then to {O} in the morning.",
+    "Nobody is named in note {N} about the late delivery.", "Please ask {O} why {P} has not been paid yet.", "Order {N} left the North gate for the River bank on Monday.",
+)
+
+
+def _picked(part: Callable[[list[str] | tuple[str, ...], str], str], div: str) -> tuple[str, str, str]:
+    """Expressions for a person, a firm and a sentence by order key; ``part`` picks of a list by a number."""
+    k = "o_orderkey"
+    person = f"concat({part(_FIRST, f'{k} % 12')}, {part(_MORE, f'({k} {div} 12) % 8')}, ' ', {part(_LAST, f'({k} * 7) % 11')}, {part(_ENDS, f'({k} {div} 5) % 10')})"
+    firm = f"concat({part(_FIRM, f'({k} * 3) % 7')}, ' ', {part(_TRADE, f'({k} {div} 7) % 5')}, ' ', {part(_SORT, f'{k} % 3')})"
+    return person, firm, part(_FORMS, f"({k} {div} 2) % 7")
+
+
+_SENTENCE_SQL = "WITH named AS (SELECT o_orderkey, {} AS person, {} AS firm, {} AS form FROM orders), sentences AS (SELECT *, replace(replace(replace(form, '{{P}}', person), '{{O}}', firm), '{{N}}', o_orderkey::VARCHAR) AS text FROM named)".format(
+    *_picked(lambda items, n: f"{list(items)}[1 + ({n})::INTEGER]", "//")
+)
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, spans (of the planted names, by label) and train, false for a fifth: a sentence an order."""
+    quoted = lambda items: ", ".join(f"'{x}'" for x in items)
+    person, firm, form = _picked(lambda items, n: f"element_at(array({quoted(items)}), cast(1 + ({n}) AS int))", "div")
+    named = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(person).alias("person"), F.expr(firm).alias("firm"), F.expr(form).alias("form"))
+    made = named.withColumn("text", F.replace(F.replace(F.replace("form", F.lit("{P}"), F.col("person")), F.lit("{O}"), F.col("firm")), F.lit("{N}"), F.col("o_orderkey").cast("string")))
+    labels = {e: l for l, e in cat.load_catalog().labels().items()}
+    span = lambda mark, value, entity: F.when(F.col("form").contains(mark), F.struct((F.instr("text", F.col(value)) - 1).alias("start"), (F.instr("text", F.col(value)) - 1 + F.length(value)).alias("end"), F.lit(labels[entity]).alias("label")))
+    spans_of = F.array_compact(F.array(span("{P}", "person", "person_name"), span("{O}", "firm", "organization_name")))
+    return made.select(F.col("o_orderkey").alias("doc_id"), "text", spans_of.alias("spans"), (F.col("o_orderkey") % 5 != 0).alias("train"))
+
+
+def name_tagger(spark: SparkSession, sf_dir: str) -> tagger.Tagger:
+    """A tagger of the planted sentences and of records without names."""
+    known = sentences(spark, sf_dir).where("train").select("text", "spans")
+    none = F.array().cast(known.schema["spans"].dataType)
+    return tagger.train_tagger(known.unionByName(customers(spark, sf_dir).select("text", none.alias("spans"))))
+
+
+@query(f"""
+    {_SENTENCE_SQL},
+    found AS (SELECT o_orderkey AS doc_id, 'person_name' AS entity_id, person AS text, strpos(text, person) - 1 AS start FROM sentences WHERE form LIKE '%{{P}}%' AND o_orderkey % 5 = 0
+        UNION ALL SELECT o_orderkey, 'organization_name', firm, strpos(text, firm) - 1 FROM sentences WHERE form LIKE '%{{O}}%' AND o_orderkey % 5 = 0)
+    SELECT doc_id, entity_id, text, start::INTEGER AS start, (start + length(text))::INTEGER AS "end", 'ner' AS source FROM found
+""")
+def tagger_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons and firms that a tagger, learned from four fifths of the planted sentences, finds in the others."""
+    held_out = sentences(spark, sf_dir).where("NOT train").select("doc_id", "text")
+    found = detect.score_chunks(held_out, cat.load_catalog(), name_tagger(spark, sf_dir), 0.5, text="text")
+    return flat(found, "spans").select("doc_id", "entity_id", "text", "start", "end", "source")
+
+
 #: Phrases as whole words in any case, where letters and digits beyond ASCII are first set to q: DuckDB's word boundary knows ASCII only.
 _PHRASES = r"(?i)\b(?:the the|of the|in der|de la)\b"
 _LENGTHS = lambda e: f"coalesce(list_sum(list_transform({e}, lambda x: length(x))), 0)"
@@ -420,6 +474,40 @@ def candidate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("max_tokens", detect.token_budget(F.col("n_candidates")))
 
 
+_LONG = 200_000
+
+
+@query(f"""
+    WITH chunks AS (SELECT nullif(c_custkey % 50, 0) AS doc_id, c_custkey AS chunk_idx, (c_custkey * 3300) % {_LONG} AS "offset" FROM customer),
+    spans AS (SELECT nullif(o_orderkey % 50, 0) AS doc_id, (o_orderkey * 37) % {_LONG} AS start, (o_orderkey * 37) % {_LONG} + 1 + o_orderkey % 30 + CASE WHEN o_orderkey % 97 = 0 THEN 9000 ELSE 0 END AS "end" FROM orders)
+    SELECT c.doc_id, chunk_idx, count(start) AS n, coalesce(sum(start + 3 * "end"), 0)::BIGINT AS places FROM chunks c LEFT JOIN spans s ON c.doc_id IS NOT DISTINCT FROM s.doc_id AND s.start < c."offset" + 3500 AND s."end" > c."offset" GROUP BY ALL
+""")
+def candidate_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by chunk in long documents, one of them without an id; some spans run over several chunks."""
+    k = F.col("o_orderkey")
+    start = (k * 37) % _LONG
+    s = table(spark, sf_dir, "orders").select(F.nullif(k % 50, F.lit(0)).alias("doc_id"), F.lit("ssn").alias("entity_id"), F.lit("t").alias("text"), start.alias("start"), (start + 1 + k % 30 + F.when(k % 97 == 0, 9000).otherwise(0)).alias("end"))
+    c = table(spark, sf_dir, "customer").select(F.nullif(F.col("c_custkey") % 50, F.lit(0)).alias("doc_id"), F.col("c_custkey").alias("chunk_idx"), ((F.col("c_custkey") * 3300) % _LONG).alias("offset"), F.expr("repeat('x', 3500)").alias("chunk"))
+    return detect.candidates_of_chunks(c, s).groupBy("doc_id", "chunk_idx").agg(F.count("start").alias("n"), F.coalesce(F.sum(F.col("start") + 3 * F.col("end")), F.lit(0)).alias("places"))
+
+
+@query("""
+    SELECT doc_id, chunk_idx, attempt::INTEGER AS attempt, ok, least(1536, 400 * power(2, attempt - 1))::INTEGER AS max_tokens
+    FROM (SELECT CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey END AS doc_id, o_orderkey AS chunk_idx, least(3, 1 + o_orderkey % 4) AS attempt, o_orderkey % 4 < 3 AS ok FROM orders WHERE o_orderkey % 5 <> 0
+          UNION ALL SELECT CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey END, o_orderkey, 1, true FROM orders WHERE o_orderkey % 5 = 0)
+""")
+def answer_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts asked up to three times: some answers are cut off once, twice or always, some are good at once."""
+    key = F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey"))
+    prompts = table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.col("o_orderkey").alias("chunk_idx"), F.lit(400).alias("max_tokens"))
+
+    def ask(todo: DataFrame) -> DataFrame:
+        good = (F.col("chunk_idx") % 5 == 0) | (F.col("attempt") > F.col("chunk_idx") % 4)
+        return todo.select("doc_id", "chunk_idx", F.when(good, '[{"e":"ssn","t":"x"}]').otherwise('[{"e":"ssn","t":"x').alias("raw"), F.lit(True).alias("call_ok"))
+
+    return detect.review(prompts, ask, shared_folder(spark)).select("doc_id", "chunk_idx", "attempt", "ok", "max_tokens")
+
+
 _RAW_SQL = """CASE o_orderkey % 5 WHEN 0 THEN '[{"e":"ssn","t":"' || o_orderkey::VARCHAR || '"},' WHEN 1 THEN '[{"e":"ssn","t":"a"},{"e":"zipcode","t":"' WHEN 2 THEN 'no array' WHEN 3 THEN '' ELSE '```json' || chr(10) || '[1,{"entity_id":"ssn","text":"' || o_orderkey::VARCHAR || '","confidence":0.5}]' || chr(10) || '```' END"""
 _RAW = """CASE o_orderkey % 5 WHEN 0 THEN concat('[{"e":"ssn","t":"', cast(o_orderkey AS string), '"},') WHEN 1 THEN '[{"e":"ssn","t":"a"},{"e":"zipcode","t":"' WHEN 2 THEN 'no array' WHEN 3 THEN '' ELSE concat('```json\\n[1,{"entity_id":"ssn","text":"', cast(o_orderkey AS string), '","confidence":0.5}]\\n```') END"""
 
@@ -467,6 +555,23 @@ def failing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(detect.detect_rules(customers(spark, sf_dir), c, "text"), "spans").select("doc_id", "text").distinct()
 
 
+class _Fails:
+    """A tagger that can't read some texts."""
+
+    def __call__(self, texts: list[str], labels: list[str], threshold: float) -> list[list]:
+        if any("user7" in t for t in texts):
+            raise ValueError("unreadable")
+        return [[] for _ in texts]
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey::VARCHAR LIKE '7%' THEN 'ValueError' END AS layer_error, CASE WHEN c_custkey::VARCHAR LIKE '7%' THEN 0 ELSE 3 END AS n_spans FROM customer")
+def failing_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recogniser that throws on some texts: these have no spans and the error's name, the others keep theirs."""
+    c = small_catalog()
+    found = detect.detect_rules(customers(spark, sf_dir), c, "text", tagger=_Fails()).withColumn("spans", spans.merge_all(F.col("spans"), c))
+    return found.select("doc_id", "layer_error", F.size("spans").alias("n_spans"))
+
+
 # Spans -------------------------------------------------------------------------------------------------------------
 
 
@@ -538,12 +643,18 @@ def _hmac_sql(value: str, key: str) -> str:
     return f"sha256(from_hex('{outer}' || sha256(from_hex('{inner}' || hex({value})))))"
 
 
-_POOL = "[" + ", ".join(f"'{v}'" for v in masking.POOLS["fake_name"]) + "]"
 query("SELECT c_custkey, '[PERSON ' || c_custkey::VARCHAR || '] {x}' AS masked FROM customer")(_mask_query("redact", "[PERSON {n}] {x}"))
 query("SELECT c_custkey, 'PERSON_NAME:' || left(sha256(c_name), 8) || ':' || left(sha256(c_name), 4) AS masked FROM customer")(_mask_query("hash", "{label}:{hash8}:{hash4}"))
 query("SELECT c_custkey, '***' || right(c_name, 4) AS masked FROM customer")(_mask_query("partial_redact", "***{last4}"))
 query(f"SELECT c_custkey, {_hmac_sql('c_name', 'a key for tests')} AS masked FROM customer")(_mask_query("encrypt", "{encrypted}"))
-query(f"SELECT c_custkey, {_POOL}[1 + (('0x' || left({_hmac_sql('c_name', 'a key for tests')}, 15))::BIGINT % 8)::INTEGER] AS masked FROM customer")(_mask_query("substitute", "{fake_name}"))
+_BITS_SQL = f"list_reduce(list_prepend(left(sha256(c_name), 16), ['0', '1', '2', '3']), lambda b, k: right(b, 8) || lpad(lower(to_hex(xor(('0x' || left(b, 8))::BIGINT, ('0x' || left({_hmac_sql("k || ':' || right(b, 8)", 'a key for tests')}, 8))::BIGINT))), 8, '0'))"
+_SYLLABLE_SQL = f"{masking.ONSETS}[1 + ('0x' || substring(b, 2 * k - 1, 1))::INTEGER] || {masking.RIMES}[1 + ('0x' || substring(b, 2 * k, 1))::INTEGER]"
+_NAME_SQL = lambda ks: f"upper(left({ks}, 1)) || substring({ks}, 2)"
+query(f"""
+    WITH b AS (SELECT c_custkey, {_BITS_SQL} AS b FROM customer), s AS (SELECT c_custkey, list_transform([1, 2, 3, 4, 5, 6, 7, 8], lambda k: {_SYLLABLE_SQL}) AS s FROM b),
+    n AS (SELECT c_custkey, array_to_string(s[1:2], '') AS x, array_to_string(s[3:4], '') AS y, array_to_string(s[5:8], '') AS z FROM s)
+    SELECT c_custkey, {_NAME_SQL("x")} || ' ' || {_NAME_SQL("y")} || ' ' || {_NAME_SQL("z")} AS masked FROM n
+""")(_mask_query("substitute", "{fake_name}"))
 
 
 @query("SELECT c_custkey AS doc_id, 'MRN: [MRN 1], mail [EMAIL 1], SSN [SSN 1]' AS masked_text, 3 AS n_spans FROM customer")
@@ -571,13 +682,51 @@ def mask_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mask_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules and a phrase list together."""
+    """Rules and a tagger, learned from the planted sentences, together over all documents."""
     c = cat.load_catalog()
-    label = {v: k for k, v in c.labels().items()}["person_name"]
-    got = mask.mask_with_model(table(spark, sf_dir, "documents").select("doc_id", "text"), c, detect.gazetteer({label: ["of the", "de la"]}))
+    got = mask.mask_with_model(table(spark, sf_dir, "documents").select("doc_id", "text"), c, name_tagger(spark, sf_dir), threshold=0.5)
     return got.select("doc_id", "masked_text", "stats.spans_pattern", "stats.spans_ner", "stats.spans_total")
 
 
+@query(f"""
+    {_SENTENCE_SQL}
+    SELECT o_orderkey AS doc_id, replace(replace(replace(form, '{{P}}', '[PERSON 1]'), '{{O}}', '[COMPANY 1]'), '{{N}}', o_orderkey::VARCHAR) || ' SSN [SSN 1]' AS masked_text, (form LIKE '%{{P}}%')::INTEGER + (form LIKE '%{{O}}%')::INTEGER AS spans_ner
+    FROM sentences WHERE o_orderkey % 5 = 0
+    UNION ALL SELECT NULL, 'mail [EMAIL 1]', 0 FROM nation UNION ALL SELECT 1, 'mail [EMAIL 1]', 0 FROM nation
+""")
+def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and a tagger over sentences that it wasn't trained on, beside rows of no id and of one id: each row by its own spans."""
+    c = cat.load_catalog().only("person_name", "organization_name", "ssn", "email_address")
+    held_out = sentences(spark, sf_dir).where("NOT train").select("doc_id", F.concat("text", F.lit(" SSN 219-09-9999")).alias("text"))
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("mail "), F.col("n_nationkey").cast("string"), F.lit("@example.com")).alias("text"))
+    rows = held_out.unionByName(nation.select(F.lit(None).cast("long").alias("doc_id"), "text")).unionByName(nation.select(F.lit(1).cast("long").alias("doc_id"), "text"))
+    got = mask.mask_with_model(rows, c, name_tagger(spark, sf_dir), threshold=0.5)
+    return got.select("doc_id", "masked_text", "stats.spans_ner")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'mail [EMAIL 1] or [EMAIL 1] and [EMAIL 2]' ELSE 'SSN [SSN 1]' END AS masked_text FROM conversations")
+def mask_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up turns of all conversations, masked by turn."""
+    k = F.col("turn").cast("string")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("mail a"), k, F.lit("@example.com or a"), k, F.lit("@example.com and b"), k, F.lit("@example.com"))).otherwise(F.lit("SSN 219-09-0001"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    return mask.mask_documents(turns, small_catalog()).select("conv_id", "turn", "masked_text")
+
+
+_JSON_SQL = """'{"id": ' || c_custkey::VARCHAR || ', "n\\u0061me": "caf\\u00e9", "notes": ["mail """
+
+
+@query(f"""SELECT c_custkey AS doc_id, {_JSON_SQL}[EMAIL 1] \\"x\\" é", 1.50, null, {{"deep":"SSN [SSN 1], [SSN 2]"}}, "[EMAIL 1]"]}}' AS masked_text, 4 AS n_spans FROM customer UNION ALL SELECT -1 - n_nationkey, NULL, 0 FROM nation""")
+def mask_json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String leaves of JSON texts masked in place, beside texts that aren't JSON."""
+    k = F.col("c_custkey").cast("string")
+    mail = F.concat(F.lit("user"), k, F.lit("@example.com"))
+    text = F.concat(F.lit('{"id": '), k, F.lit(', "n\\u0061me": "caf\\u00e9", "notes": ["mail '), mail, F.lit(' \\"x\\" \\u00e9", 1.50, null, {"deep":"SSN 219-09-9999, 219-09-9998"}, "'), mail, F.lit('"]}'))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    odd = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("doc_id"), F.lit('{"a": "mail a@example.com",}').alias("text"))
+    return mask.mask_json(rows.unionByName(odd), small_catalog()).select("doc_id", "masked_text", F.size("masked_spans").alias("n_spans"))
+
+
 @query()
 def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts that a review of all documents would need."""
@@ -586,6 +735,21 @@ def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.build_review_prompts(ready, c).select("doc_id", "chunk_idx", "offset", "max_tokens", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
+_LISTED = "\n".join(f"  {e.id} ({e.display_name})" for e in small_catalog().entities)
+
+
+@query(f"""
+    WITH {_CUSTOMER_SPANS}, told AS (SELECT doc_id, '[' || string_agg('{{"e":"' || entity_id || '","t":"' || text || '"}}', ',' ORDER BY start) || ']' AS told FROM found GROUP BY doc_id)
+    SELECT c_custkey AS doc_id, 0 AS chunk_idx, 256 AS max_tokens, 'Entities:\n{_LISTED}\nText:\n' || {CUSTOMER_SQL} || '\nCandidates (JSON):\n' || told || '\nAnswer with a JSON list of objects with e (entity) and t (exact text).\n' AS prompt
+    FROM customer JOIN told ON doc_id = c_custkey
+""")
+def prompts_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of made-up records, word by word."""
+    c = small_catalog()
+    ready = detect.detect_rules(customers(spark, sf_dir).withColumnRenamed("text", "text_clean"), c).withColumn("spans", spans.merge_all(F.col("spans"), c))
+    return detect.build_review_prompts(ready, c).select("doc_id", "chunk_idx", "max_tokens", "prompt")
+
+
 @query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'MRN: [MRN 1], mail [EMAIL 1], SSN [SSN 1]' END AS outcome FROM customer")
 def mask_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and reviewed findings together; documents without a good answer are rejected."""
@@ -704,3 +868,64 @@ def stream_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = reader.option("pathGlobFilter", pattern).parquet(folder)
     mask_stream(stream, cat.load_catalog(), f"{at}/out", f"{at}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "masked_text", F.size("masked_spans").alias("n_spans"))
+
+
+def _arriving(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """Made-up records, a fifth of them blank, as a stream of files."""
+    rows = customers(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.lit(" \n")).otherwise(F.col("text")))
+    rows.repartition(4).write.parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN 'empty' ELSE 'MRN: [MRN 1], mail [EMAIL 1], SSN [SSN 1]' END AS outcome FROM customer")
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream parted into masked rows and rejects by one read."""
+    from ..streaming.stream import mask_with_rejects
+
+    at = shared_folder(spark)
+    mask_with_rejects(_arriving(spark, sf_dir, at), small_catalog(), f"{at}/out", f"{at}/state", once=True).awaitTermination()
+    masked = spark.read.parquet(f"{at}/out/masked").select("doc_id", F.col("masked_text").alias("outcome"))
+    return masked.unionByName(spark.read.parquet(f"{at}/out/rejects").select("doc_id", F.col("reject_reason").alias("outcome")))
+
+
+_STEPS_SQL = "SELECT unnest(['merge', 'mask']) AS step, unnest([n + 3 * n, 3 * n]) AS n_in, unnest([3 * n, 3 * n]) AS n_out, unnest([n, 0]) AS n_dropped FROM (SELECT count(*) AS n FROM customer WHERE c_custkey % 5 <> 0)"
+
+
+@query(_STEPS_SQL)
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step counts of a stream, from what a listener heard of its batches."""
+    from ..streaming.stream import Progress, mask_stream
+
+    at = shared_folder(spark)
+    heard = Progress()
+    spark.streams.addListener(heard)
+    try:
+        query = mask_stream(_arriving(spark, sf_dir, at), small_catalog(), f"{at}/out", f"{at}/state", once=True)
+        query.awaitTermination()
+        heard.wait(60)
+    finally:
+        spark.streams.removeListener(heard)
+    return heard.table(spark).groupBy("step").agg(*[F.sum(c).alias(c) for c in ("n_in", "n_out", "n_dropped")])
+
+
+@query(_STEPS_SQL)
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a batch job, from what was observed while it wrote."""
+    from pyspark.sql import Observation
+
+    from ..streaming.stream import observed, observed_steps
+
+    at, seen = shared_folder(spark), Observation("masking")
+    rows = customers(spark, sf_dir).where("doc_id % 5 <> 0")
+    observed(mask.mask_documents(rows, small_catalog()), seen).write.parquet(f"{at}/out")
+    return observed_steps(spark, seen).select("step", "n_in", "n_out", "n_dropped")
+
+
+@query("SELECT 'customers.txt' AS file_name, count(*) AS n_masks FROM customer")
+def one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers' mail in one file, read whole as one document: each value has a number of its own."""
+    at = shared_folder(spark)
+    lines = customers(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("user"), F.col("doc_id").cast("string"), F.lit("@example.com")))), "\n").alias("value"))
+    lines.withColumn("file_name", F.lit("customers.txt")).write.partitionBy("file_name").option("lineSep", "\u0000").text(at)
+    done = mask.mask_documents(files.read_file(spark, f"{at}/file_name=customers.txt"), small_catalog())
+    return done.select(F.lit("customers.txt").alias("file_name"), F.size(F.array_distinct(F.regexp_extract_all("masked_text", F.lit("EMAIL [0-9]+"), F.lit(0)))).cast("long").alias("n_masks"))
