@@ -50,15 +50,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _MADE.remove(made)
+        _MADE[:] = [m for m in _MADE if m is not made]  # by identity: nested blocks may hold equal lists
         for path in made:
             drop_dir(spark, path)
 
 
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
+#: For tables whose rows hold megabytes: row groups of some of them, as a reader holds a row group at once.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, compression: str = "zstd", **options: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back

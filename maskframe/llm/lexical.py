@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, drop_stored, stored, with_keys
+from .common import LARGE_ROWS, alnum_words, drop_stored, stored, with_keys
 
 TOP = 50
 #: Documents of a block of a posting list, and blocks of a list (of twice as many at most, where it is long).
@@ -45,7 +45,7 @@ UNIT = 16
 #: Numbers of the table of a shard's parts by document and term; summaries of shards with more terms are made from its rows.
 DENSE = 1 << 25
 #: Documents and postings after which a shard is closed.
-SHARD_DOCS, SHARD_POSTINGS = 2048, 1 << 19
+SHARD_DOCS, SHARD_POSTINGS = 1024, 1 << 18
 #: Signs that a document's parts are projected on.
 SKETCH = 32
 #: Bytes of all terms of a group of items, and terms of a block of items.
@@ -357,11 +357,11 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = TOP) -> Data
         vocabulary = sorted({t for _, terms in group for t in terms})
         told = spark.sparkContext.broadcast(vocabulary)
         numbers = {t: j for j, t in enumerate(vocabulary)}
-        shards = stored(_counted(texts, told))
+        shards = stored(_counted(texts, told), **LARGE_ROWS)
         n_docs, n_words = (int(x or 0) for x in shards.agg(F.sum("n_docs"), F.sum("n_words")).first())
         df = {r.term: r.n for r in _frequencies(shards).collect()}  # as many as the vocabulary has, at most
         weights = {j: weight(n_docs, n) for j, n in df.items()}
-        index = stored(_indexed(shards, n_docs, n_words)) if n_words else None
+        index = stored(_indexed(shards, n_docs, n_words), **LARGE_ROWS) if n_words else None
         drop_stored(shards)
         asked = [(n, [(j, weights[j]) for j in map(numbers.__getitem__, terms) if weights.get(j, 0) > 0]) for n, (_, terms) in enumerate(group)]
         for block in _blocks(asked) if index is not None else ():
