@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def _counted(keyed: DataFrame, vocabulary) -> DataFrame:
             pairs = np.array([p for _, _, x in held for p in x], np.int64).reshape(-1, 2)
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             row = {"n_docs": n_docs, "n_words": n_words, "keys": np.array([k for k, _, _ in held], np.int64), "starts": starts, "terms": pairs[:, 0].astype(np.int32), "counts": pairs[:, 1].astype(np.int64), "lengths": np.array([n for _, n, _ in held], np.int64)}
-            return pa.RecordBatch.from_pylist([{c: v if isinstance(v, int) else v.tobytes() for c, v in row.items()}], schema=_SHARD)
+            return pa.RecordBatch.from_pylist([{c: v if isinstance(v, int) else _packed(v) for c, v in row.items()}], schema=_SHARD)
 
         for batch in batches:
             for key, text in zip(batch["_key"].to_pylist(), batch["text"], strict=True):
@@ -95,8 +96,13 @@ def _counted(keyed: DataFrame, vocabulary) -> DataFrame:
     return keyed.mapInArrow(run, SHARD)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """An array as it is stored: compressed before it leaves the task, so that only small rows pass between Spark and Python."""
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
 def _array(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(raw, kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -229,7 +235,7 @@ def _indexed(shards: DataFrame, n_docs: int, n_words: int) -> DataFrame:
                     continue
                 parts = parts_of(counts, np.repeat(lengths, np.diff(starts)), n_docs, n_words)
                 made = block_index(starts, terms, parts) | {"keys": _array(row["keys"], np.int64), "starts": starts, "terms": terms, "parts": parts.astype(np.int32)}
-                yield pa.RecordBatch.from_pylist([{c: made[c].tobytes() for c in _INDEX.names}], schema=_INDEX)
+                yield pa.RecordBatch.from_pylist([{c: _packed(made[c]) for c in _INDEX.names}], schema=_INDEX)
 
     return shards.mapInArrow(run, INDEX)
 
@@ -357,11 +363,11 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = TOP) -> Data
         vocabulary = sorted({t for _, terms in group for t in terms})
         told = spark.sparkContext.broadcast(vocabulary)
         numbers = {t: j for j, t in enumerate(vocabulary)}
-        shards = stored(_counted(texts, told), **LARGE_ROWS)
+        shards = stored(_counted(texts, told), "none", **LARGE_ROWS)
         n_docs, n_words = (int(x or 0) for x in shards.agg(F.sum("n_docs"), F.sum("n_words")).first())
         df = {r.term: r.n for r in _frequencies(shards).collect()}  # as many as the vocabulary has, at most
         weights = {j: weight(n_docs, n) for j, n in df.items()}
-        index = stored(_indexed(shards, n_docs, n_words), **LARGE_ROWS) if n_words else None
+        index = stored(_indexed(shards, n_docs, n_words), "none", **LARGE_ROWS) if n_words else None
         drop_stored(shards)
         asked = [(n, [(j, weights[j]) for j in map(numbers.__getitem__, terms) if weights.get(j, 0) > 0]) for n, (_, terms) in enumerate(group)]
         for block in _blocks(asked) if index is not None else ():
