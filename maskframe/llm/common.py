@@ -113,6 +113,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
 
 
+#: A key with more rows than this and than its share of all rows is heavy; there are at most ``HEAVY_KEYS`` of them.
+HEAVY_ROWS, HEAVY_KEYS = 1000, 50_000
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` with ``table``, whose column n says how many of the ``total`` rows have its key; n is dropped.
+
+    Rows of heavy keys stay where they are and meet theirs by a broadcast, which is small
+    whatever the input; all others are shuffled, no key of them being large.
+    """
+    most = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    heavy = F.broadcast(table.where(F.col("n") > most).drop("n"))
+    light = table.where(F.col("n") <= most).drop("n")
+    names = F.broadcast(table.where(F.col("n") > most).select(key).distinct())
+    return rows.join(heavy, key).unionByName(rows.join(names, key, "left_anti").join(light, key))
+
+
 def map_rows(df: DataFrame, rows: Callable[[dict], Iterator[dict] | dict], schema: str, setup: Callable | None = None) -> DataFrame:
     """``rows`` over whole Arrow batches as dicts of lists; ``setup`` runs once a task and its result is the second argument."""
     from pyspark.sql.types import StructType

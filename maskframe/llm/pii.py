@@ -1,24 +1,26 @@
 """PII by bootstrapped contextual extraction.
 
 Seeds are what four fixed expressions find (e-mail, IP, card, phone). Each place of a
-seed yields lexical patterns: the two words before it, the two words behind it, the word
-on either side, and the written shape of the value. Other runs of digit groups and other
-tokens that look like identifiers are candidate instances with patterns of the same
-sorts. Patterns and values make a graph, scored in rounds:
-
-- the score of a pattern for a kind is the mean belief of all different values that it
-  draws in, where a seed of the kind counts 1 and a seed of another kind 0;
-- the belief in a candidate is ``DAMPING`` times the score of its best pattern.
-
-Only patterns with ``MIN_SEEDS`` seeds of the kind take part at first. A candidate that a
-pattern at ``MIN_SCORE`` or above draws in becomes a seed itself, so its other places
-induce patterns in the next round. Values accepted after the last round are findings,
-wherever they stand.
+seed yields lexical patterns: the two words before it, the two words behind it, and the
+word on either side. Other runs of digit groups and other tokens that look like
+identifiers are candidate instances with patterns of the same sorts. Patterns and values
+make a graph, scored in rounds. The score of a pattern for a kind is the mean over all
+different values that it draws in:
+
+- a seed of the kind counts 1, a seed of another kind 0;
+- a candidate counts ``SUPPORT`` once another pattern has had it accepted, else 0;
+- a number of a card's length whose check digit is wrong counts -1 for cards until then.
+
+A pattern of ``MIN_SEEDS`` such values and a score of ``MIN_SCORE`` or more is accepted,
+and so are the candidates that it draws in; these lend support to their other patterns.
+A pattern that isn't accepted has none of its own candidates accepted by itself, so its
+evidence never comes from its own score. Scores only rise, and rounds go on until nothing
+new is accepted. Accepted values are findings wherever they stand.
 
 Texts are read once. What leaves that pass is small: the spans of the seeds and, for each
 candidate, its place and the hashes of its value and patterns. Edges are made distinct
-before they are shuffled; both joins of a round spread their keys over parts, so
-that a value or pattern that a third of all rows share is no single task's work.
+before they are shuffled; joins send the rows of a heavy pattern or value nowhere, so that one which
+a third of all rows share is no single task's work. A round joins only what is new.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, salted, spread, stored, with_keys
+from .common import map_rows, meet, salted, spread, stored, with_keys
 
 # The base expressions of the contract, made linear where they would rescan a run.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,11 +49,12 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 TRIM = "\"'()[]{}<>,;:!?."
-ROUNDS = 4
-#: A pattern is accepted at this score, with this many different seed values behind it.
+#: A pattern is accepted at this score, with this many different seeds and accepted values behind it.
 MIN_SCORE, MIN_SEEDS = 0.8, 5
-#: What a step from pattern to value keeps of the score.
-DAMPING = 0.9
+#: What an accepted candidate counts.
+SUPPORT = 0.95
+#: Digits of a card number.
+CARD_DIGITS = range(16, 20)
 #: More digits than any identifier of the four kinds has.
 MOST_DIGITS = 19
 LONG_GROUP = re.compile(r"(?<!\S)[0-9]{12,19}(?!\S)")
@@ -96,19 +99,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def form(token: str) -> str:
-    """at: holds an at sign; num: digits and separators only; mix: anything else."""
-    return "at" if "@" in token else "num" if all(c.isdigit() or c in " .()+-/" for c in token) else "mix"
-
-
-def shape(value: str) -> str:
-    """The written shape: letters as one a; digits as 9, each one in numbers, as one 9 elsewhere; the rest as it is."""
-    out = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", value))
-    return out if form(value) == "num" else re.sub("9+", "9", out)
+def fails_check(value: str) -> bool:
+    """Whether a value has the digits of a card number and a wrong check digit."""
+    digits = re.sub(r"[\x20-]", "", value)
+    return len(digits) in CARD_DIGITS and digits.isascii() and digits.isdigit() and not luhn(digits)
 
 
 def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
-    """The patterns of each place (start, end): words before, behind and around it, in lower case with digits as #, and its shape.
+    """The patterns of each place (start, end): words before, behind and around it, in lower case with digits as #.
 
     White space parts words; a word that is cut by the span counts with the part outside it.
     """
@@ -123,7 +121,7 @@ def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
         at, behind = bisect_left(begins, start), bisect_right(ends, end)
         left = [plain(a, min(b, start)) for a, b in words[max(0, at - 2) : at]]
         right = [plain(max(a, end), b) for a, b in words[behind : behind + 2]]
-        own = [f"= {shape(text[start:end])}"]
+        own = []
         if left:
             own.append("< " + " ".join(left))
         if right:
@@ -183,7 +181,7 @@ def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, seeds array<struct<kind:string,value:long,patterns:array<long>>>, others array<struct<start:int,end:int,mail:boolean,value:long,patterns:array<long>>>"
+FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int>>, seeds array<struct<kind:string,value:long,patterns:array<long>>>, others array<struct<start:int,end:int,mail:boolean,failed:boolean,value:long,patterns:array<long>>>"
 
 
 def _value(text: str) -> int:
@@ -200,56 +198,69 @@ def _find(docs: DataFrame) -> DataFrame:
             hashed = [list(map(_value, p)) for p in patterns(text, [(a, b) for _, a, b in base] + more)]
             out["base"].append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             out["seeds"].append([{"kind": k, "value": _value(text[a:b]), "patterns": p} for (k, a, b), p in zip(base, hashed, strict=False)])
-            out["others"].append([{"start": a, "end": b, "mail": "@" in text[a:b], "value": _value(text[a:b]), "patterns": p} for (a, b), p in zip(more, hashed[len(base) :], strict=True)])
+            out["others"].append([{"start": a, "end": b, "mail": "@" in text[a:b], "failed": fails_check(text[a:b]), "value": _value(text[a:b]), "patterns": p} for (a, b), p in zip(more, hashed[len(base) :], strict=True)])
         return out
 
     return map_rows(docs, rows, FOUND)
 
 
-def score_values(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, value, belief: the candidate values that are accepted after some rounds, each for its best kind.
+def score_values(seeds: DataFrame, others: DataFrame) -> DataFrame:
+    """kind, value, score: the candidate values that are accepted, each for its best kind.
 
-    ``seeds`` has kind, pattern, value; ``others`` has pattern, value, mail. A value counts
-    once a pattern, however often it occurs. A value with an at sign can be an e-mail only,
-    and no other value can. A value that is a seed anywhere is a seed of that kind, never a
-    candidate. On ties the kind first by name is taken.
+    ``seeds`` has kind, pattern, value; ``others`` has pattern, value, mail, failed. A value
+    counts once a pattern, however often it occurs. A value with an at sign can be an e-mail
+    only, and no other value can. A value that is a seed anywhere is a seed of that kind,
+    never a candidate. The score of a value is that of its best pattern when it was
+    accepted; of several kinds the best is taken, on ties the first by name.
     """
     seeds, others = stored(seeds.distinct()), stored(others.distinct())
-    # of each value one row meets here, so nothing needs to be spread; seeds among the candidates are few
+    # values that are seeds elsewhere are few, as base spans part the runs beside them
     both = others.select("value").distinct().join(seeds.select("value").distinct(), "value", "left_semi")
-    edges = stored(salted(others, "pattern").join(spread(both), ["value", "salt"], "left_anti").select("pattern", "value", "mail"))
-    drawn = stored(seeds.select("pattern", "value").distinct().select("pattern").unionByName(edges.select("pattern")).groupBy("pattern").agg(F.count("*").alias("n_all")))
-    first = stored(seeds.groupBy("kind", "pattern").agg(F.count("*").alias("n_seeds")))
-    belief = None
-    for _ in range(rounds):
-        if belief is None:
-            held = first.select("kind", "pattern", "n_seeds", F.col("n_seeds").cast("double").alias("weight"))
-        else:
-            reached = salted(edges.select("pattern", "value"), "pattern").join(spread(belief), ["value", "salt"])
-            gain = reached.groupBy("kind", "pattern").agg(F.count_if("accepted").alias("more"), F.sum("belief").alias("gain"))
-            all_weights = first.join(gain, ["kind", "pattern"], "full")
-            held = all_weights.select("kind", "pattern", (F.coalesce("n_seeds", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_seeds"), (F.coalesce("n_seeds", F.lit(0)) + F.coalesce("gain", F.lit(0.0))).alias("weight"))
-        scores = stored(held.where(F.col("n_seeds") >= MIN_SEEDS).join(drawn, "pattern").select("kind", "pattern", (F.col("weight") / F.col("n_all")).alias("score")))
-        fits = (F.col("kind") == "email") == F.col("mail")
-        best = salted(edges, "value").join(spread(scores), ["pattern", "salt"]).where(fits).groupBy("kind", "value").agg(F.max("score").alias("score"))
-        belief = stored(best.select("kind", "value", (F.lit(DAMPING) * F.col("score")).alias("belief"), (F.col("score") >= MIN_SCORE).alias("accepted")))
-    good = belief.where("accepted")
-    return good.groupBy("value").agg(F.min(F.struct((-F.col("belief")).alias("b"), "kind")).alias("m")).select("m.kind", "value", (-F.col("m.b")).alias("belief"))
-
-
-def _found(docs: DataFrame, rounds: int) -> DataFrame:
+    edges = stored(salted(others, "pattern").join(spread(both), ["value", "salt"], "left_anti").select("pattern", "value", "mail", "failed"))
+    total = edges.count()
+    drawn = seeds.select("pattern", "value").distinct().select("pattern", F.lit(0).alias("edge"), F.lit(0).alias("bad")).unionByName(edges.select("pattern", F.lit(1), F.col("failed").cast("int")).toDF("pattern", "edge", "bad"))
+    drawn = drawn.groupBy("pattern").agg(F.count("*").alias("n_all"), F.sum("edge").alias("n"), F.sum("bad").alias("n_failed"))
+    first = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("held"), F.count("*").cast("double").alias("weight"))
+    sums = stored(first)  # kind, pattern, held and weight: what counts for a pattern so far
+    drawn = stored(drawn)
+    spans_of = stored(edges.groupBy("value").agg(F.count("*").alias("n")))
+    accepted = values = None
+    while True:
+        lost = F.when(F.col("kind") == "card", F.col("n_failed")).otherwise(F.lit(0))
+        score = (F.col("weight") - lost) / F.col("n_all")
+        good = sums.where(F.col("held") >= MIN_SEEDS).join(drawn, "pattern").select("kind", "pattern", score.alias("score"), "n").where(F.col("score") >= MIN_SCORE)
+        new = stored(good if accepted is None else good.join(accepted, ["kind", "pattern"], "left_anti"))
+        hits = meet(edges.select("pattern", "value", "mail", "failed"), new, "pattern", total).where((F.col("kind") == "email") == F.col("mail"))
+        found = hits.groupBy("kind", "value").agg(F.max("score").alias("score"), F.first("failed").alias("failed"))
+        fresh = stored(found if values is None else found.join(values.select("kind", "value"), ["kind", "value"], "left_anti"))
+        if not fresh.limit(1).count():
+            break
+        accepted = new.select("kind", "pattern") if accepted is None else accepted.unionByName(new.select("kind", "pattern"))
+        values = fresh if values is None else values.unionByName(fresh)
+        # of each accepted value the other patterns gain; those that are accepted already need no more
+        gained = meet(edges.select("pattern", "value"), fresh.join(spans_of, "value"), "value", total)
+        more = F.lit(SUPPORT) + F.when((F.col("kind") == "card") & F.col("failed"), 1.0).otherwise(0.0)
+        gain = gained.groupBy("kind", "pattern").agg(F.count("*").alias("held"), F.sum(more).alias("weight"))
+        sums = stored(sums.unionByName(gain).groupBy("kind", "pattern").agg(F.sum("held").alias("held"), F.round(F.sum("weight"), 6).alias("weight")))
+    if values is None:
+        return fresh.select("kind", "value", "score")
+    return values.groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind")).alias("m")).select("m.kind", "value", (-F.col("m.s")).alias("score"))
+
+
+def _found(docs: DataFrame) -> DataFrame:
     """row, doc_id, base and added for each row of ``docs`` (row, doc_id, text)."""
     found = stored(_find(docs))
     seeds = found.select(F.explode("seeds").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     places = found.select("row", F.explode("others").alias("o")).select("row", "o.*")
-    good = score_values(seeds, places.select(F.explode("patterns").alias("pattern"), "value", "mail"), rounds)
-    hits = salted(places.select("row", "start", "end", "value"), "row").join(spread(good.select("kind", "value")), ["value", "salt"])
+    good = score_values(seeds, places.select(F.explode("patterns").alias("pattern"), "value", "mail", "failed"))
+    counted = stored(places.select("row", "start", "end", "value").join(good.select("kind", "value"), "value", "left_semi").groupBy("value").agg(F.count("*").alias("n")))
+    hits = meet(places.select("row", "start", "end", "value"), good.select("kind", "value").join(counted, "value"), "value", max(1, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     added = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.select("row", "doc_id", "base").join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
 
 
-def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find_pii(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` spans (arrays of kind, start, end in code points) of every whole text.
 
     A null or empty text has none. Every row is judged by itself, whatever its doc_id: null
@@ -257,7 +268,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     table gives an empty one; further columns are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _found(rows, rounds).select("doc_id", "base", "added")
+    return _found(rows).select("doc_id", "base", "added")
 
 
 def _listed(spans: F.Column) -> F.Column:
@@ -288,14 +299,14 @@ def masked_text(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[upto:]
 
 
-def mask_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every finding in its text replaced by its kind in brackets; n_chars, where it is a column, follows the new text.
 
     Spans meet their row by a number of the row's own, so rows of null and repeated doc_ids
     are masked by their own spans. Null texts stay null; all columns are kept as they are.
     """
     keyed, _ = with_keys(docs)
-    spans = _found(keyed.select(F.col("_key").alias("row"), F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")), rounds)
+    spans = _found(keyed.select(F.col("_key").alias("row"), F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")))
     touched = spans.select(F.col("row").alias("_key"), F.concat("base", "added").alias("spans")).where(F.size("spans") > 0)
 
     @F.pandas_udf("string")
