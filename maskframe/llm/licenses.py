@@ -5,7 +5,10 @@ All of it is DataFrame operations. A file is compared in units: its lines and it
 whole text. Each different unit is compared once, by the digest of its text. Weights are
 logarithmic term frequency times inverse document frequency over all units of the corpus.
 The templates are one-line notices, standard headers, titles of long licences and the full
-texts of short ones. An SPDX tag names a licence by itself. A file whose words are mostly
+texts of short ones. A unit takes a template's licence only where both name the same
+licences and versions and say so in the same way (:func:`facts`): what the cosine calls
+near may be another version or another member of a family, or deny the licence. An SPDX
+tag names a licence, or an expression of several, by itself. A file whose words are mostly
 licence text, or whose name says so, is the licence file of its directory; files without a
 licence of their own inherit from the nearest directory at or above theirs that has one,
 found by joining the ancestors of each directory with the licensed ones.
@@ -13,10 +16,10 @@ found by joining the ancestors of each directory with the licensed ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted, spread, stored
+from .common import meet, salted, spread, stored
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -70,9 +73,19 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 SIGNAL = r"(?i)licen[sc]|copyright|all rights reserved|public domain|redistribution|permission"
-#: An SPDX tag; what it names counts where it is one of the templates' licences, with or without -only or -or-later.
-SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
-SPDX_ENDING = r"(-only|-or-later|\+)$"
+#: An SPDX tag and its expression: identifiers, AND, OR, WITH and brackets, to the end of the line or comment.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\t -]+)"
+SPDX_ENDING = r"(?i)(-only|-or-later|\+)$"
+SPDX_FORM = r"^\(*[A-Za-z0-9.+-]+\)*( (AND|OR) \(*[A-Za-z0-9.+-]+\)*| WITH [A-Za-z0-9.+-]+\)*)*$"
+# Words that name a licence or a member of its family, and short names of several words.
+NAMED = "apache mit isc bsd mozilla mpl gnu gpl lgpl agpl lesser affero cc cc0 by nc sa nd eclipse epl boost bsl artistic zlib python cddl eupl wtfpl unlicense unlicensed proprietary ofl psf".split()
+SYNONYMS = {"gpl": "gnu", "lgpl": "lesser", "agpl": "affero", "mpl": "mozilla", "epl": "eclipse", "bsl": "boost"}
+#: Words before "license" that name none, and words between a name and "license".
+PLAIN = "a above accompanying all an and any any applicable appropriate as by clause copy following for free in its mit of open or other our permissive same source standard such terms that the this under with your".split()
+BETWEEN = "public software documentation general".split()
+#: Words behind which a number is a version, and words that deny with one of these close behind.
+BEFORE_VERSION = "version v ver license licence public apache gnu gpl lgpl agpl mpl epl cddl eupl lesser affero mozilla eclipse boost bsl artistic by nc sa nd cc0 bsd".split()
+DENIES, DENIED = "not never nor isn aren wasn".split(), "licensed licenced released distributed available covered offered under mit apache gpl".split()
 #: What stands between blocks: a blank line, or one with a comment mark only.
 BLANK = r"\n[ \t]*[#*;%/-]*[ \t]*\n"
 #: The comment and blank lines that a file opens with.
@@ -90,35 +103,90 @@ def _cleaned(tokens: str) -> str:
     return f"transform({tokens}, x -> rtrim('.', x))"
 
 
+def _parted(text: str) -> str:
+    """A text with short names parted from the version that follows them."""
+    return f"regexp_replace(lower({text}), '(gpl|mpl|apache|epl)v?([0-9])', '$1 $2')"
+
+
 def _slashed(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
+def _listed(words: list[str], sql: bool) -> str:
+    return ("[{}]" if sql else "array({})").format(", ".join(f"'{w}'" for w in words))
+
+
+def facts(tokens: str, sql: bool = False) -> str:
+    """An expression for what a text says of licences, from its tokens: the names in it, their versions, and whether it denies one.
+
+    Names are known words and whatever else stands before "license"; a version is a number
+    behind a name or the word version. The same in Spark's SQL and, with ``sql``, DuckDB's.
+    """
+    held = (lambda x, words: f"list_contains({_listed(words, True)}, {x})") if sql else (lambda x, words: f"array_contains({_listed(words, False)}, {x})")
+    at = (lambda k: f"{tokens}[{k}]") if sql else (lambda k: f"try_element_at({tokens}, greatest(1, {k}))")
+    n = f"len({tokens})" if sql else f"size({tokens})"
+    places = f"generate_series(1, {n})" if sql else f"CASE WHEN {n} > 0 THEN sequence(1, {n}) ELSE array() END"
+    each = (lambda e: f"list_transform({places}, lambda k: {e})") if sql else (lambda e: f"transform({places}, k -> {e})")
+    like = (lambda x, rx: f"regexp_matches({x}, '{rx}')") if sql else (lambda x, rx: f"{x} rlike '{rx}'")
+    own = at("k")
+    same = "CASE " + " ".join(f"WHEN {own} = '{a}' THEN '{b}'" for a, b in SYNONYMS.items()) + f" ELSE {own} END"
+    before = f"CASE WHEN {held(at('k - 1'), BETWEEN)} THEN {at('k - 2')} ELSE {at('k - 1')} END"
+    licence = f"{own} IN ('license', 'licence') AND k > 1"
+    named = f"CASE WHEN {held(own, NAMED)} AND NOT ({own} IN ('by', 'sa', 'nc', 'nd') AND NOT coalesce({held(at('k - 1'), ['cc', 'by', 'nc', 'sa', 'nd'])}, false)) THEN {same} WHEN {licence} AND NOT coalesce({held(before, PLAIN + BETWEEN + NAMED)}, true) THEN {before} END"
+    trunc = f"regexp_replace({own}, '^v|([.]0)+$', '', 'g')" if sql else f"regexp_replace({own}, '^v|([.]0)+$', '')"
+    version = f"CASE WHEN k > 1 AND {like(own, '^v?[0-9]+([.][0-9]+)*$')} AND ({held(at('k - 1'), BEFORE_VERSION)} OR coalesce({at('k + 1')}, '') = 'clause') THEN {trunc} END"
+    near = " OR ".join(f"coalesce({held(at(f'k + {j}'), DENIED)}, false)" for j in (1, 2, 3, 4))
+    denies = f"CASE WHEN {held(own, DENIES)} AND ({near}) THEN 'no' END"
+    if sql:
+        one = lambda e: f"array_to_string(list_sort(list_distinct(list_filter({each(e)}, lambda x: x IS NOT NULL))), ' ')"
+    else:
+        one = lambda e: f"array_join(array_sort(array_distinct(filter({each(e)}, x -> x IS NOT NULL))), ' ')"
+    return f"concat({one(named)}, '/', {one(version)}, '/', {one(denies)})"
+
+
+def spdx_name(expression: Column, known: list[str]) -> Column:
+    """An SPDX expression with known licences by their own names, or null where it isn't one or names an unknown licence."""
+    flat = F.trim(F.regexp_replace(expression, r"[ \t]+", " "))
+    tokens = F.split(flat, " ")
+    names = F.create_map(*[x for name in known for x in (F.lit(name.lower()), F.lit(name))])
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, "[()]", ""), SPDX_ENDING, "")
+    word = lambda x: F.upper(x).isin("AND", "OR", "WITH")
+    own = lambda x, k: F.when(word(x), F.upper(x)).when(F.upper(F.get(tokens, k - 1)) == "WITH", x).otherwise(F.concat(F.regexp_extract(x, r"^\(*", 0), names[F.lower(bare(x))], F.regexp_extract(x, r"\)*$", 0)))
+    mapped = F.transform(tokens, own)
+    whole = F.array_join(mapped, " ")
+    fits = (F.size(F.filter(mapped, lambda x: x.isNull())) == 0) & whole.rlike(SPDX_FORM) & (F.length(F.replace(whole, F.lit("("), F.lit(""))) == F.length(F.replace(whole, F.lit(")"), F.lit(""))))
+    return F.when(fits, F.regexp_replace(whole, r"^\(([^()]*)\)$", "$1"))
+
+
 def match_units(units: DataFrame, templates: DataFrame) -> DataFrame:
-    """unit, license, cosine (thousandths): the best template of each ``unit``, where it reaches ``MIN_COSINE``.
+    """unit, license, cosine (thousandths): the best template of each ``unit``, where it reaches ``MIN_COSINE`` and says the same.
 
     ``units`` has unit (a digest), body (its text) and n, how often it occurs. Ties go to
-    the first licence by name. A unit with an SPDX tag takes the licence that the tag names,
-    or none.
+    the first licence by name. A unit with an SPDX tag takes what the tag names, or nothing.
     """
     counted = units.select("unit", "n", F.explode(F.expr(_cleaned(_tokens("body")))).alias("w")).groupBy("unit", "w").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     counted = stored(counted)
     total = float(units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    df = counted.groupBy("w").agg(F.sum("n").alias("df"))
+    rows = counted.count()
+    df = stored(counted.groupBy("w").agg(F.sum("n").alias("df"), F.count("*").alias("n")))
     terms = templates.withColumn("w", F.explode(F.expr(_cleaned(_tokens("text"))))).groupBy("template", "license", "w").agg(F.count("*").alias("tf"))
     idf = F.log((1.0 + F.lit(total)) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
     weight = (1.0 + F.log("tf")) * idf
-    own = salted(counted, "unit").join(spread(df), ["w", "salt"], "left").select("unit", "w", weight.alias("x"))
+    own = meet(counted.drop("n"), df, "w", rows).select("unit", "w", weight.alias("x"))
     given = terms.join(df, "w", "left").select("template", "license", "w", weight.alias("y"))
     sides = given.groupBy("template").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("side"))
     norms = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     # as large as the templates
     pairs = own.join(F.broadcast(given), "w")
     dots = pairs.groupBy("unit", "template", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot")).join(norms, "unit").join(F.broadcast(sides), "template")
-    near = dots.select("unit", "license", F.round(1000 * F.col("dot") / (F.col("norm") * F.col("side"))).cast("int").alias("cosine")).where(F.col("cosine") >= MIN_COSINE)
-    tagged = units.select("unit", F.regexp_replace(F.lower(F.regexp_extract("body", SPDX, 1)), SPDX_ENDING, "").alias("tag")).where("tag <> ''")
-    named = tagged.join(F.broadcast(templates.select(F.lower("license").alias("tag"), "license").distinct()), "tag").select("unit", "license", F.lit(1000).alias("cosine"))
-    best = near.join(tagged.select("unit"), "unit", "left_anti").unionByName(named).groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    near = dots.select("unit", "template", "license", F.round(1000 * F.col("dot") / (F.col("norm") * F.col("side"))).cast("int").alias("cosine")).where(F.col("cosine") >= MIN_COSINE)
+    said = lambda df, text: df.withColumn("_w", F.expr(_cleaned(_tokens(_parted(text))))).withColumn("facts", F.expr(facts("_w"))).drop("_w")
+    bodies = said(units.join(near.select("unit").distinct(), "unit").select("unit", "body"), "body").select("unit", F.col("facts").alias("own_facts"))
+    near = near.join(bodies, "unit").join(F.broadcast(said(templates, "text").select("template", "facts")), "template").where("facts = own_facts")
+    tagged = units.select("unit", F.regexp_extract("body", SPDX, 1).alias("tag")).where("tag <> ''")
+    known = [r.license for r in templates.select("license").distinct().collect()]  # as many as there are templates
+    named = tagged.select("unit", spdx_name(F.col("tag"), sorted(known)).alias("license"), F.lit(1000).alias("cosine")).where("license IS NOT NULL")
+    best = near.select("unit", "license", "cosine").join(tagged.select("unit"), "unit", "left_anti").unionByName(named).groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("unit", "b.license", (-F.col("b.c")).alias("cosine"))
 
 
@@ -196,11 +264,16 @@ SQL = rf"""
     given AS (SELECT template, license, w, (1 + ln(tf)) * (ln((1 + coalesce(total, 0)) / (1.0::DOUBLE + coalesce(df, 0))) + 1) AS y FROM terms LEFT JOIN df USING (w), total),
     norms AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM own GROUP BY unit),
     sides AS (SELECT template, sqrt(sum(y * y)) AS side FROM given GROUP BY template),
-    tagged AS (SELECT unit, regexp_replace(lower(regexp_extract(unit, '{SPDX}', 1)), '{SPDX_ENDING}', '') AS tag FROM different WHERE regexp_matches(unit, '{SPDX}')),
+    tagged AS (SELECT unit, regexp_replace(lower(trim(regexp_extract(unit, '{SPDX}', 1))), '{SPDX_ENDING}', '') AS tag FROM different WHERE regexp_matches(unit, '{SPDX}')),
+    close AS (
+        SELECT unit, template, license, round(1000 * dot / (norm * side))::INTEGER AS cosine
+        FROM (SELECT unit, template, license, sum(x * y) AS dot FROM own JOIN given USING (w) GROUP BY ALL) JOIN norms USING (unit) JOIN sides USING (template)),
+    said AS (SELECT body, {facts("w", True)} AS facts FROM (
+        SELECT body, list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(body), '(gpl|mpl|apache|epl)v?([0-9])', '\1 \2', 'g'), '[^a-z0-9.]+'), lambda x: regexp_matches(x, '[a-z0-9]')), lambda x: rtrim(x, '.')) AS w
+        FROM (SELECT DISTINCT unit AS body FROM close WHERE cosine >= {MIN_COSINE} UNION SELECT text FROM templates))),
     near AS (
-        SELECT unit, license, round(1000 * dot / (norm * side))::INTEGER AS cosine
-        FROM (SELECT unit, template, license, sum(x * y) AS dot FROM own JOIN given USING (w) GROUP BY ALL) JOIN norms USING (unit) JOIN sides USING (template)
-        WHERE unit NOT IN (SELECT unit FROM tagged)
+        SELECT unit, c.license, cosine FROM close c JOIN templates t USING (template) JOIN said a ON a.body = c.unit JOIN said b ON b.body = t.text
+        WHERE cosine >= {MIN_COSINE} AND a.facts = b.facts AND unit NOT IN (SELECT unit FROM tagged)
         UNION ALL SELECT DISTINCT unit, license, 1000 FROM tagged JOIN templates ON lower(license) = tag),
     matched AS (SELECT unit, license, cosine FROM near WHERE cosine >= {MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) = 1),
     hits AS (SELECT doc_id, dir, words, license, cosine, len(list_filter(regexp_split_to_array(unit, '\s+'), lambda x: x <> '')) AS held FROM units JOIN matched USING (unit)),
