@@ -18,7 +18,7 @@ from .. import catalog as cat
 from ..functions import masking, text
 from ..operators import detect, mask, report, spans, tagger
 from ..sources import files
-from .forms import FORMS
+from .forms import FORMS, MERGED
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,11 +347,39 @@ def _quoted(value: str | None) -> str:
 """)
 def rule_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each entity's rules and recognisers find in its own planted forms, with the whole catalogue."""
+    found = detect.detect_rules(_planted_forms(spark, sf_dir), cat.load_catalog(), "text").select("o_orderkey", "own", F.inline("spans"))
+    return found.where("entity_id = own").select("o_orderkey", "entity_id", "text", "start", "end").distinct()
+
+
+def _planted_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, own (entity) and text: the forms dealt over the orders."""
     forms = F.array(*(F.struct(F.lit(e).alias("own"), F.lit(b + (v or "") + a).alias("text")) for e, b, v, a in FORMS))
     digits = F.lpad((F.col("o_orderkey") % 9000 + 1000).cast("string"), 4, "0")
-    planted = table(spark, sf_dir, "orders").select("o_orderkey", F.get(forms, (F.col("o_orderkey") % len(FORMS)).cast("int")).alias("form")).select("o_orderkey", "form.own", F.replace("form.text", F.lit("{}"), digits).alias("text"))
-    found = detect.detect_rules(planted, cat.load_catalog(), "text").select("o_orderkey", "own", F.inline("spans"))
-    return found.where("entity_id = own").select("o_orderkey", "entity_id", "text", "start", "end").distinct()
+    dealt = table(spark, sf_dir, "orders").select("o_orderkey", F.get(forms, (F.col("o_orderkey") % len(FORMS)).cast("int")).alias("form"))
+    return dealt.select("o_orderkey", "form.own", F.replace("form.text", F.lit("{}"), digits).alias("text"))
+
+
+#: Two forms are by chance valid numbers of another entity: a device number with the check digit of a card, a cryptogram with that of an IBAN.
+_IMEI, _IBAN = "35693803564", "1213" "34" "1415" "56" "0000" "1011" "12"
+_LUHN = sum((d * 2 - 9 * (d > 4)) if k % 2 else d for k, d in enumerate(map(int, reversed(_IMEI + "0000"))))
+_D = lambda k: f"substring(digits, {k}, 1)::INTEGER"
+_TWICE = lambda k: f"(2 * {_D(k)} - CASE WHEN {_D(k)} > 4 THEN 9 ELSE 0 END)"
+_BY_CHECK = f"""CASE WHEN value = '{_IMEI}{{}}' AND ({_LUHN} + {_TWICE(1)} + {_D(2)} + {_TWICE(3)} + {_D(4)}) % 10 = 0 THEN 'credit_card_number'
+    WHEN value = 'AB12CD34EF56{{}}' AND ({_IBAN}::HUGEINT + digits::INTEGER * 1000000::HUGEINT) % 97 = 1 THEN 'iban' ELSE entity_id END"""
+_ALL_FORMS = [(k, e, b + (v or "") + a, x) for k, (o, b, v, a) in enumerate(FORMS) for e, x in MERGED.get(b + (v or "") + a, ((o, v),) if v is not None else ())]
+
+
+@query(f"""
+    WITH forms(form, entity_id, whole, value) AS (VALUES {", ".join(f"({k}, '{e}', {_quoted(w)}, {_quoted(x)})" for k, e, w, x in _ALL_FORMS)}),
+    o AS (SELECT o_orderkey, o_orderkey % {len(FORMS)} AS form, lpad((o_orderkey % 9000 + 1000)::VARCHAR, 4, '0') AS digits FROM orders),
+    f AS (SELECT o_orderkey, {_BY_CHECK} AS entity_id, replace(value, '{{}}', digits) AS text, replace(whole, '{{}}', digits) AS whole FROM o JOIN forms USING (form))
+    SELECT o_orderkey, entity_id, text, (strpos(whole, text) - 1)::INTEGER AS start, (strpos(whole, text) - 1 + length(text))::INTEGER AS "end" FROM f
+""")
+def rule_forms_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all entities' rules and recognisers together leave of the planted forms, near misses too, once merged."""
+    c = cat.load_catalog()
+    found = detect.detect_rules(_planted_forms(spark, sf_dir), c, "text").withColumn("spans", spans.merge_all(F.col("spans"), c))
+    return found.select("o_orderkey", F.inline("spans")).select("o_orderkey", "entity_id", "text", "start", "end")
 
 
 @query()
