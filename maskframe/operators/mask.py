@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..functions.language import Languages
 from ..functions.masking import mask_value
 from ..functions.text import LEAST_LEAF, clean, guess_language, json_strings, strip
 from .detect import SPAN, SPANS, Rules, Scorer, scan_safely, score_texts
@@ -35,6 +36,8 @@ class MaskOptions:
     tagger: Scorer | None = None
     scorer: Scorer | None = None
     threshold: float = 0.4
+    #: A trained model of languages in place of the function words.
+    languages: Languages | None = None
 
 
 def guard(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
@@ -180,6 +183,7 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     """
     good = guard(df, options.text, options.max_chars).where("reject_reason IS NULL").drop("reject_reason")
     resolver, configured = Resolver(catalog), options.language
+    guess = options.languages.guess if options.languages else guess_language
 
     @F.pandas_udf(_RESOLVED + ",language:string,error:string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -189,7 +193,7 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
             rows = []
             for t, more in zip(texts, modelled, strict=True):
                 found, error = scan_safely(rules, t)
-                rows.append((*resolver(t or "", found + more), guess_language(t) if configured == "auto" else configured, error))
+                rows.append((*resolver(t or "", found + more), guess(t) if configured == "auto" else configured, error))
             yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error"])
 
     ready = clean(good, options.text).withColumn("_placed", scan("text_clean")).withColumns({"language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})

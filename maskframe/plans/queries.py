@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as cat
-from ..functions import masking, text
+from ..functions import html, language, masking, text
 from ..operators import detect, mask, report, spans, tagger
 from ..sources import files
 from .forms import FORMS, MERGED
@@ -187,6 +187,46 @@ def strip_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
 
 
+@query("""
+    SELECT c_custkey AS doc_id, 'Head ' || c_name || chr(10) || 'é < 3 & "b" bold' || c_custkey::VARCHAR || ' café ©' || chr(10) || 'a <5 b &nope;' || chr(10) || 'x > y' || chr(10) || 'tail' || chr(10) || 'lost' AS text FROM customer
+    UNION ALL SELECT -1 - n_nationkey, n_name || ' 3 < 4 &amp; 5 > 2' FROM nation
+""")
+def read_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up pages with quoted signs, comments, scripts, broken tags and references, beside texts without tags."""
+    k = F.col("c_custkey").cast("string")
+    page = F.concat(
+        F.lit('<!DOCTYPE html><html><head><title>Head '), F.col("c_name"), F.lit("</title><style>p > a { x: '<p>' }</style><script>if (a < b) { s = \"</p>\"; }</SCRIPT ></head><!-- <p>no</p> -- > --><body><p title=\"a > b\" data-x='<'>&eacute; &lt; 3 &amp; &quot;b&quot; <b>bold"), k,
+        F.lit("</b> caf&#233; &#xA9;</p><div>a <5 b &nope;<br/>x > y<hr></div><?php echo 1 ?>tail<a href=\"unclosed > <p>lost</p>"),
+    )
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), page.alias("t"))
+    plain = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long"), F.concat("n_name", F.lit(" 3 < 4 &amp; 5 > 2")))
+    return pages.union(plain).select("doc_id", html.read_html(F.col("t")).alias("text"))
+
+
+@query()
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of all pages by the reader."""
+    return table(spark, sf_dir, "pages").select("page_id", html.read_html(F.col("html")).alias("text"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, lang, ' ' || lower(text) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, lang, substring(t, unnest(generate_series(1, length(t) - 2)), 3) AS g FROM d),
+    c AS (SELECT lang, g, count(*) AS n FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+    top AS (SELECT g FROM c GROUP BY g ORDER BY sum(n) DESC, g LIMIT 200000),
+    base AS (SELECT lang, ln(sum(n) + 0.5 * ((SELECT count(*) FROM top) + 1)) AS base FROM c GROUP BY lang),
+    m AS (SELECT doc_id, g, count(*) AS n FROM g WHERE doc_id % 5 = 0 GROUP BY ALL),
+    s AS (SELECT m.doc_id, b.lang, sum(m.n * (ln(CASE WHEN top.g IS NULL THEN 0.5 ELSE coalesce(c.n, 0) + 0.5 END) - base)) AS s FROM m CROSS JOIN base b LEFT JOIN top ON top.g = m.g LEFT JOIN c ON c.g = m.g AND c.lang = b.lang GROUP BY ALL),
+    best AS (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)
+    SELECT doc_id, best.lang AS language FROM best
+""")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of a fifth of the documents by a model of the others."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_languages(docs.where("doc_id % 5 <> 0"))
+    return docs.where("doc_id % 5 = 0 AND text IS NOT NULL").select("doc_id", model.column(F.col("text")).alias("language"))
+
+
 @query(r"""
     SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || 'more and ' || p_type || ' x y a !pic' || chr(10) || chr(10) || 'z *' || chr(10) || 'select ' || p_partkey::VARCHAR || chr(10) || chr(10) || 'end ** of' AS stripped FROM part
 """)
