@@ -180,8 +180,11 @@ def match_units(units: DataFrame, templates: DataFrame) -> DataFrame:
     pairs = own.join(F.broadcast(given), "w")
     dots = pairs.groupBy("unit", "template", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot")).join(norms, "unit").join(F.broadcast(sides), "template")
     near = dots.select("unit", "template", "license", F.round(1000 * F.col("dot") / (F.col("norm") * F.col("side"))).cast("int").alias("cosine")).where(F.col("cosine") >= MIN_COSINE)
-    said = lambda df, text: df.withColumn("_w", F.expr(_cleaned(_tokens(_parted(text))))).withColumn("facts", F.expr(facts("_w"))).drop("_w")
-    bodies = said(units.join(near.select("unit").distinct(), "unit").select("unit", "body"), "body").select("unit", F.col("facts").alias("own_facts"))
+    near = stored(near)
+    # an array of one, so that the tokens are made once and not for each place
+    said = lambda df, text: df.withColumn("facts", F.expr(f"transform(array(struct({_cleaned(_tokens(_parted(text)))} AS w)), s -> {facts('s.w')})[0]"))
+    # stored, so that only what is near a template is looked at
+    bodies = stored(said(units.join(near.select("unit").distinct(), "unit").select("unit", "body"), "body").select("unit", F.col("facts").alias("own_facts")))
     near = near.join(bodies, "unit").join(F.broadcast(said(templates, "text").select("template", "facts")), "template").where("facts = own_facts")
     tagged = units.select("unit", F.regexp_extract("body", SPDX, 1).alias("tag")).where("tag <> ''")
     known = [r.license for r in templates.select("license").distinct().collect()]  # as many as there are templates
