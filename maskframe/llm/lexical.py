@@ -348,7 +348,8 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = TOP) -> Data
     """item_id, rank, doc_id and score: the ``k`` best documents above 0 of every row of ``items`` (item_id, text).
 
     Equal scores rank by doc_id; rows without a doc_id of their own (null, or all but one of
-    those that share one) are ranked as well and come behind others of their score. A null
+    those that share one) are ranked as well and come behind others of their score, in the
+    same order. A null
     or empty text has no terms: such documents count for nothing and such items have no
     rows, and so has an empty table. Rows of equal item_id are items of their own. Further
     columns are ignored.
@@ -358,7 +359,7 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = TOP) -> Data
     texts = keyed.select("_key", F.col("doc.text").alias("text"))
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
-    out = None
+    out, done = None, 0
     for group in _groups(items):
         vocabulary = sorted({t for _, terms in group for t in terms})
         told = spark.sparkContext.broadcast(vocabulary)
@@ -372,18 +373,20 @@ def rank_documents(documents: DataFrame, items: DataFrame, k: int = TOP) -> Data
         asked = [(n, [(j, weights[j]) for j in map(numbers.__getitem__, terms) if weights.get(j, 0) > 0]) for n, (_, terms) in enumerate(group)]
         for block in _blocks(asked) if index is not None else ():
             found = stored(_ranked(_searched(index, spark.sparkContext.broadcast(block), k), k))
-            names = spark.createDataFrame([(n, group[n][0]) for n, _ in block], f"item long, item_id {kind}")
-            own = found.join(F.broadcast(names), "item").select("item_id", "item", "rank", "key", "score")
+            names = spark.createDataFrame([(n, done + n, group[n][0]) for n, _ in block], f"_n long, item long, item_id {kind}")
+            own = found.withColumnRenamed("item", "_n").join(F.broadcast(names), "_n").select("item_id", "item", "key", "score")
             out = own if out is None else out.unionByName(own)
         if index is not None:
             drop_stored(index)
         told.unpersist()
+        done += len(group)
     if out is None:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     # keys beyond the largest doc_id stand for rows without a doc_id of their own
     odd = keyed.where((F.col("_key") > top) | F.col("doc.doc_id").isNull()).select(F.col("_key").alias("key"), F.col("doc.doc_id").alias("own"), F.lit(True).alias("odd"))
-    doc_id = F.when(F.col("odd"), F.col("own")).otherwise(F.col("key")).alias("doc_id")
-    return out.join(odd, "key", "left").select("item_id", F.col("rank").cast("int").alias("rank"), doc_id, "score")
+    named = out.join(odd, "key", "left").withColumn("doc_id", F.when(F.col("odd"), F.col("own")).otherwise(F.col("key")))
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("odd"), F.asc_nulls_last("doc_id"))  # k rows an item
+    return named.select("item_id", F.row_number().over(order).alias("rank"), "doc_id", "score")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

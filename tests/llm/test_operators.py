@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -11,7 +12,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from maskframe.llm import bpe, chat, decontam, licenses, neardup, pii, quality, secretscan, tokenfile, toxicity
+from maskframe.llm import bpe, chat, decontam, lexical, licenses, linededup, manifest, neardup, pii, quality, secretscan, tokenfile, toxicity
 from maskframe.llm import queries as Q
 
 ODD = [None, "", " \n\t ", "word", "é ñ 日本 \U0001f600", "a" * 30_000, "same words here again " * 50, "tie one two three four five", "tie one two three four five"]
@@ -655,3 +656,187 @@ def test_pipeline_by_brute_force(spark, tiny):
         ids = t.encode(out + text[at:], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
     assert [name for name, _ in C.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "bpe"] and C.ORACLE_SQL is None
+
+
+# 8 licences: near misses
+
+
+def test_near_misses_of_licenses(spark):
+    wrong = [
+        "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under the Apache License, Version 1.1.", "Subject to the terms of the Mozilla Public License, v. 1.1.",
+        "This program is licensed under the GNU General Public License, version 4.", "Licensed under the GNU Lesser General Public License, version 2.1.", "Released under the Eclipse Public License 2.0.", "Released under the Boost License.",
+        "This is not released under the MIT License.", "# SPDX-License-Identifier: MIT AND Foo-1.0", "# SPDX-License-Identifier: (MIT OR",
+    ]
+    right = [("MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR apache-2.0"), ("MIT OR GPL-2.0", "# SPDX-License-Identifier: (MIT OR GPL-2.0-only)"), ("GPL-2.0 WITH Classpath-exception-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */"), *licenses.TEMPLATES]
+    rows = [(k, f"d{k}/x.py", t) for k, t in enumerate(wrong + [t for _, t in right])]
+    got = {r.id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    assert [got[k] for k in range(len(wrong))] == [None] * len(wrong)
+    assert [got[len(wrong) + k] for k in range(len(right))] == [name for name, _ in right]
+
+
+# 11 ranked lexical search
+
+
+def brute_ranks(documents, items, k=lexical.TOP):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = [(d, terms(t)) for d, t in documents]
+    held = [(d, w, {x: w.count(x) for x in set(w)}) for d, w in held if w]
+    n_docs, n_words = len(held), sum(len(w) for _, w, _ in held)
+    out = []
+    for item, text in items:
+        found = []
+        for d, w, tf in held:
+            m = 100 - 50 + (50 * len(w) * n_docs) // n_words
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * sum(t in x for _, _, x in held) + 1))) * ((1_000_000_000 * tf[t]) // (1000 * tf[t] + 20 * m)) for t in set(terms(text)) if t in tf)
+            if score > 0:
+                found.append((-score, d))
+        out += [(item, place + 1, d, -s) for place, (s, d) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def test_ranks_by_brute_force(spark, monkeypatch):
+    """Small blocks and shards, so that lists are clustered and blocks and lists are skipped."""
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    monkeypatch.setattr(lexical, "SHARD_DOCS", 40)
+    monkeypatch.setattr(lexical, "ITEM_TERMS", 12)
+    monkeypatch.setattr(lexical, "VOCABULARY", 1500)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randint(1, 60))) for _ in range(150)] + ODD[:-1] + ["W1 w2", "w1 w2", "É w3", "é w3"]
+    documents = [(k, t) for k, t in enumerate(texts)]
+    items = [(k, " ".join(rng.sample(words, 6))) for k in range(12)] + [(20, None), (21, "nothing of it"), (22, "word É w1 w1"), (23, "é")]
+    got = lexical.rank_documents(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), k=7)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_ranks(documents, items, 7))
+    got = lexical.rank_documents(docs(spark, texts).repartition(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(brute_ranks(documents, items))
+
+
+def test_blocks_are_skipped_only_below_their_bounds(monkeypatch):
+    """Every shard's best are those of scoring all its documents, with and without the table of parts, and some documents are skipped."""
+    rng = np.random.default_rng(3)
+    # documents of ten topics, so that blocks of similar ones differ
+    rows = [np.unique(np.concatenate([rng.integers(0, 20, 6), 100 * rng.integers(0, 10) + 20 + rng.integers(0, 40, 12)])) for _ in range(1500)]
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    terms, parts = np.concatenate(rows).astype(np.int32), rng.integers(1000, 900_000, int(starts[-1]))
+    made = lexical.block_index(starts, terms, parts)
+    monkeypatch.setattr(lexical, "DENSE", 0)
+    assert all(np.array_equal(a, made[c]) for c, a in lexical.block_index(starts, terms, parts).items())
+    made |= {"keys": np.arange(1500, dtype=np.int64), "starts": starts, "terms": terms, "parts": parts.astype(np.int32)}
+    shard = lexical.Shard({c: lexical._packed(made[c]) for c in lexical._INDEX.names})
+    skipped = 0
+    for _ in range(40):
+        item = [(int(t), int(rng.integers(1, 9000))) for t in rng.choice(np.unique(terms), 12, replace=False)]
+        weights = dict(item)
+        scores = [-sum(weights.get(t, 0) * p for t, p in zip(terms[a:b].tolist(), parts[a:b].tolist(), strict=True)) for a, b in zip(starts, starts[1:], strict=False)]
+        want = sorted((s, d) for d, s in enumerate(scores) if s < 0)[:10]
+        got, scored = shard.search(item, [], 10)
+        assert got == want
+        better = [(want[0][0] - 1, -1)] * 10
+        again, rescored = shard.search(item, better, 10)
+        assert again == better and rescored <= scored
+        skipped += sum(s < 0 for s in scores) - scored
+    assert skipped > 0
+
+
+def test_ranks_of_odd_rows(spark):
+    documents = spark.createDataFrame([(5, "cat dog", 1), (5, "cat dog", 2), (None, "cat dog", 3), (7, "cat", 4), (1, None, 5), (2, "", 6), (3, "bird", 7)], "doc_id long, text string, score int")
+    items = spark.createDataFrame([(1, "dog", "x"), (1, "cat", "y"), (None, "dog", "z")], "item_id long, text string, doc_id string")
+    got = [tuple(r)[:3] for r in lexical.rank_documents(documents, items).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, 5), (1, 2, 5), (1, 3, None), (1, 1, 7), (1, 2, 5), (1, 3, 5), (1, 4, None), (None, 1, 5), (None, 2, 5), (None, 3, None)]))
+    assert lexical.rank_documents(documents.where("false"), items).count() == 0 and lexical.rank_documents(documents, items.where("false")).count() == 0
+
+
+# 12 manifest
+
+
+def brute_manifest(rows):
+    """(doc_id, source, leaf, subroot, proof, folded) in order, and the root; ``rows`` of doc_id, source, lang, n_chars, text."""
+    h = lambda *parts: sha("".join(parts))
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h(*map(field, r))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][k : k + 16]) for k in range(0, len(out[-1]), 16)])
+        return out
+
+    def path(tree, at):
+        for nodes in tree[:-1]:
+            run = nodes[at // 16 * 16 : at // 16 * 16 + 16]
+            yield run[: at % 16], run[at % 16 + 1 :]
+            at //= 16
+
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    own = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in sources}
+    trees = {s: levels([leaf(r) for r in own[s]]) for s in sources}
+    top = levels([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for j, r in enumerate(own[s]):
+            steps = [*path(trees[s], j), *path(top, k)]
+            picked = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            fold = leaf((*r[:4], re.sub("[A-Z]", lambda m: m[0].lower(), r[4]) if r[4] is not None else None)) if picked else leaf(r)
+            for before, after in steps:
+                fold = h(*before, fold, *after)
+            out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], h(*[x for b, a in steps for x in b + a]), fold, fold == top[-1][0]))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[1], [17, 1, 300], [2] * 40, [0]])
+def test_manifest_by_brute_force(spark, sizes):
+    rng = random.Random(sum(sizes))
+    rows = [(rng.randrange(10_000), None if k == 0 else f"é{k}" if k % 3 else f"s{k}", rng.choice(["en", None]), rng.choice([None, 7]), rng.choice(ODD[:5] + ["Some Text", "lower text"])) for k, n in enumerate(sizes) for _ in range(n)]
+    rows += rows[:3] + [(None, *r[1:]) for r in rows[:2]]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, leaf string")
+    names = ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    got = manifest.digest_manifest(d).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_manifest(rows)))
+
+
+# 13 line dedup
+
+
+def brute_lines(texts, least=linededup.MIN_DOCS, keep_first=False):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    lines = [(t or "").split("\n") for t in texts]
+    found = {}
+    for k, own in enumerate(lines):
+        for x in own:
+            found.setdefault(key(x), {}).setdefault(k)
+    seen, out = set(), []
+    for own in lines:
+        kept = []
+        for x in own:
+            common = key(x) != "" and len(found[key(x)]) >= least
+            if not common or (keep_first and key(x) not in seen):
+                kept.append(x)
+            seen.add(key(x))
+        out.append((len(own), len(own) - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_lines_by_brute_force(spark, heavy, monkeypatch):
+    if heavy:
+        monkeypatch.setattr(linededup, "SHARE", 1_000)  # what is commonest is counted apart
+    rng = random.Random(13)
+    pool = ["Menu", " menu\t", "MENU\r", "É", "é", "", "  ", *[f"line {k}" for k in range(60)]]
+    texts = ["\n".join(rng.choices(pool, [20] * 7 + [3] * 20 + [1] * 40, k=rng.choice([1, 3, 30, 200]))) for _ in range(60)] + ODD + ["menu\n" * 5000 + "x", "\n\n", "\n"]
+    d = docs(spark, texts)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.digest_lines(d).collect()}
+    assert [got[k] for k in range(len(texts))] == [(n, m, sha(t)) for n, m, t in brute_lines(texts)]
+    first = {r.doc_id: r.text for r in linededup.dedup_lines(d, 2, keep_first=True).collect()}
+    assert [first[k] for k in range(len(texts))] == [None if x is None else t for x, (_, _, t) in zip(texts, brute_lines(texts, 2, True), strict=True)]
+
+
+def test_lines_of_odd_rows(spark):
+    rows = [(1, "a\nB"), (1, "b\nc"), (None, "B "), (None, None), (2, "")]
+    d = spark.createDataFrame([(*r, 5, "k") for r in rows], "doc_id long, text string, n_chars long, keep string")
+    got = sorted((str(r.doc_id), str(r.text), r.n_chars) for r in linededup.dedup_lines(d, 3).collect())
+    assert got == [("1", "a", 1), ("1", "c", 1), ("2", "", 0), ("None", "", 0), ("None", "None", None)]
+    assert linededup.dedup_lines(d.where("false")).count() == 0
+    assert sorted((r.n_lines, r.n_dropped) for r in linededup.digest_lines(d, 3).collect()) == [(1, 0), (1, 0), (1, 1), (2, 1), (2, 1)]
+    long = "\n".join(f"line {k}" if k % 100 else "again" for k in range(70_000))
+    r = linededup.digest_lines(docs(spark, [long, "again", "again\nx"]), 3).where("doc_id = 0").first()
+    assert (r.n_lines, r.n_dropped) == (70_000, 700) and r.kept_sha256 == sha("\n".join(x for x in long.split("\n") if x != "again"))
