@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -43,10 +43,11 @@ def _node_paths(rows: DataFrame, per_tree: int | None) -> DataFrame:
     rows = stored(rows.withColumn("copy", F.row_number().over(same)))
     firsts = rows.where("copy = 1").select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     state = rows.join(firsts, ["tree", "parent"], "left").select("tree", "node", "copy", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).alias("size"))
-    pointers = []
+    pointers, held = [], [rows]
     most = max(1, rows.count()).bit_length() + 1
     for _ in range(most):
         state = stored(state)
+        held.append(state)
         if not state.where("up IS NOT NULL").limit(1).count():
             break
         pointers.append(state.where("up IS NOT NULL").select("tree", "node", "copy", "up"))
@@ -62,8 +63,14 @@ def _node_paths(rows: DataFrame, per_tree: int | None) -> DataFrame:
     path = leaves.select("tree", F.col("node").alias("leaf"), F.col("copy").alias("leaf_copy"), "node", "copy", (F.col("size") - 1).alias("depth"))
     for k, jump in enumerate(pointers):
         higher = path.join(jump, ["tree", "node", "copy"]).select("tree", "leaf", "leaf_copy", F.col("up").alias("node"), F.lit(1).alias("copy"), (F.col("depth") - (1 << k)).alias("depth"))
-        path = path.unionByName(higher) if k + 1 == len(pointers) else stored(path.unionByName(higher))
-    return path.join(rows, ["tree", "node", "copy"]).select("tree", "leaf", "leaf_copy", "depth", "at", "role", "digest")
+        path = stored(path.unionByName(higher))
+        held.append(path)
+        if k:
+            drop_stored(held.pop(-2))  # the shorter paths are in the longer ones
+    out = stored(path.join(rows, ["tree", "node", "copy"]).select("tree", "leaf", "leaf_copy", "depth", "at", "role", "digest"))
+    for old in held:  # nothing of it stays while texts are moved
+        drop_stored(old)
+    return out
 
 
 def _with_texts(paths: DataFrame, texts: DataFrame) -> DataFrame:
