@@ -970,10 +970,10 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     try:
         query = mask_stream(_arriving(spark, sf_dir, at), small_catalog(), f"{at}/out", f"{at}/state", once=True)
         query.awaitTermination()
-        heard.wait(60)
+        heard.wait(query, 60)
     finally:
         spark.streams.removeListener(heard)
-    return heard.table(spark).groupBy("step").agg(*[F.sum(c).alias(c) for c in ("n_in", "n_out", "n_dropped")])
+    return heard.table(spark, query).groupBy("step").agg(*[F.sum(c).alias(c) for c in ("n_in", "n_out", "n_dropped")])
 
 
 @query(_STEPS_SQL)
@@ -989,11 +989,12 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed_steps(spark, seen).select("step", "n_in", "n_out", "n_dropped")
 
 
-@query("SELECT 'customers.txt' AS file_name, count(*) AS n_masks FROM customer")
+@query("SELECT 'nations.txt' AS file_name, string_agg('[EMAIL ' || (k + 1)::VARCHAR || '] of ' || n_name, chr(10) ORDER BY k) AS masked_text FROM (SELECT n_name, n_nationkey AS k FROM nation)")
 def one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All customers' mail in one file, read whole as one document: each value has a number of its own."""
+    """The nations' mail in one file, read whole as one document: each value has a number of its own."""
     at = shared_folder(spark)
-    lines = customers(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("user"), F.col("doc_id").cast("string"), F.lit("@example.com")))), "\n").alias("value"))
-    lines.withColumn("file_name", F.lit("customers.txt")).write.partitionBy("file_name").option("lineSep", "\u0000").text(at)
-    done = mask.mask_documents(files.read_file(spark, f"{at}/file_name=customers.txt"), small_catalog())
-    return done.select(F.lit("customers.txt").alias("file_name"), F.size(F.array_distinct(F.regexp_extract_all("masked_text", F.lit("EMAIL [0-9]+"), F.lit(0)))).cast("long").alias("n_masks"))
+    line = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("@example.com of "), F.col("n_name"))
+    lines = table(spark, sf_dir, "nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))  # one row of 25 lines
+    lines.withColumn("file_name", F.lit("nations.txt")).write.partitionBy("file_name").option("lineSep", "\u0000").text(at)
+    done = mask.mask_documents(files.read_file(spark, f"{at}/file_name=nations.txt"), small_catalog())
+    return done.select(F.lit("nations.txt").alias("file_name"), F.translate("masked_text", "\x00", "").alias("masked_text"))

@@ -41,14 +41,15 @@ def observed_steps(spark: SparkSession, seen: Observation) -> DataFrame:
 class Progress(StreamingQueryListener):
     """Keeps the counts of each batch of the streams that it listens to, by the name given to :func:`observed`.
 
-    ``most`` bounds what is kept on the driver, the last batches; hand ``rows()`` to a table
-    of your own from time to time where a stream runs on.
+    ``most`` bounds what is kept on the driver, the batches heard of last; hand ``rows()`` to
+    a table of your own from time to time where a stream runs on.
     """
 
     def __init__(self, name: str = "masking", most: int = 10_000) -> None:
         self.name, self.most = name, most
-        self.batches: dict[int, dict[str, int]] = {}
-        self.ended = threading.Event()
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+        self.ended: dict[str, str | None] = {}
+        self.changed = threading.Condition()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -59,23 +60,28 @@ class Progress(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         got = event.progress.observedMetrics.get(self.name)
         if got is not None and got["documents"]:
-            self.batches[event.progress.batchId] = got.asDict()
+            self.batches[str(event.progress.id), event.progress.batchId] = got.asDict()
             while len(self.batches) > self.most:
-                del self.batches[min(self.batches)]
+                del self.batches[next(iter(self.batches))]
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.set()
+        with self.changed:
+            self.ended[str(event.id)] = event.exception
+            self.changed.notify_all()
 
-    def wait(self, seconds: float) -> None:
-        """Until a stream's end was heard of, which may come later than the stream's own end."""
-        self.ended.wait(seconds)
+    def wait(self, query: StreamingQuery, seconds: float) -> bool:
+        """Until the end of a stream was heard of, which comes later than the stream's own end; what it said of its batches has come by then."""
+        with self.changed:
+            return self.changed.wait_for(lambda: str(query.id) in self.ended, seconds)
 
-    def rows(self) -> list[tuple[int, str, int, int, int]]:
-        return [r for b in sorted(self.batches) for r in step_rows(self.batches[b], b)]
+    def rows(self, query: StreamingQuery | None = None) -> list[tuple[int, str, int, int, int]]:
+        """Step counts by batch, of one stream or of all."""
+        own = {k: v for k, v in self.batches.items() if query is None or k[0] == str(query.id)}
+        return [r for k in sorted(own) for r in step_rows(own[k], k[1])]
 
-    def table(self, spark: SparkSession) -> DataFrame:
+    def table(self, spark: SparkSession, query: StreamingQuery | None = None) -> DataFrame:
         """Step counts, one row a batch and step."""
-        return spark.createDataFrame(self.rows(), PROGRESS)
+        return spark.createDataFrame(self.rows(query), PROGRESS)
 
 
 def mask_stream(stream: DataFrame, catalog: Catalog, path: str, checkpoint: str, options: MaskOptions = MaskOptions(), sink: str = "parquet", once: bool = False) -> StreamingQuery:

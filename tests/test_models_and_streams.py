@@ -230,7 +230,7 @@ def test_stream_that_stops_between_its_writes(spark, tmp_path):
 def test_progress_keeps_the_last_batches():
     heard = stream.Progress(most=3)
     for k in range(10):
-        event = type("E", (), {"progress": type("P", (), {"batchId": k, "observedMetrics": {"masking": Counts(documents=2, spans_found=3, spans_kept=2, spans_masked=1)}})})
+        event = type("E", (), {"progress": type("P", (), {"id": "q", "batchId": k, "observedMetrics": {"masking": Counts(documents=2, spans_found=3, spans_kept=2, spans_masked=1)}})})
         heard.onQueryProgress(event)
     assert [r[0] for r in heard.rows()] == [7, 7, 8, 8, 9, 9] and heard.rows()[0] == (7, "merge", 3, 2, 1)
 
