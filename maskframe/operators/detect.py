@@ -70,8 +70,8 @@ RECOGNIZERS: dict[str, tuple[re.Pattern, Callable[[str], bool] | None, float, st
 }
 
 
-#: A character that a text must hold for a recogniser to find anything in it; the others need a digit.
-NEEDED_SIGN = {"EMAIL_ADDRESS": "@", "IP_ADDRESS": "."}
+#: What a text must hold for a recogniser to find anything in it; the others need a digit.
+NEEDED_PART = {"EMAIL_ADDRESS": re.compile("@"), "IP_ADDRESS": re.compile(r"\d\.\d+\.\d|:[0-9A-Fa-f]{0,4}:")}
 DIGIT = re.compile(r"\d")
 
 
@@ -81,8 +81,8 @@ def recognise(text: str, wanted: dict[str, str], min_score: float = MIN_SCORE) -
     for name, entity in wanted.items():
         if name not in RECOGNIZERS:
             continue
-        sign = NEEDED_SIGN.get(name)
-        if not (digits if sign is None else sign in text or name == "IP_ADDRESS" and ":" in text):
+        part = NEEDED_PART.get(name)
+        if not (digits if part is None else part.search(text)):
             continue
         pattern, check, score, words = RECOGNIZERS[name]
         for m in pattern.finditer(text):
