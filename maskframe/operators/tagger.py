@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Features that a model keeps, by how often they occur; what is added to each count.
-FEATURES, SMOOTHING = 500_000, 0.1
+FEATURES, SMOOTHING = 100_000, 0.1
 #: Kinds of feature: word, words beside it, ending, own shape and those beside it.
 KINDS = "wpneslr"
 OUTSIDE = "O"
