@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..functions.language import Languages
 from ..functions.masking import mask_value
-from ..functions.text import LEAST_LEAF, clean, guess_language, json_strings, strip
+from ..functions.text import LEAST_LEAF, clean_text, guess_language, json_strings, strip
 from .detect import SPAN, SPANS, Rules, Scorer, scan_safely, score_texts
 from .spans import fold, trim_lines
 
@@ -176,8 +176,8 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     """Documents with personal data masked: masked_text, detected_spans, masked_spans, stats.
 
     Everything stays in the document's row: no shuffle, and the same call serves batch
-    and streaming. One helper guesses the language, scans, merges, trims and numbers, so a
-    clean text goes to Python once; its time is linear in the text and its spans. Rows that
+    and streaming. One helper cleans, guesses the language, scans, merges, trims and numbers,
+    so a text goes to Python once; its time is linear in the text and its spans. Rows that
     :func:`guard` rejects are left out; :func:`rejects` has them. layer_error names what
     went wrong in a row's scan; such a row has no spans.
     """
@@ -185,18 +185,21 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     resolver, configured = Resolver(catalog), options.language
     guess = options.languages.guess if options.languages else guess_language
 
-    @F.pandas_udf(_RESOLVED + ",language:string,error:string>")
+    @F.pandas_udf(_RESOLVED + ",language:string,error:string,text_clean:string,format:string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rules = Rules(catalog, options.tagger)
-        for texts in batches:
-            modelled = score_texts(list(texts), catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [[]] * len(texts)
+        for raw in batches:
+            made = list(map(clean_text, raw))
+            texts = [t for t, _ in made]
+            modelled = score_texts(texts, catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [[]] * len(texts)
             rows = []
-            for t, more in zip(texts, modelled, strict=True):
+            for (t, kind), more in zip(made, modelled, strict=True):
                 found, error = scan_safely(rules, t)
-                rows.append((*resolver(t or "", found + more), guess(t) if configured == "auto" else configured, error))
-            yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error"])
+                rows.append((*resolver(t, found + more), guess(t) if configured == "auto" else configured, error, t, kind))
+            yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error", "text_clean", "format"])
 
-    ready = clean(good, options.text).withColumn("_placed", scan("text_clean")).withColumns({"language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})
+    ready = good.withColumns({"original_length": F.length(options.text), "_placed": scan(F.col(options.text))})
+    ready = ready.withColumns({"format": F.col("_placed.format"), "text_clean": F.col("_placed.text_clean"), "language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})
     out = _finished(ready, catalog, options)
     return out if options.keep_original else out.drop(options.text)
 
