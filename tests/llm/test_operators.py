@@ -840,3 +840,28 @@ def test_lines_of_odd_rows(spark):
     long = "\n".join(f"line {k}" if k % 100 else "again" for k in range(70_000))
     r = linededup.digest_lines(docs(spark, [long, "again", "again\nx"]), 3).where("doc_id = 0").first()
     assert (r.n_lines, r.n_dropped) == (70_000, 700) and r.kept_sha256 == sha("\n".join(x for x in long.split("\n") if x != "again"))
+
+
+def test_recall_of_near_duplicates(spark):
+    """Of the links of every document whose id is divisible by 50 to all others on the larger table, by brute force, at least nine in ten lie in one component."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets = {}
+    for d, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
+        sets[d] = {hash(tuple(w[k : k + 4])) for k in range(max(1, len(w) - 3))} if w else set()
+    asked = {}
+    for d, s in sets.items():
+        if d % 50 == 0:
+            for x in s:
+                asked.setdefault(x, []).append(d)
+    links = set()
+    for d, s in sets.items():
+        shared = {}
+        for x in s:
+            for q in asked.get(x, ()):
+                shared[q] = shared.get(q, 0) + 1
+        links |= {(q, d) for q, k in shared.items() if q != d and 100 * k >= 80 * (len(s) + len(sets[q]) - k)}
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), words=4).select("doc_id", "component_id").collect()}
+    assert len(links) > 50
+    assert sum(found[a] == found[b] for a, b in links) >= 0.9 * len(links)
