@@ -21,13 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Features that a model keeps, by how often they occur; what is added to each count.
 FEATURES, SMOOTHING = 100_000, 0.1
+#: Most tags, in all.
+TAGS = 10_000
 #: Kinds of feature: word, words beside it, ending, own shape and those beside it.
 KINDS = "wpneslr"
 OUTSIDE = "O"
@@ -41,22 +43,80 @@ def shape(word: str) -> str:
 
 def features(words: list[str]) -> list[list[str]]:
     """The features of each word, one of each kind."""
-    low, forms = [w.lower() for w in words], [shape(w) for w in words]
-    edge = lambda all_, k: all_[k] if 0 <= k < len(all_) else "^"
-    return [[f"w{low[k]}", f"p{edge(low, k - 1)}", f"n{edge(low, k + 1)}", f"e{low[k][-3:]}", f"s{forms[k]}", f"l{edge(forms, k - 1)}", f"r{edge(forms, k + 1)}"] for k in range(len(words))]
-
-
-def tags_of(words: list[tuple[int, int]], spans: list[dict]) -> list[str]:
-    """A tag for each word by the labelled spans (start, end, label); of overlapping ones the first."""
-    out, todo = [OUTSIDE] * len(words), sorted(spans, key=lambda s: (s["start"], s["end"]))
-    at = 0
-    for s in todo:
-        while at < len(words) and words[at][1] <= s["start"]:
-            at += 1
-        first = True
-        while at < len(words) and words[at][0] < s["end"]:
-            out[at] = ("B-" if first else "I-") + s["label"]
-            first, at = False, at + 1
+    shown = numbered(words, np.array([0, len(words)]))
+    return [[f"{kind}{shown[kind][1][shown[kind][0][k]]}" for kind in KINDS] for k in range(len(words))]
+
+
+def numbered(words: list[str], first: np.ndarray) -> dict[str, tuple[np.ndarray, list[str]]]:
+    """For each kind of feature the number of its value at each word, and the different values.
+
+    The words are those of several texts, one behind the other; ``first`` has the place of
+    each text's first word, and their number. What a word shows is made once a different word.
+    """
+    known: dict[str, int] = {}
+    ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+
+    def shown(values: list[str]) -> tuple[np.ndarray, list[str]]:
+        numbers = {"^": 0}
+        own = np.array([numbers.setdefault(v, len(numbers)) for v in values], np.int64)
+        return own[ids] if len(ids) else ids, list(numbers)
+
+    def before(own: np.ndarray) -> np.ndarray:
+        out = np.concatenate([own[:0], [0], own[:-1]])[: len(own)]
+        out[first[:-1][first[:-1] < first[1:]]] = 0
+        return out
+
+    def behind(own: np.ndarray) -> np.ndarray:
+        out = np.concatenate([own[1:], [0]])[: len(own)]
+        out[first[1:][first[:-1] < first[1:]] - 1] = 0
+        return out
+
+    lows = [w.lower() for w in known]
+    low, all_lows = shown(lows)
+    form, all_forms = shown([shape(w) for w in known])
+    return {"w": (low, all_lows), "p": (before(low), all_lows), "n": (behind(low), all_lows), "e": shown([w[-3:] for w in lows]), "s": (form, all_forms), "l": (before(form), all_forms), "r": (behind(form), all_forms)}
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Begin and end of all words of the texts put together by line feeds, the words, the place of each text's first word, and each text's beginning."""
+    joined = "\n".join(texts)
+    found = [m.span() for m in WORD.finditer(joined)]
+    places = np.array(found, np.int64).reshape(-1, 2)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    return places[:, 0], places[:, 1], [joined[a:b] for a, b in found], np.searchsorted(places[:, 0], begins), begins
+
+
+def in_parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) of about ``most`` characters."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def tags_of(begin: np.ndarray, end: np.ndarray, first: np.ndarray, spans: list[tuple[int, int, int, str]], number: dict[str, int]) -> np.ndarray:
+    """A tag's number for each word by the labelled spans (text, start, end, label; places as those of the words); of overlapping ones the first.
+
+    ``number`` gets the tags that it doesn't have.
+    """
+    out = np.full(len(begin), number.setdefault(OUTSIDE, len(number)))
+    if not spans:
+        return out
+    todo = sorted(spans, key=lambda s: s[:3])
+    text, start, stop = (np.array([s[k] for s in todo], np.int64) for k in range(3))
+    left = np.maximum(np.searchsorted(end, start, side="right"), first[text])
+    right = np.minimum(np.searchsorted(begin, stop, side="left"), first[text + 1])
+    upto = 0
+    for a, b, (*_, label) in zip(left.tolist(), right.tolist(), todo, strict=True):
+        a = max(a, upto)
+        if a < b:
+            out[a:b] = number.setdefault(f"I-{label}", len(number))
+            out[a] = number.setdefault(f"B-{label}", len(number))
+            upto = b
     return out
 
 
@@ -70,81 +130,161 @@ class Tagger:
     seen: dict[str, np.ndarray]
     unseen: dict[str, np.ndarray] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """The features as one list and one table: thousands of small arrays are slow to send."""
+        table = np.array(list(self.seen.values())).reshape(len(self.seen), len(self.tags))
+        return {"tags": self.tags, "opens": self.opens, "steps": self.steps, "unseen": self.unseen, "names": list(self.seen), "table": table}
+
+    def __setstate__(self, state: dict) -> None:
+        names, table = state.pop("names"), state.pop("table")
+        self.__dict__.update(state, seen=dict(zip(names, table, strict=True)))
+
+    def _shown(self, words: list[str], first: np.ndarray) -> np.ndarray:
+        """Log probability of each word's features by tag, for the words of several texts."""
+        out = np.zeros((len(words), len(self.tags)))
+        for kind, (own, values) in numbered(words, first).items():
+            out += np.array([self.seen.get(kind + v, self.unseen[kind]) for v in values]).reshape(len(values), len(self.tags))[own]
+        return out
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Log probability of each word's features by tag."""
-        return np.array([sum(self.seen.get(f, self.unseen[f[0]]) for f in own) for own in features(words)]).reshape(len(words), len(self.tags))
+        return self._shown(words, np.array([0, len(words)]))
+
+    def _decode(self, shown: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The most probable row of tags of each text; all texts go on by one word at a time, the longest ones last."""
+        starts, active = _by_length(first)
+        out = np.zeros(len(shown), np.int64)
+        if not active:
+            return out
+        best, back = self.opens + shown[starts], []
+        for k, m in enumerate(active[1:], 1):
+            ways = best[:m, :, None] + self.steps
+            back.append(np.argmax(ways, axis=1).astype(np.int16))
+            best[:m] = ways.max(axis=1) + shown[starts[:m] + k]
+        now = np.argmax(best, axis=1)
+        for k in range(len(active) - 1, 0, -1):
+            m = active[k]
+            out[starts[:m] + k] = now[:m]
+            now[:m] = back[k - 1][np.arange(m), now[:m]]
+        out[starts] = now
+        return out
 
     def decode(self, words: list[str]) -> list[int]:
         """The most probable row of tags, by number; of equal ones the first by tag numbers from the end."""
-        if not words:
-            return []
-        shown = self.emissions(words)
-        best, back = self.opens + shown[0], []
-        for row in shown[1:]:
-            ways = best[:, None] + self.steps
-            back.append(np.argmax(ways, axis=0))
-            best = ways.max(axis=0) + row
-        out = [int(np.argmax(best))]
-        for came in reversed(back):
-            out.append(int(came[out[-1]]))
-        return out[::-1]
+        return self._decode(self.emissions(words), np.array([0, len(words)])).tolist()
 
-    def certainty(self, words: list[str]) -> np.ndarray:
-        """Probability of each tag at each word, by the forward and backward sums."""
-        shown = self.emissions(words)
+    def _certainty(self, shown: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probability of each tag at each word of several texts, by the forward and backward sums."""
+        starts, active = _by_length(first)
         ahead, behind = np.empty_like(shown), np.zeros_like(shown)
-        ahead[0] = self.opens + shown[0]
-        for k in range(1, len(shown)):
-            ahead[k] = np.logaddexp.reduce(ahead[k - 1][:, None] + self.steps, axis=0) + shown[k]
-        for k in range(len(shown) - 2, -1, -1):
-            behind[k] = np.logaddexp.reduce(self.steps + (shown[k + 1] + behind[k + 1])[None, :], axis=1)
+        if not active:
+            return ahead
+        ahead[starts] = self.opens + shown[starts]
+        for k, m in enumerate(active[1:], 1):
+            at = starts[:m] + k
+            ahead[at] = np.logaddexp.reduce(ahead[at - 1][:, :, None] + self.steps, axis=1) + shown[at]
+        for k in range(len(active) - 1, 0, -1):
+            at = starts[: active[k]] + k
+            behind[at - 1] = np.logaddexp.reduce(self.steps + (shown[at] + behind[at])[:, None, :], axis=2)
         both = ahead + behind
         return np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])
 
+    def certainty(self, words: list[str]) -> np.ndarray:
+        """Probability of each tag at each word."""
+        return self._certainty(self.emissions(words), np.array([0, len(words)]))
+
     def spans(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, score) of the labelled runs; the score is the least certainty of a tag in it."""
-        places = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b] for a, b in places]
-        row = self.decode(words)
-        if all(self.tags[t] == OUTSIDE for t in row):
-            return []
-        sure, out = self.certainty(words), []
-        for k, t in enumerate(row):
-            name = self.tags[t]
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """:meth:`spans` of each text, many at once."""
+        out: list[list[tuple[int, int, str, float]]] = []
+        for a, b in in_parts(texts):
+            out += self._spans(texts[a:b])
+        return out
+
+    def _spans(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        begin, end, words, first, begins = words_of(texts)
+        shown = self._shown(words, first)
+        row = self._decode(shown, first)
+        labelled = np.flatnonzero(row != self.tags.index(OUTSIDE))
+        out: list[list] = [[] for _ in texts]
+        if not len(labelled):
+            return out
+        some = np.unique(np.searchsorted(first, labelled, side="right") - 1)  # only these texts need certainties
+        sizes = first[some + 1] - first[some]
+        within = np.concatenate([[0], np.cumsum(sizes)])
+        taken = np.arange(within[-1]) + np.repeat(first[some] - within[:-1], sizes)
+        sure = self._certainty(shown[taken], within)
+        text = np.repeat(some, sizes)
+        scores = sure[np.arange(len(taken)), row[taken]]
+        for k in np.flatnonzero(row[taken] != self.tags.index(OUTSIDE)).tolist():
+            at, i = int(taken[k]), int(text[k])
+            name, own = self.tags[row[at]], out[i]
             if name.startswith("B-"):
-                out.append([*places[k], name[2:], float(sure[k, t])])
-            elif name.startswith("I-"):
-                out[-1] = [out[-1][0], places[k][1], name[2:], min(out[-1][3], float(sure[k, t]))]
-        return [tuple(s) for s in out]
+                own.append([int(begin[at] - begins[i]), int(end[at] - begins[i]), name[2:], float(scores[k])])
+            else:
+                own[-1] = [own[-1][0], int(end[at] - begins[i]), name[2:], min(own[-1][3], float(scores[k]))]
+        return [[tuple(x) for x in own] for own in out]
 
     def __call__(self, texts: list[str], labels: list[str], threshold: float) -> list[list[tuple[int, int, str, float]]]:
         wanted = set(labels)
-        return [[s for s in self.spans(t) if s[2] in wanted and s[3] >= threshold] for t in texts]
+        return [[s for s in own if s[2] in wanted and s[3] >= threshold] for own in self.spans_of(texts)]
+
+
+def _by_length(first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The places of the first words of texts that have any, longest text first, and for each place in a text how many texts reach it."""
+    sizes = first[1:] - first[:-1]
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+    if not len(order):
+        return first[:0], []
+    reach = np.bincount(sizes[order])
+    return first[:-1][order], (len(order) - np.cumsum(reach)[:-1]).tolist()
 
 
 def count_features(labelled: DataFrame) -> DataFrame:
     """what (step, tag or feature), tag, value and n over the rows of ``labelled`` (text, spans of start, end and label)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(texts: list[str], spans: list[tuple[int, int, int, str]], counts: Counter[tuple[str, str, str]]) -> None:
+        begin, end, words, first, begins = words_of(texts)
+        number: dict[str, int] = {}
+        tag = tags_of(begin, end, first, [(k, a + begins[k], b + begins[k], label) for k, a, b, label in spans], number)
+        tags = [*number, ""]
+
+        def add(what: str, own: np.ndarray, values: list[str], kind: str = "") -> None:
+            each, n = np.unique(tag * len(values) + own, return_counts=True)
+            for t, v, k in zip((each // len(values)).tolist(), (each % len(values)).tolist(), n.tolist(), strict=True):
+                counts[what, tags[t], kind + values[v]] += k
+
+        before = np.concatenate([tag[:0], [len(number)], tag[:-1]])[: len(tag)]
+        before[first[:-1][first[:-1] < first[1:]]] = len(number)
+        add("step", before, tags)
+        add("tag", np.zeros_like(tag), [""])
+        for kind, (own, values) in numbered(words, first).items():
+            add("feature", own, values, kind)
+
+    def made(counts: Counter[tuple[str, str, str]]) -> pa.RecordBatch:
+        what, tag, value = (pa.array([k[i] for k in counts], pa.string()) for i in range(3))
+        return pa.RecordBatch.from_pydict({"what": what, "tag": tag, "value": value, "n": pa.array(counts.values(), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str, str]] = Counter()
         for batch in batches:
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                places = [m.span() for m in WORD.finditer(text or "")]
-                tags = tags_of(places, [] if spans is None else list(spans))
-                before = ""
-                for own, tag in zip(features([text[a:b] for a, b in places]), tags, strict=True):
-                    counts["step", tag, before] += 1
-                    counts["tag", tag, ""] += 1
-                    for f in own:
-                        counts["feature", tag, f] += 1
-                    before = tag
-            if len(counts) > 1_000_000:  # a task's own sums stay bounded
-                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "tag", "value", "n"])
-                counts.clear()
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "tag", "value", "n"])
+            texts, column = [t or "" for t in batch["text"].to_pylist()], batch["spans"]
+            owner = np.repeat(np.arange(len(texts)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = column.flatten()
+            start, stop, label = (flat.field(flat.type.get_field_index(k)).to_pylist() for k in ("start", "end", "label")) if len(flat) else ([], [], [])
+            for a, b in in_parts(texts):
+                lo, hi = np.searchsorted(owner, [a, b])
+                count(texts[a:b], list(zip((owner[lo:hi] - a).tolist(), start[lo:hi], stop[lo:hi], label[lo:hi], strict=True)), counts)
+                if len(counts) > 1_000_000:  # a task's own sums stay bounded
+                    yield made(counts)
+                    counts = Counter()
+        yield made(counts)
 
     schema = "what string, tag string, value string, n long"
-    return labelled.select("text", "spans").mapInPandas(run, schema).groupBy("what", "tag", "value").agg(F.sum("n").alias("n"))
+    return labelled.select("text", "spans").mapInArrow(run, schema).groupBy("what", "tag", "value").agg(F.sum("n").alias("n"))
 
 
 def train_tagger(labelled: DataFrame, most: int = FEATURES, smoothing: float = SMOOTHING) -> Tagger:
@@ -154,25 +294,23 @@ def train_tagger(labelled: DataFrame, most: int = FEATURES, smoothing: float = S
     ``most`` frequent ones are kept, ties by name; these, and counts of tags, are all that
     comes to the driver.
     """
-    counted = count_features(labelled).persist()
-    try:
-        small = counted.where("what <> 'feature'").collect()
-        kept = counted.where("what = 'feature'").groupBy("value").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("by_tag"))
-        rows = kept.orderBy(F.desc("total"), "value").limit(most).collect()
-    finally:
-        counted.unpersist()
-    tags = sorted({r.tag for r in small if r.what == "tag"} | {OUTSIDE})
+    counted = count_features(labelled).groupBy("what", "value").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("by_tag"))
+    # counts of tags, a row a tag, stand before the features
+    first = counted.orderBy(F.col("what") == "feature", F.desc("total"), "value").limit(most + TAGS).collect()
+    rows = [r for r in first if r.what == "feature"][:most]
+    small = [(r.what, tag, r.value, n) for r in first if r.what != "feature" for tag, n in r.by_tag.items()]
+    tags = sorted({tag for what, tag, *_ in small if what == "tag"} | {OUTSIDE})
     tags = sorted({*tags, *(f"I-{t[2:]}" for t in tags if t.startswith("B-"))})
     number = {t: k for k, t in enumerate(tags)}
     totals = np.zeros(len(tags))
     opens, steps = np.full(len(tags), smoothing), np.full((len(tags), len(tags)), smoothing)
-    for r in small:
-        if r.what == "tag":
-            totals[number[r.tag]] = r.n
-        elif r.value:
-            steps[number[r.value], number[r.tag]] += r.n
+    for what, tag, before, n in small:
+        if what == "tag":
+            totals[number[tag]] = n
+        elif before:
+            steps[number[before], number[tag]] += n
         else:
-            opens[number[r.tag]] += r.n
+            opens[number[tag]] += n
     for t, k in number.items():
         if t.startswith("I-"):  # a further word only behind a word of its label
             opens[k] = 0

@@ -244,3 +244,19 @@ def test_names_of_one_s_own():
     c = cat.load_catalog(names={"bank_name": ("Moon Bank of Io",)}).only("bank_name")
     found = lambda t: [s["text"] for s in detect.Rules(c).scan(t)]
     assert found("at Moon Bank of Io now")[0] == "Moon Bank" and "Moon Bank of Io" in found("at Moon Bank of Io now") and found("at Wells Fargo now") == []
+
+
+def test_tagger_takes_texts_together(spark, tiny, names):
+    """Many texts at once give what each gives alone, long ones beside empty ones, in far less time than word by word."""
+    texts = [r.text for r in Q.sentences(spark, tiny).where("doc_id < 300").collect()] + ["", " \n", "Ada"]
+    texts.append(" ".join(texts) * 20)
+    texts *= 3
+    together = names.spans_of(texts)
+    assert together == [own for t in texts for own in [names.spans(t)]] and sum(map(len, together)) > 1000
+    began = time.time()
+    names.spans_of(texts[:300] * 100)
+    assert time.time() - began < 12
+
+
+def test_made_sentences_go_to_all_cores(spark, tiny):
+    assert Q.sentences(spark, tiny).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
