@@ -20,6 +20,12 @@ from pyspark.sql import types as T
 from ..catalog import NEEDED, Catalog, builtin_entities
 from ..functions.text import chunk_at_blanks, chunk_at_lines
 
+
+def once(udf: Callable) -> Callable:
+    """A helper that runs once a row: the filters that Spark makes of an explode would repeat its call, below a shuffle even, and scan each text twice."""
+    return udf.asNondeterministic()
+
+
 SPAN = "struct<text:string,start:int,end:int,entity_id:string,display_name:string,confidence:double,source:string,seq:int>"
 SPANS = f"array<{SPAN}>"
 #: Lowest score of a recogniser's finding.
@@ -153,6 +159,7 @@ def scan_safely(rules: Rules, text: str | None) -> tuple[list[dict], str | None]
 def detect_rules(df: DataFrame, catalog: Catalog, text: str = "text_clean", out: str = "spans", tagger: Scorer | None = None) -> DataFrame:
     """Adds the spans of all rules and recognisers, and layer_error where a row's scan failed (it then has none)."""
 
+    @once
     @F.pandas_udf(f"struct<spans:{SPANS},error:string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rules = Rules(catalog, tagger)
@@ -218,6 +225,7 @@ def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: flo
     unknown labels are dropped; null and empty texts have none.
     """
 
+    @once
     @F.pandas_udf(SPANS)
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(score_texts(list(texts), catalog, scorer, threshold, size, overlap), dtype=object)
@@ -473,6 +481,7 @@ def locate(df: DataFrame, detections: DataFrame, catalog: Catalog, text: str = "
     one = detections.groupBy(key, "entity_id", "text").agg(F.max("confidence").alias("confidence"))
     lists = one.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("entity_id", "text", "confidence"))).alias("_asked"))
 
+    @once
     @F.pandas_udf(SPANS)
     def place(texts: pd.Series, asked: pd.Series) -> pd.Series:
         out = []

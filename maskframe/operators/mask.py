@@ -15,7 +15,7 @@ from ..catalog import Catalog
 from ..functions.language import Languages
 from ..functions.masking import mask_value
 from ..functions.text import LEAST_LEAF, clean_text, guess_language, json_strings, strip
-from .detect import SPAN, SPANS, Rules, Scorer, scan_safely, score_texts
+from .detect import SPAN, SPANS, Rules, Scorer, once, scan_safely, score_texts
 from .spans import fold, trim_lines
 
 MAX_CHARS = 500_000
@@ -77,6 +77,7 @@ def number_spans(spans: Column) -> Column:
     The values of an entity in the order of their first sight give the numbers, so equal values share one.
     """
 
+    @once
     @F.pandas_udf(f"array<{SPAN[:-1]},n:int>>")
     def numbered(rows: pd.Series) -> pd.Series:
         ordered = [sorted(r, key=lambda s: s["start"]) if r is not None else [] for r in rows]
@@ -126,6 +127,7 @@ def mask_spans(df: DataFrame, catalog: Catalog, key: str | None = None, text: st
     """Adds masked_text and masked_spans for disjoint ``spans`` of ``text``."""
     known = frozenset(e.id for e in catalog.entities)
 
+    @once
     @F.pandas_udf(f"struct<{PLACED}>")
     def placed(texts: pd.Series, rows: pd.Series) -> pd.DataFrame:
         made = [place(t or "", list(r) if r is not None else [], known) for t, r in zip(texts, rows, strict=True)]
@@ -164,6 +166,7 @@ def finish(df: DataFrame, catalog: Catalog, options: MaskOptions) -> DataFrame:
     """Merge, trim, mask and count: the steps behind detection. ``df`` has text_clean, language and spans."""
     resolver = Resolver(catalog)
 
+    @once
     @F.pandas_udf(_RESOLVED + ">")
     def resolve(texts: pd.Series, rows: pd.Series) -> pd.DataFrame:
         made = [resolver(t or "", list(r) if r is not None else []) for t, r in zip(texts, rows, strict=True)]
@@ -185,6 +188,7 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     resolver, configured = Resolver(catalog), options.language
     guess = options.languages.guess if options.languages else guess_language
 
+    @once
     @F.pandas_udf(_RESOLVED + ",language:string,error:string,text_clean:string,format:string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rules = Rules(catalog, options.tagger)
@@ -248,6 +252,7 @@ def mask_json(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskOption
     """
     resolver = Resolver(catalog)
 
+    @once
     @F.pandas_udf(f"struct<ok:boolean,{PLACED}>")
     def placed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rules = Rules(catalog, options.tagger)
@@ -296,6 +301,7 @@ def span_detail(df: DataFrame, digits: int = 4, missing: str | None = None) -> D
     """
     fallback = F.lit(missing).cast("string") if missing is not None else F.col("s.text")
 
+    @once
     @F.pandas_udf("array<struct<masked:string,strategy:string>>")
     def found(spans: pd.Series, masked: pd.Series) -> pd.Series:
         out = []

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import DEFAULT_PRIORITY, Catalog
-from .detect import SPANS
+from .detect import SPANS, once
 
 SOURCES = {"pattern": 0, "ner": 1, "llm": 2}
 
@@ -98,6 +98,7 @@ def merge_all(spans: Column, catalog: Catalog) -> Column:
     """Equal spans, then overlaps, without thresholds."""
     priority = {e.id: e.priority for e in catalog.entities}
 
+    @once
     @F.pandas_udf(SPANS)
     def long_fold(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: fold(list(r), priority) if r is not None else [])

@@ -266,3 +266,11 @@ def test_made_sentences_go_to_all_cores(spark, tiny):
 def test_made_texts_go_to_all_cores(spark, tiny, name):
     """A table of keys is one split, however many rows it has; its texts are scanned by as many tasks as there are cores, and more."""
     assert f"RoundRobinPartitioning({max(4 * spark.sparkContext.defaultParallelism, 4)})" in Q.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["masked_inventory", "model_spans", "tagger_spans", "rule_forms_merged", "locate_detections", "rule_spans_documents", "span_detail"])
+def test_texts_are_scanned_once(spark, tiny, name):
+    """No helper's call stands twice in a plan: an explode's filter would repeat it."""
+    plan = Q.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"ArrowEvalPython \[(\w+)\(", plan)
+    assert nodes and len(nodes) == len(set(nodes)), nodes
