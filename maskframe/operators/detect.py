@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,6 +258,38 @@ def candidates_of_chunks(chunks_table: DataFrame, spans: DataFrame, key: str = "
     return found.unionByName(lone, allowMissingColumns=True)
 
 
+def totals_of_chunks(chunks_table: DataFrame, spans: DataFrame, value: Column, key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """Every chunk with ``n``, how many spans (start, end; of at least one character) overlap it, and ``total``, the sum of ``value`` over them, without pairs.
+
+    The spans that overlap a chunk are those that begin before its end, less those that end
+    by its beginning: two differences of running sums. Spans and chunks are first added up
+    by place, so a bucket of places is a bounded group whatever the number of rows, and the
+    sums of whole buckets go ahead of it. The work is linear in spans and chunks, also where
+    each chunk overlaps a share of all spans. Null keys are a key like others.
+    """
+    begin, end = F.col("offset").cast("long"), F.col("offset").cast("long") + F.length("chunk")
+    zero = F.lit(0).cast("long")
+    value = F.coalesce(value.cast("long"), zero)
+    names = ("opened", "opened_total", "closed", "closed_total")
+    event = lambda at, *sums: F.struct(at.cast("long").alias("_at"), *[x.alias(n) for n, x in zip(names, sums, strict=True)])
+    one = F.lit(1).cast("long")
+    ends = F.array(event(F.col("start"), one, value, zero, zero), event(F.col("end") - 1, zero, zero, one, value))
+    events = spans.where("start < end").select(F.col(key).alias("_key"), F.explode(ends).alias("e")).select("_key", "e.*")
+    intervals = chunks_table.select(F.col(key).alias("_key"), begin.alias("_begin"), end.alias("_end")).distinct()
+    asked = intervals.select("_key", F.explode(F.array(event(F.col("_begin"), *[zero] * 4), event(F.col("_end"), *[zero] * 4))).alias("e")).select("_key", "e.*")
+    places = events.unionByName(asked).groupBy("_key", "_at").agg(*[F.sum(n).alias(n) for n in names]).withColumn("_bucket", F.floor(F.col("_at") / bucket))
+    before = lambda window: [F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), zero).alias(f"_{n}") for n in names]
+    within = places.select("_key", "_bucket", "_at", *before(Window.partitionBy("_key", "_bucket").orderBy("_at")))
+    whole = places.groupBy("_key", "_bucket").agg(*[F.sum(n).alias(n) for n in names])
+    ahead = whole.select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"), *[x.alias(f"_whole_{n}") for n, x in zip(names, before(Window.partitionBy("_key").orderBy("_bucket")), strict=True)])
+    sums = within.join(ahead, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))).select("_key", "_at", *[(F.col(f"_{n}") + F.col(f"_whole_{n}")).alias(n) for n in names])
+    at = lambda name, *kept: sums.select(F.col("_key").alias(f"_k_{name}"), F.col("_at").alias(f"_at_{name}"), *kept)
+    met = intervals.join(at("end", "opened", "opened_total"), F.col("_key").eqNullSafe(F.col("_k_end")) & (F.col("_end") == F.col("_at_end")))
+    met = met.join(at("begin", "closed", "closed_total"), F.col("_key").eqNullSafe(F.col("_k_begin")) & (F.col("_begin") == F.col("_at_begin")))
+    found = met.select("_key", "_begin", "_end", (F.col("opened") - F.col("closed")).alias("n"), (F.col("opened_total") - F.col("closed_total")).alias("total"))
+    return chunks_table.join(found, F.col(key).eqNullSafe(F.col("_key")) & (begin == F.col("_begin")) & (end == F.col("_end"))).drop("_key", "_begin", "_end")
+
+
 def inside(parts: list[tuple[int, str]], spans: list[dict]) -> list[list[dict]]:
     """For each chunk (offset, text), by rising offsets, the spans that overlap it, by start; a sweep, linear in spans and result."""
     todo, at, active, out = sorted(spans, key=lambda s: (s["start"], s["seq"])), 0, [], []

@@ -274,3 +274,18 @@ def test_texts_are_scanned_once(spark, tiny, name):
     plan = Q.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     nodes = re.findall(r"ArrowEvalPython \[(\w+)\(", plan)
     assert nodes and len(nodes) == len(set(nodes)), nodes
+
+
+def test_totals_of_chunks_without_pairs(spark):
+    """Counts and sums by brute force, and for 300,000 spans under each of 20,000 equal chunks, whose pairs nobody could go through."""
+    rng = random.Random(3)
+    spans = [(rng.choice([None, 1, 2]), a := rng.randrange(9000), a + rng.choice([1, 5, 40, 5000])) for _ in range(400)]
+    chunks = [(rng.choice([None, 1, 2, 3]), k, rng.randrange(9000), "x" * rng.choice([0, 1, 700, 3500])) for k in range(200)]
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_idx int, offset int, chunk string")
+    s = spark.createDataFrame(spans, "doc_id long, start int, end int")
+    got = {(r.chunk_idx, r.n, r.total) for r in detect.totals_of_chunks(c, s, F.col("start") + 3 * F.col("end")).collect()}
+    met = [(k, [a + 3 * b for d, a, b in spans if d == doc and a < o + len(t) and b > o]) for doc, k, o, t in chunks]
+    assert got == {(k, len(x), sum(x)) for k, x in met}
+    many = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") % 100).alias("start"), (F.col("id") % 100 + 1).alias("end"))
+    wide = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("chunk_idx"), F.lit(0).alias("offset"), F.lit("x" * 100).alias("chunk"))
+    assert detect.totals_of_chunks(wide, many, F.lit(1)).where("n = 300000 AND total = 300000").count() == 20_000
