@@ -310,7 +310,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     links = runs.where("b IS NOT NULL").select("a", "b")
     loose = components(links)
     further = _large(runs.where("b IS NULL").select("tree", "region", F.col("a").alias("doc_id")), loose, classes)
-    return loose if further is None else components(links.unionByName(further))
+    return loose if further is None else components(loose.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -332,42 +332,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_do
     loose = _candidates(classes)
     members = stored(loose.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select("component", F.col("node").alias("doc_id"), "n_shingles"))
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a candidate of several blocks has more than block_docs documents or block_shingles shingles, so few are sent to all tasks
+    several = F.broadcast(sizes.where("blocks > 1"))
+    dealt = members.join(several, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # the candidates are a share of all documents at every size, so both sides are always sorted by doc_id
     texts = stored(dealt.select("component", "block", "blocks", "doc_id").join(docs.hint("merge"), "doc_id"))
-    inner = stored(_blocks(texts, ["component", "block"], words, percent))
+    inner = stored(_blocks(texts, ["component", "block", "blocks"], words, percent))
     links = inner.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     if texts.where("blocks > 1").limit(1).count():
-        links = links.unionByName(_across(texts.where("blocks > 1"), inner, words, percent, block_docs))
+        links = links.unionByName(_across(texts.where("blocks > 1"), inner.where("blocks > 1"), words, percent, block_docs))
     joined = components(links)
     of_class = classes.select("digest", F.col("doc_id").alias("node")).join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = signed.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return out.withColumns({c: F.when(F.col(c) <= top, F.col(c)) for c in ("doc_id", "component_id")})
 
 
-def _across(texts: DataFrame, inner: DataFrame, words: int, percent: int, block_docs: int) -> DataFrame:
-    """Links between the blocks of the candidates that have several."""
-    heads = inner.join(texts.select("component", "block", "doc_id"), ["component", "block", "doc_id"], "left_semi")
+def _across(texts: DataFrame, heads: DataFrame, words: int, percent: int, block_docs: int) -> DataFrame:
+    """Links between the blocks of the candidates that have several, from each document's ``heads`` in its own block."""
     hubs = heads.groupBy("component", "block", "head").agg(F.count("*").alias("n")).where("n > 1").select("component", F.col("head").alias("doc_id"))
     many = hubs.groupBy("component").agg(F.ceil(F.count("*") / block_docs).alias("parts"))
-    of_hub = hubs.join(many, "component").select("component", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("hub")), F.col("parts")).cast("int").alias("block"), "doc_id")
+    of_hub = hubs.join(F.broadcast(many), "component").select("component", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("hub")), F.col("parts")).cast("int").alias("block"), "doc_id")
     hub_texts = of_hub.join(texts.select("doc_id", "text"), "doc_id")
     by_hub = _blocks(hub_texts, ["component", "block"], words, percent)
     found = heads.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).unionByName(by_hub.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-    so_far = stored(texts.select("component", "block", "blocks", "doc_id").join(components(found).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "group"), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")))
+    so_far = stored(heads.select("component", "block", "blocks", "doc_id").join(components(found).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "group"), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")))
     counts = so_far.groupBy("component", "group").agg(F.count("*").alias("n"))
     largest = counts.groupBy("component").agg(F.max(F.struct("n", "group")).alias("m")).select("component", F.col("m.group").alias("largest"))
-    state = so_far.join(largest, "component")
-    outside = state.where("group <> largest")
+    state = so_far.join(F.broadcast(largest), "component")
     # Those outside the largest component are dealt into parts of their own; each part meets every block of its
     # candidate once, so a block's texts are sent as often as there are parts, however the outsiders lie.
     outside = state.where("group <> largest")
     parts = outside.groupBy("component").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
-    dealt = outside.join(parts, "component").select("component", "blocks", "group", "doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.col("parts")).cast("int").alias("asking"))
+    dealt = outside.join(F.broadcast(parts), "component").select("component", "blocks", "group", "doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.col("parts")).cast("int").alias("asking"))
     rows = dealt.select("component", "asking", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "group", "doc_id")
-    others = state.join(parts, "component").select("component", F.explode(F.expr("sequence(0, parts - 1)")).alias("asking"), "block", "group", "doc_id")
+    others = state.join(F.broadcast(parts), "component").select("component", F.explode(F.expr("sequence(0, parts - 1)")).alias("asking"), "block", "group", "doc_id")
     pairs = rows.unionByName(others).distinct().join(texts.select("doc_id", "text"), "doc_id")
-    return found.unionByName(_blocks(pairs, ["component", "asking", "block"], words, percent, known=True).select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+    last = _blocks(pairs, ["component", "asking", "block"], words, percent, known=True)
+    return so_far.select(F.col("doc_id").alias("a"), F.col("group").alias("b")).unionByName(last.select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
 
 
 SQL = r"""

@@ -290,6 +290,59 @@ def test_components_with_hubs(spark, monkeypatch, hub):
     assert got == {k: v for k, v in label.items() if k not in alone}
 
 
+def test_components_take_few_rounds_and_tasks(spark, monkeypatch):
+    """A chain out of order: no more tasks than its links fill, whatever the number of partitions, and no round where one task holds it."""
+    from maskframe.llm import common
+    from maskframe.llm import components as K
+
+    files = []
+
+    def stored(df):
+        files.append(len((out := common.stored(df)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(K, "stored", stored)
+    nodes = list(range(300))
+    random.Random(4).shuffle(nodes)
+    links = spark.createDataFrame(list(zip(nodes[1:], nodes[:-1], strict=True)), "a long, b long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (4, 1):
+            files.clear()
+            assert sorted(map(tuple, K.components(links.repartition(parts)).collect())) == [(k, 0) for k in range(300)]
+            assert max(files) <= spark.sparkContext.defaultParallelism
+        assert len(files) == 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_forests_of_links_by_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    from maskframe.llm import components as K
+
+    monkeypatch.setattr(K, "FOREST_LINKS", 50)
+    rng = random.Random(6)
+    for _ in range(200):
+        links = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(rng.randint(0, 70))]
+
+        def label(links, nodes):
+            out = {x: x for x in nodes}
+            for _ in range(len(nodes)):
+                for a, b in links:
+                    out[a] = out[b] = min(out[a], out[b])
+            return out
+
+        batches = [pa.RecordBatch.from_pydict({"u": [a for a, _ in some], "v": [b for _, b in some]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())])) for some in (links[k : k + 20] for k in range(0, len(links), 20))]
+        made = [list(zip(*b.to_pydict().values(), strict=True)) for b in K._forests(iter(batches))]
+        nodes = {x for e in links for x in e}
+        assert label([e for m in made for e in m], nodes) == label(links, nodes)
+        assert all(len({u for u, _ in m}) == len(m) and not {u for u, _ in m} & {v for _, v in m} for m in made)
+
+
 # 4 decontamination
 
 
