@@ -187,22 +187,34 @@ def gazetteer(phrases: dict[str, list[str]]) -> Scorer:
     return score
 
 
-def score_texts(texts: list[str], catalog: Catalog, scorer: Scorer, threshold: float, size: int, overlap: int) -> list[list[dict]]:
-    """The spans of a model in each text: chunks scored together, offsets put back, equal spans once with the best score, the first of equal ones."""
+def score_safely(parts: list[str], scorer: Scorer, labels: list[str], threshold: float) -> list[list[tuple[int, int, str, float]]]:
+    """What ``scorer`` finds in each of ``parts``; it must answer for each of them."""
+    found = scorer(parts, labels, threshold)
+    if len(found) != len(parts):
+        raise ValueError(f"the model answered for {len(found)} of {len(parts)} chunks")
+    return found
+
+
+def score_texts(texts: list[str], catalog: Catalog, scorer: Scorer, threshold: float, size: int, overlap: int) -> list[tuple[list[dict], Exception | None]]:
+    """The spans of a model in each text and no error, or none and the error where the model fails on one of its chunks: one bad text must not lose the others.
+
+    Chunks are scored together, offsets put back; equal spans stand once with the best score, the first of equal ones.
+    """
     labels, names = catalog.labels(), {e.id: e.display_name for e in catalog.entities}
     cut = [chunk_at_blanks(t or "", size, overlap) for t in texts]
-    parts = [part for own in cut for _, part in own]
+    failed: dict[int, Exception] = {}
     try:
-        found = scorer(parts, list(labels), threshold)
-    except Exception:  # a chunk that the model fails on has no spans; the others keep theirs
+        found = score_safely([part for own in cut for _, part in own], scorer, list(labels), threshold)
+    except Exception:  # which texts it fails on, one by one
         found = []
-        for p in parts:
+        for k, own in enumerate(cut):
             try:
-                found += scorer([p], list(labels), threshold)
-            except Exception:
-                found.append([])
+                found += score_safely([part for _, part in own], scorer, list(labels), threshold)
+            except Exception as e:
+                failed[k] = e
+                found += [[]] * len(own)
     out, at = [], 0
-    for own in cut:
+    for k, own in enumerate(cut):
         best: dict[tuple[int, int, str], dict] = {}
         for (offset, part), spans in zip(own, found[at : at + len(own)], strict=True):
             for a, b, name, score in spans:
@@ -213,7 +225,7 @@ def score_texts(texts: list[str], catalog: Catalog, scorer: Scorer, threshold: f
                 if key not in best or score > best[key]["confidence"]:
                     best[key] = {"text": part[a:b], "start": key[0], "end": key[1], "entity_id": entity, "display_name": names[entity], "confidence": float(score), "source": "ner"}
         at += len(own)
-        out.append([s | {"seq": k} for k, (_, s) in enumerate(sorted(best.items()))])
+        out.append(([s | {"seq": k} for k, (_, s) in enumerate(sorted(best.items()))], failed.get(k)))
     return out
 
 
@@ -228,7 +240,7 @@ def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: flo
     @once
     @F.pandas_udf(SPANS)
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(list(texts), catalog, scorer, threshold, size, overlap), dtype=object)
+        return pd.Series([spans for spans, _ in score_texts(list(texts), catalog, scorer, threshold, size, overlap)], dtype=object)
 
     return df.withColumn(out, score(F.col(text)))
 

@@ -182,7 +182,7 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     and streaming. One helper cleans, guesses the language, scans, merges, trims and numbers,
     so a text goes to Python once; its time is linear in the text and its spans. Rows that
     :func:`guard` rejects are left out; :func:`rejects` has them. layer_error names what
-    went wrong in a row's scan; such a row has no spans.
+    went wrong in a row's scan, by rules or model; such a row has no spans and a null masked_text.
     """
     good = guard(df, options.text, options.max_chars).where("reject_reason IS NULL").drop("reject_reason")
     resolver, configured = Resolver(catalog), options.language
@@ -195,16 +195,17 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
         for raw in batches:
             made = list(map(clean_text, raw))
             texts = [t for t, _ in made]
-            modelled = score_texts(texts, catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [[]] * len(texts)
+            modelled = score_texts(texts, catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [([], None)] * len(texts)
             rows = []
-            for (t, kind), more in zip(made, modelled, strict=True):
+            for (t, kind), (more, failed) in zip(made, modelled, strict=True):
                 found, error = scan_safely(rules, t)
-                rows.append((*resolver(t, found + more), guess(t) if configured == "auto" else configured, error, t, kind))
+                error = error or (type(failed).__name__ if failed else None)
+                rows.append((*resolver(t, [] if error else found + more), guess(t) if configured == "auto" else configured, error, t, kind))
             yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error", "text_clean", "format"])
 
     ready = good.withColumns({"original_length": F.length(options.text), "_placed": scan(F.col(options.text))})
     ready = ready.withColumns({"format": F.col("_placed.format"), "text_clean": F.col("_placed.text_clean"), "language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})
-    out = _finished(ready, catalog, options)
+    out = _finished(ready, catalog, options).withColumn("masked_text", F.when(F.col("layer_error").isNull(), F.col("masked_text")))
     return out if options.keep_original else out.drop(options.text)
 
 

@@ -38,8 +38,8 @@ def write_masked(df: DataFrame, path: str, key: str = "file_name", mode: str = "
 
 
 def write_masked_files(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One text file an input, in a folder of its name; for small numbers of files only."""
-    df.select("file_name", F.col("masked_text").alias("value")).write.mode(mode).partitionBy("file_name").option("lineSep", "\u0000").text(path)
+    """One text file an input, in a folder of its name, none where a scan failed; for small numbers of files only."""
+    df.where("masked_text IS NOT NULL").select("file_name", F.col("masked_text").alias("value")).write.mode(mode).partitionBy("file_name").option("lineSep", "\u0000").text(path)
 
 
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -289,3 +289,26 @@ def test_totals_of_chunks_without_pairs(spark):
     many = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") % 100).alias("start"), (F.col("id") % 100 + 1).alias("end"))
     wide = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("chunk_idx"), F.lit(0).alias("offset"), F.lit("x" * 100).alias("chunk"))
     assert detect.totals_of_chunks(wide, many, F.lit(1)).where("n = 300000 AND total = 300000").count() == 20_000
+
+
+def failing_scorer(label, short=False):
+    """Finds Ann, and fails on texts with the word bad: it throws, or answers for no chunk."""
+
+    def find(texts, labels, threshold):
+        if any("bad" in t for t in texts):
+            if short:
+                return []
+            raise ValueError("unreadable")
+        return [[(t.index("Ann"), t.index("Ann") + 3, label, 0.9)] if "Ann" in t else [] for t in texts]
+
+    return find
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_failure_of_a_model_is_no_masked_text(spark, short):
+    """A document that the model fails on, in its second chunk only, has an error and no text; the others are masked."""
+    c = cat.load_catalog().only("person_name", "email_address")
+    data = [(1, "hello Ann"), (2, "Ann a@b.example " + "x " * 1000 + "bad"), (3, "no one")]
+    got = {r.doc_id: (r.masked_text, r.layer_error, len(r.masked_spans)) for r in mask.mask_with_model(rows(spark, data).coalesce(1), c, failing_scorer(*c.labels(), short)).collect()}
+    assert got == {1: ("hello [PERSON 1]", None, 1), 2: (None, "ValueError", 0), 3: ("no one", None, 0)}
+    assert "layer_error" in Q.QUERIES["mask_with_model"](spark, "/root/testdata/sf0.001").columns
