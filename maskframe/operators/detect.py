@@ -229,20 +229,28 @@ def score_texts(texts: list[str], catalog: Catalog, scorer: Scorer, threshold: f
     return out
 
 
-def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: float = 0.4, size: int = 1200, overlap: int = 100, text: str = "text_clean", out: str = "spans") -> DataFrame:
+def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: float = 0.4, size: int = 1200, overlap: int = 100, text: str = "text_clean", out: str = "spans", error: str | None = None) -> DataFrame:
     """Adds the spans of a model, by place and entity: overlapping chunks of the text are scored and their spans merged.
 
     Everything stays in the row, whatever its id: no join and no shuffle. ``scorer`` takes
     texts, labels and a threshold and returns (start, end, label, score) a text. Spans of
-    unknown labels are dropped; null and empty texts have none.
+    unknown labels are dropped; null and empty texts have none. A text that the model fails
+    on ends the job; where ``error`` names a column, that has the error's name and such a
+    text has null for its spans, the others theirs.
     """
 
     @once
-    @F.pandas_udf(SPANS)
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([spans for spans, _ in score_texts(list(texts), catalog, scorer, threshold, size, overlap)], dtype=object)
-
-    return df.withColumn(out, score(F.col(text)))
+    @F.pandas_udf(f"struct<spans:{SPANS},error:string>")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for spans, e in score_texts(list(texts), catalog, scorer, threshold, size, overlap):
+            if e is not None and error is None:
+                raise e
+            rows.append((spans, None) if e is None else (None, type(e).__name__))
+        return pd.DataFrame(rows, columns=["spans", "error"])
+
+    found = df.withColumn("_found", score(F.col(text))).withColumn(out, F.col("_found.spans"))
+    return (found if error is None else found.withColumn(error, F.col("_found.error"))).drop("_found")
 
 
 #: Characters of a bucket of positions in joins of intervals.

@@ -312,3 +312,26 @@ def test_failure_of_a_model_is_no_masked_text(spark, short):
     got = {r.doc_id: (r.masked_text, r.layer_error, len(r.masked_spans)) for r in mask.mask_with_model(rows(spark, data).coalesce(1), c, failing_scorer(*c.labels(), short)).collect()}
     assert got == {1: ("hello [PERSON 1]", None, 1), 2: (None, "ValueError", 0), 3: ("no one", None, 0)}
     assert "layer_error" in Q.QUERIES["mask_with_model"](spark, "/root/testdata/sf0.001").columns
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_failure_of_a_model_ends_the_job_or_is_named(spark, short):
+    """Spans of chunks that weren't scored are no empty result: the job ends, or a column has the error."""
+    c = cat.load_catalog().only("person_name")
+    docs = rows(spark, [(1, "hello Ann"), (2, "Ann " + "x " * 1000 + "bad"), (3, "no one"), (4, None)]).coalesce(1)
+    find = failing_scorer(*c.labels(), short)
+    with pytest.raises(Exception, match="0 of 6 chunks|0 of 2 chunks" if short else "unreadable"):
+        detect.score_chunks(docs, c, find, text="text").collect()
+    got = {r.doc_id: (r.spans if r.spans is None else [s.text for s in r.spans], r.wrong) for r in detect.score_chunks(docs, c, find, text="text", error="wrong").collect()}
+    assert got == {1: (["Ann"], None), 2: (None, "ValueError"), 3: ([], None), 4: ([], None)}
+
+
+@pytest.mark.parametrize("name", ["model_spans"])
+def test_queries_end_where_their_model_fails(spark, tiny, monkeypatch, name):
+    def fails(texts, labels, threshold):
+        raise ValueError("unreadable")
+
+    monkeypatch.setattr(detect, "gazetteer", lambda phrases: fails)
+    monkeypatch.setattr(Q, "name_tagger", lambda spark, sf_dir: fails)
+    with pytest.raises(Exception, match="unreadable"):
+        Q.QUERIES[name](spark, tiny).collect()
