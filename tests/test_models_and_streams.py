@@ -326,7 +326,7 @@ def test_failure_of_a_model_ends_the_job_or_is_named(spark, short):
     assert got == {1: (["Ann"], None), 2: (None, "ValueError"), 3: ([], None), 4: ([], None)}
 
 
-@pytest.mark.parametrize("name", ["model_spans"])
+@pytest.mark.parametrize("name", ["model_spans", "tagger_spans"])
 def test_queries_end_where_their_model_fails(spark, tiny, monkeypatch, name):
     def fails(texts, labels, threshold):
         raise ValueError("unreadable")
