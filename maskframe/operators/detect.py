@@ -7,12 +7,14 @@ batch and streaming alike. Offsets are code points of the text that was scanned.
 from __future__ import annotations
 
 import ipaddress
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +30,19 @@ def once(udf: Callable) -> Callable:
 
 SPAN = "struct<text:string,start:int,end:int,entity_id:string,display_name:string,confidence:double,source:string,seq:int>"
 SPANS = f"array<{SPAN}>"
+_SPAN_FIELDS = (("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity_id", pa.string()), ("display_name", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("seq", pa.int32()))
 #: Lowest score of a recogniser's finding.
 MIN_SCORE = 0.6
 
 
+def span_arrays(rows: list[list[dict] | None]) -> pa.ListArray:
+    """Spans by row as Arrow has them, made field by field: a table of rows of dictionaries is slow to convert."""
+    flat = [s for own in rows for s in own or ()]
+    spans = pa.StructArray.from_arrays([pa.array([s[name] for s in flat], kind) for name, kind in _SPAN_FIELDS], names=[name for name, _ in _SPAN_FIELDS])
+    ends = list(itertools.accumulate((len(own or ()) for own in rows), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans, mask=pa.array([own is None for own in rows], pa.bool_()))
+
+
 #: Takes texts, labels and a threshold; gives (start, end, label, score) of what it finds in each text.
 Scorer = Callable[[list[str], list[str], float], list[list[tuple[int, int, str, float]]]]
 
@@ -240,14 +251,14 @@ def score_chunks(df: DataFrame, catalog: Catalog, scorer: Scorer, threshold: flo
     """
 
     @once
-    @F.pandas_udf(f"struct<spans:{SPANS},error:string>")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(f"struct<spans:{SPANS},error:string>")
+    def score(texts: pa.Array) -> pa.Array:
         rows = []
-        for spans, e in score_texts(list(texts), catalog, scorer, threshold, size, overlap):
+        for spans, e in score_texts(texts.to_pylist(), catalog, scorer, threshold, size, overlap):
             if e is not None and error is None:
                 raise e
             rows.append((spans, None) if e is None else (None, type(e).__name__))
-        return pd.DataFrame(rows, columns=["spans", "error"])
+        return pa.StructArray.from_arrays([span_arrays([spans for spans, _ in rows]), pa.array([e for _, e in rows], pa.string())], names=["spans", "error"])
 
     found = df.withColumn("_found", score(F.col(text))).withColumn(out, F.col("_found.spans"))
     return (found if error is None else found.withColumn(error, F.col("_found.error"))).drop("_found")

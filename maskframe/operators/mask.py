@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..catalog import Catalog
 from ..functions.language import Languages
 from ..functions.masking import mask_value
 from ..functions.text import LEAST_LEAF, clean_text, guess_language, json_strings, strip
-from .detect import SPAN, SPANS, Rules, Scorer, once, scan_safely, score_texts
+from .detect import SPAN, SPANS, Rules, Scorer, once, scan_safely, score_texts, span_arrays
 from .spans import fold, trim_lines
 
 MAX_CHARS = 500_000
@@ -155,6 +156,7 @@ class Resolver:
 
 
 _RESOLVED = f"struct<{PLACED},counts:array<int>"
+_PLACED_TYPES = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.string()] * 4)
 
 
 def _finished(df: DataFrame, catalog: Catalog, options: MaskOptions) -> DataFrame:
@@ -189,11 +191,11 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     guess = options.languages.guess if options.languages else guess_language
 
     @once
-    @F.pandas_udf(_RESOLVED + ",language:string,error:string,text_clean:string,format:string>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_RESOLVED + ",language:string,error:string,text_clean:string,format:string>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rules = Rules(catalog, options.tagger)
         for raw in batches:
-            made = list(map(clean_text, raw))
+            made = list(map(clean_text, raw.to_pylist()))
             texts = [t for t, _ in made]
             modelled = score_texts(texts, catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [([], None)] * len(texts)
             rows = []
@@ -201,7 +203,8 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
                 found, error = scan_safely(rules, t)
                 error = error or (type(failed).__name__ if failed else None)
                 rows.append((*resolver(t, [] if error else found + more), guess(t) if configured == "auto" else configured, error, t, kind))
-            yield pd.DataFrame(rows, columns=["spans", "n", "gaps", "counts", "language", "error", "text_clean", "format"])
+            spans, *others = zip(*rows, strict=True) if rows else [()] * 8
+            yield pa.StructArray.from_arrays([span_arrays(spans), *map(pa.array, others, _PLACED_TYPES)], names=["spans", "n", "gaps", "counts", "language", "error", "text_clean", "format"])
 
     ready = good.withColumns({"original_length": F.length(options.text), "_placed": scan(F.col(options.text))})
     ready = ready.withColumns({"format": F.col("_placed.format"), "text_clean": F.col("_placed.text_clean"), "language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})

@@ -14,6 +14,8 @@ labels PERSON and ORG it serves as the recogniser of these names.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -25,20 +27,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+|[^\w\s]")
 #: Features that a model keeps, by how often they occur; what is added to each count.
 FEATURES, SMOOTHING = 100_000, 0.1
 #: Most tags, in all.
 TAGS = 10_000
 #: Kinds of feature: word, words beside it, ending, own shape and those beside it.
 KINDS = "wpneslr"
+#: Different words whose features a task keeps.
+WORDS = 300_000
 OUTSIDE = "O"
 
 
+class Numbers(dict):
+    """A number for each different key, by first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Forms(dict):
+    """The form of each character, by its code: capitals X, small letters x, digits 9, others themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = form = "9" if re.match(r"\d", c) else ("X" if c.isupper() else "x") if re.match(r"[^\W_]", c) else c
+        return form
+
+
+FORMS = Forms()
+RUNS = re.compile(r"(.)\1{2,}")
+
+
+@functools.lru_cache(1 << 16)
 def shape(word: str) -> str:
     """Capitals as X, small letters as x, digits as 9, runs of more than two as two."""
-    plain = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", word))
-    return re.sub(r"(.)\1{2,}", r"\1\1", plain)
+    return RUNS.sub(r"\1\1", word.translate(FORMS))
 
 
 def features(words: list[str]) -> list[list[str]]:
@@ -47,43 +71,63 @@ def features(words: list[str]) -> list[list[str]]:
     return [[f"{kind}{shown[kind][1][shown[kind][0][k]]}" for kind in KINDS] for k in range(len(words))]
 
 
+def before(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The numbers of the words before those of ``own``, 0 at the beginning of a text."""
+    out = np.concatenate([own[:0], [0], own[:-1]])[: len(own)]
+    out[first[:-1][first[:-1] < first[1:]]] = 0
+    return out
+
+
+def behind(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The numbers of the words behind those of ``own``, 0 at the end of a text."""
+    out = np.concatenate([own[1:], [0]])[: len(own)]
+    out[first[1:][first[:-1] < first[1:]] - 1] = 0
+    return out
+
+
 def numbered(words: list[str], first: np.ndarray) -> dict[str, tuple[np.ndarray, list[str]]]:
     """For each kind of feature the number of its value at each word, and the different values.
 
     The words are those of several texts, one behind the other; ``first`` has the place of
     each text's first word, and their number. What a word shows is made once a different word.
     """
-    known: dict[str, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    known = Numbers()
+    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def shown(values: list[str]) -> tuple[np.ndarray, list[str]]:
-        numbers = {"^": 0}
-        own = np.array([numbers.setdefault(v, len(numbers)) for v in values], np.int64)
+        numbers = Numbers({"^": 0})
+        own = np.fromiter(map(numbers.__getitem__, values), np.int64, len(values))
         return own[ids] if len(ids) else ids, list(numbers)
 
-    def before(own: np.ndarray) -> np.ndarray:
-        out = np.concatenate([own[:0], [0], own[:-1]])[: len(own)]
-        out[first[:-1][first[:-1] < first[1:]]] = 0
-        return out
-
-    def behind(own: np.ndarray) -> np.ndarray:
-        out = np.concatenate([own[1:], [0]])[: len(own)]
-        out[first[1:][first[:-1] < first[1:]] - 1] = 0
-        return out
-
     lows = [w.lower() for w in known]
     low, all_lows = shown(lows)
     form, all_forms = shown([shape(w) for w in known])
-    return {"w": (low, all_lows), "p": (before(low), all_lows), "n": (behind(low), all_lows), "e": shown([w[-3:] for w in lows]), "s": (form, all_forms), "l": (before(form), all_forms), "r": (behind(form), all_forms)}
+    return {"w": (low, all_lows), "p": (before(low, first), all_lows), "n": (behind(low, first), all_lows), "e": shown([w[-3:] for w in lows]), "s": (form, all_forms), "l": (before(form, first), all_forms), "r": (behind(form, first), all_forms)}
+
+
+@functools.cache
+def classes() -> np.ndarray:
+    """For each code point 0 for white space, 2 for what words are made of, 1 for signs."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.ones(len(every), np.uint8)
+    for number, pattern in ((0, r"\s+"), (2, r"\w+")):
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] = number
+    return out
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Begin and end of all words of the texts put together by line feeds, the words, the place of each text's first word, and each text's beginning."""
+    """Begin and end of all words of the texts put together by line feeds, the words, the place of each text's first word, and each text's beginning.
+
+    A word is a run of letters, digits and underscores, or one sign.
+    """
     joined = "\n".join(texts)
-    found = [m.span() for m in WORD.finditer(joined)]
-    places = np.array(found, np.int64).reshape(-1, 2)
+    kind = np.concatenate([[0], classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)], [0]]).astype(np.uint8)
+    own, part = kind[1:-1], kind == 2
+    begin = np.flatnonzero((own == 1) | part[1:-1] & ~part[:-2])
+    end = np.flatnonzero((own == 1) | part[1:-1] & ~part[2:]) + 1
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    return places[:, 0], places[:, 1], [joined[a:b] for a, b in found], np.searchsorted(places[:, 0], begins), begins
+    return begin, end, [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.searchsorted(begin, begins), begins
 
 
 def in_parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -129,6 +173,9 @@ class Tagger:
     steps: np.ndarray
     seen: dict[str, np.ndarray]
     unseen: dict[str, np.ndarray] = field(default_factory=dict)
+    tables: dict[str, tuple[dict[str, int], np.ndarray]] | None = field(default=None, init=False, repr=False, compare=False)
+    #: Numbers of words met so far, and rows of what they show.
+    kept: tuple[Numbers, np.ndarray] | None = field(default=None, init=False, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
         """The features as one list and one table: thousands of small arrays are slow to send."""
@@ -137,13 +184,37 @@ class Tagger:
 
     def __setstate__(self, state: dict) -> None:
         names, table = state.pop("names"), state.pop("table")
-        self.__dict__.update(state, seen=dict(zip(names, table, strict=True)))
+        self.__dict__.update(state, seen=dict(zip(names, table, strict=True)), tables=None, kept=None)
+
+    def _tables(self) -> dict[str, tuple[dict[str, int], np.ndarray]]:
+        """For each kind of feature the rows of its values and the log probabilities by row; row 0 is that of unseen ones."""
+        index, rows = {kind: {} for kind in KINDS}, {kind: [self.unseen[kind]] for kind in KINDS}
+        for name, row in self.seen.items():
+            index[name[0]][name[1:]] = len(rows[name[0]])
+            rows[name[0]].append(row)
+        return {kind: (index[kind], np.array(rows[kind]).reshape(-1, len(self.tags))) for kind in KINDS}
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """For each kind of feature the row of what each different word shows of that kind."""
+        lows, forms = [w.lower() for w in words], list(map(shape, words))
+        values = {"w": lows, "p": lows, "n": lows, "e": [w[-3:] for w in lows], "s": forms, "l": forms, "r": forms}
+        return np.array([[of(v, 0) for v in values[kind]] for kind in KINDS for of in [self.tables[kind][0].get]], np.int32)
 
     def _shown(self, words: list[str], first: np.ndarray) -> np.ndarray:
-        """Log probability of each word's features by tag, for the words of several texts."""
+        """Log probability of each word's features by tag, for the words of several texts; what a word shows is kept for the next texts."""
+        if self.tables is None:
+            self.tables = self._tables()
+        if self.kept is None or len(self.kept[0]) > WORDS:
+            self.kept = Numbers({"^": 0}), self._rows(["^"])
+        known, rows = self.kept
+        own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > rows.shape[1]:
+            rows = np.concatenate([rows, self._rows(list(itertools.islice(known, rows.shape[1], None)))], axis=1)
+            self.kept = known, rows
+        last, next_ = before(own, first), behind(own, first)
         out = np.zeros((len(words), len(self.tags)))
-        for kind, (own, values) in numbered(words, first).items():
-            out += np.array([self.seen.get(kind + v, self.unseen[kind]) for v in values]).reshape(len(values), len(self.tags))[own]
+        for kind, ids in zip(KINDS, (own, last, next_, own, own, last, next_), strict=True):
+            out += self.tables[kind][1].take(rows[KINDS.index(kind)].take(ids), axis=0)
         return out
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -152,22 +223,27 @@ class Tagger:
 
     def _decode(self, shown: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The most probable row of tags of each text; all texts go on by one word at a time, the longest ones last."""
-        starts, active = _by_length(first)
-        out = np.zeros(len(shown), np.int64)
+        place, active = _in_steps(first)
+        row = np.zeros(len(shown), np.int64)
         if not active:
-            return out
-        best, back = self.opens + shown[starts], []
-        for k, m in enumerate(active[1:], 1):
-            ways = best[:m, :, None] + self.steps
-            back.append(np.argmax(ways, axis=1).astype(np.int16))
-            best[:m] = ways.max(axis=1) + shown[starts[:m] + k]
-        now = np.argmax(best, axis=1)
-        for k in range(len(active) - 1, 0, -1):
-            m = active[k]
-            out[starts[:m] + k] = now[:m]
-            now[:m] = back[k - 1][np.arange(m), now[:m]]
-        out[starts] = now
-        return out
+            return row
+        shown, ways = _moved(shown, place), self.steps[:, :, None]
+        best, back, at = self.opens[:, None] + shown[:, : active[0]], [], active[0]
+        for m in active[1:]:
+            each = best[:, None, :m] + ways
+            top, last = each.max(axis=0), np.zeros((len(self.tags), m), np.int16)
+            for k in range(len(self.tags) - 1, -1, -1):  # of equal ones the first stays
+                np.copyto(last, k, where=each[k] == top)
+            back.append(last)
+            best[:, :m] = top + shown[:, at : at + m]
+            at += m
+        now = np.argmax(best, axis=0)
+        for m, last in zip(active[:0:-1], reversed(back), strict=True):
+            at -= m
+            row[at : at + m] = now[:m]
+            now[:m] = last[now[:m], np.arange(m)]
+        row[: active[0]] = now
+        return row[place]
 
     def decode(self, words: list[str]) -> list[int]:
         """The most probable row of tags, by number; of equal ones the first by tag numbers from the end."""
@@ -175,19 +251,21 @@ class Tagger:
 
     def _certainty(self, shown: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of each tag at each word of several texts, by the forward and backward sums."""
-        starts, active = _by_length(first)
-        ahead, behind = np.empty_like(shown), np.zeros_like(shown)
+        place, active = _in_steps(first)
         if not active:
-            return ahead
-        ahead[starts] = self.opens + shown[starts]
-        for k, m in enumerate(active[1:], 1):
-            at = starts[:m] + k
-            ahead[at] = np.logaddexp.reduce(ahead[at - 1][:, :, None] + self.steps, axis=1) + shown[at]
-        for k in range(len(active) - 1, 0, -1):
-            at = starts[: active[k]] + k
-            behind[at - 1] = np.logaddexp.reduce(self.steps + (shown[at] + behind[at])[:, None, :], axis=2)
-        both = ahead + behind
-        return np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])
+            return np.empty_like(shown)
+        shown = _moved(shown, place)
+        ahead, later, ways, back = np.empty_like(shown), np.zeros_like(shown), _ways(self.steps), _ways(self.steps.T)
+        ahead[:, : active[0]], at = self.opens[:, None] + shown[:, : active[0]], 0
+        for m, more in zip(active, active[1:], strict=False):
+            at += m
+            ahead[:, at : at + more] = _summed(ahead[:, at - m : at - m + more], ways) + shown[:, at : at + more]
+        at = shown.shape[1]
+        for m, fewer in zip(active[:0:-1], active[-2::-1], strict=True):
+            at -= m
+            later[:, at - fewer : at - fewer + m] = _summed(shown[:, at : at + m] + later[:, at : at + m], back)
+        both = ahead + later
+        return np.exp(both - np.logaddexp.reduce(both, axis=0)).T[place]
 
     def certainty(self, words: list[str]) -> np.ndarray:
         """Probability of each tag at each word."""
@@ -217,30 +295,54 @@ class Tagger:
         within = np.concatenate([[0], np.cumsum(sizes)])
         taken = np.arange(within[-1]) + np.repeat(first[some] - within[:-1], sizes)
         sure = self._certainty(shown[taken], within)
-        text = np.repeat(some, sizes)
         scores = sure[np.arange(len(taken)), row[taken]]
-        for k in np.flatnonzero(row[taken] != self.tags.index(OUTSIDE)).tolist():
-            at, i = int(taken[k]), int(text[k])
-            name, own = self.tags[row[at]], out[i]
-            if name.startswith("B-"):
-                own.append([int(begin[at] - begins[i]), int(end[at] - begins[i]), name[2:], float(scores[k])])
-            else:
-                own[-1] = [own[-1][0], int(end[at] - begins[i]), name[2:], min(own[-1][3], float(scores[k]))]
-        return [[tuple(x) for x in own] for own in out]
+        held = np.flatnonzero(row[taken] != self.tags.index(OUTSIDE))
+        at, text, scores = taken[held], np.repeat(some, sizes)[held], scores[held]
+        opening = np.array([t.startswith("B-") for t in self.tags])[row[at]]
+        opening[1:] |= text[1:] != text[:-1]
+        opening[0] = True
+        runs = np.flatnonzero(opening)
+        last = np.append(runs[1:], len(at)) - 1
+        owner = text[runs]
+        places = begin[at[runs]] - begins[owner], end[at[last]] - begins[owner], row[at[last]], np.minimum.reduceat(scores, runs)
+        for i, a, b, tag, score in zip(owner.tolist(), *(x.tolist() for x in places), strict=True):
+            out[i].append((a, b, self.tags[tag][2:], score))
+        return out
 
     def __call__(self, texts: list[str], labels: list[str], threshold: float) -> list[list[tuple[int, int, str, float]]]:
         wanted = set(labels)
         return [[s for s in own if s[2] in wanted and s[3] >= threshold] for own in self.spans_of(texts)]
 
 
-def _by_length(first: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """The places of the first words of texts that have any, longest text first, and for each place in a text how many texts reach it."""
+def _in_steps(first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """For each word of several texts its place when all first words go first, then all second ones and so on, those of longer texts before others; and how many words each step has."""
     sizes = first[1:] - first[:-1]
-    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
-    if not len(order):
-        return first[:0], []
-    reach = np.bincount(sizes[order])
-    return first[:-1][order], (len(order) - np.cumsum(reach)[:-1]).tolist()
+    order = np.argsort(-sizes, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    active = (np.count_nonzero(sizes) - np.cumsum(np.bincount(sizes[sizes > 0]))[:-1]).tolist() if sizes.any() else []
+    offset = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+    return offset[np.arange(first[-1]) - np.repeat(first[:-1], sizes)] + np.repeat(rank, sizes), active
+
+
+def _ways(steps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each first tag the second ones that can follow, and the logarithms of these steps."""
+    return [(some, step[some, None]) for step in steps for some in [np.flatnonzero(step > -np.inf)]]
+
+
+def _summed(logs: np.ndarray, ways: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logarithms of the sums over all first tags (rows of ``logs``), by second tag; what can't follow adds nothing."""
+    out = np.full_like(logs, -np.inf)
+    for one, (some, step) in zip(logs, ways, strict=True):
+        out[some] = np.logaddexp(out[some], one + step)
+    return out
+
+
+def _moved(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The columns of a table whose row k goes to column ``place[k]``."""
+    out = np.empty_like(rows)
+    out[place] = rows
+    return np.ascontiguousarray(out.T)
 
 
 def count_features(labelled: DataFrame) -> DataFrame:

@@ -291,6 +291,47 @@ def test_totals_of_chunks_without_pairs(spark):
     assert detect.totals_of_chunks(wide, many, F.lit(1)).where("n = 300000 AND total = 300000").count() == 20_000
 
 
+def test_words_are_those_of_an_expression():
+    """Words and signs by the classes of characters, over all kinds of these."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "Z", "_", "7", " ", "\n", "\x1c", "\x85", "\u00a0", "-", "'", "é", "\u0301", "ß", "漢", "٣", "²", "😀", "\u200b", "\ufeff", chr(rng.randrange(0xD800)), chr(rng.randrange(0xE000, 0x110000))]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    begin, end, words, first, begins = tagger.words_of(texts)
+    for k, t in enumerate(texts):
+        own = range(first[k], first[k + 1])
+        assert [(begin[j] - begins[k], end[j] - begins[k], words[j]) for j in own] == [(*m.span(), m[0]) for m in re.finditer(r"\w+|[^\w\s]", t)]
+
+
+def test_tagger_keeps_what_words_show(names, monkeypatch):
+    """A word that comes again in a later batch costs no more than a look for it, and tags and scores stay those of sums word by word."""
+    made = []
+    plain = getattr(tagger.shape, "__wrapped__", tagger.shape)
+    monkeypatch.setattr(tagger, "shape", lambda w: made.append(w) or plain(w))
+    texts = [f"{k % 50} we met Alba Bardale of North Works Inc at {k % 70} noon" for k in range(2000)]
+    once = names.spans_of(texts)
+    assert len(set(made)) == len(made)
+    assert names.spans_of(texts[::-1]) == once[::-1] and len(set(made)) == len(made)
+    words = texts[3].split()
+    shown, ahead = names.emissions(words), []
+    for k in range(len(words)):
+        ahead.append(shown[k] + (np.logaddexp.reduce(ahead[-1][:, None] + names.steps, axis=0) if k else names.opens))
+    later = [np.zeros(len(names.tags))]
+    for k in range(len(words) - 1, 0, -1):
+        later.insert(0, np.logaddexp.reduce(names.steps + (shown[k] + later[0])[None, :], axis=1))
+    both = np.array(ahead) + np.array(later)
+    assert (names.certainty(words) == np.exp(both - np.logaddexp.reduce(both, axis=1)[:, None])).all()
+
+
+def test_spans_go_to_arrow_by_field(spark):
+    span = {"text": "é", "start": 1, "end": 2, "entity_id": "ssn", "display_name": "SSN", "confidence": 0.5, "source": "ner", "seq": 0}
+    rows_of = [[], [span, span | {"seq": 1, "display_name": None}], None, [span]]
+    assert detect.span_arrays(rows_of).to_pylist() == rows_of
+    got = spark.createDataFrame([(1, "Ann"), (2, None)], "doc_id long, text string").repartition(1)
+    c = cat.load_catalog().only("person_name")
+    plan = mask.mask_with_model(got, c, detect.gazetteer({next(iter(c.labels())): ["Ann"]}))
+    assert plan.first().detected_spans[0].asDict() == {"text": "Ann", "start": 0, "end": 3, "entity_id": "person_name", "display_name": c.entities[0].display_name, "confidence": 0.9, "source": "ner", "seq": 0}
+    assert mask.mask_with_model(got.where("doc_id > 9"), c, detect.gazetteer({})).collect() == []
+
+
 def failing_scorer(label, short=False):
     """Finds Ann, and fails on texts with the word bad: it throws, or answers for no chunk."""
 
@@ -309,7 +350,7 @@ def test_failure_of_a_model_is_no_masked_text(spark, short):
     """A document that the model fails on, in its second chunk only, has an error and no text; the others are masked."""
     c = cat.load_catalog().only("person_name", "email_address")
     data = [(1, "hello Ann"), (2, "Ann a@b.example " + "x " * 1000 + "bad"), (3, "no one")]
-    got = {r.doc_id: (r.masked_text, r.layer_error, len(r.masked_spans)) for r in mask.mask_with_model(rows(spark, data).coalesce(1), c, failing_scorer(*c.labels(), short)).collect()}
+    got = {r.doc_id: (r.masked_text, r.layer_error, len(r.masked_spans)) for r in mask.mask_with_model(rows(spark, data).coalesce(1), c, failing_scorer({v: k for k, v in c.labels().items()}["person_name"], short)).collect()}
     assert got == {1: ("hello [PERSON 1]", None, 1), 2: (None, "ValueError", 0), 3: ("no one", None, 0)}
     assert "layer_error" in Q.QUERIES["mask_with_model"](spark, "/root/testdata/sf0.001").columns
 
