@@ -18,10 +18,13 @@ from ..functions.masking import mask_value
 from ..functions.text import LEAST_LEAF, clean_text, guess_language, json_strings, strip
 from .detect import SPAN, SPANS, Rules, Scorer, once, scan_safely, score_texts, span_arrays
 from .spans import fold, trim_lines
+from .tagger import in_parts
 
 MAX_CHARS = 500_000
 #: Size and overlap of the chunks that a model scores.
 MODEL_CHUNKS = (1200, 100)
+#: Characters of the texts that a task holds the spans of as objects.
+SCANNED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -194,8 +197,9 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
     @F.arrow_udf(_RESOLVED + ",language:string,error:string,text_clean:string,format:string>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rules = Rules(catalog, options.tagger)
-        for raw in batches:
-            made = list(map(clean_text, raw.to_pylist()))
+
+        def scanned(raw: list[str]) -> pa.Array:
+            made = list(map(clean_text, raw))
             texts = [t for t, _ in made]
             modelled = score_texts(texts, catalog, options.scorer, options.threshold, *MODEL_CHUNKS) if options.scorer else [([], None)] * len(texts)
             rows = []
@@ -204,7 +208,12 @@ def mask_documents(df: DataFrame, catalog: Catalog, options: MaskOptions = MaskO
                 error = error or (type(failed).__name__ if failed else None)
                 rows.append((*resolver(t, [] if error else found + more), guess(t) if configured == "auto" else configured, error, t, kind))
             spans, *others = zip(*rows, strict=True) if rows else [()] * 8
-            yield pa.StructArray.from_arrays([span_arrays(spans), *map(pa.array, others, _PLACED_TYPES)], names=["spans", "n", "gaps", "counts", "language", "error", "text_clean", "format"])
+            return pa.StructArray.from_arrays([span_arrays(spans), *map(pa.array, others, _PLACED_TYPES)], names=["spans", "n", "gaps", "counts", "language", "error", "text_clean", "format"])
+
+        for batch in batches:
+            raw = [t or "" for t in batch.to_pylist()]
+            # spans as dictionaries are far larger than in Arrow, so only those of some texts are held at once
+            yield pa.concat_arrays([scanned(raw[a:b]) for a, b in in_parts(raw, SCANNED)] or [scanned([])])
 
     ready = good.withColumns({"original_length": F.length(options.text), "_placed": scan(F.col(options.text))})
     ready = ready.withColumns({"format": F.col("_placed.format"), "text_clean": F.col("_placed.text_clean"), "language": F.col("_placed.language"), "layer_error": F.col("_placed.error")})

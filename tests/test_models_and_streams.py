@@ -332,6 +332,22 @@ def test_spans_go_to_arrow_by_field(spark):
     assert mask.mask_with_model(got.where("doc_id > 9"), c, detect.gazetteer({})).collect() == []
 
 
+def test_spans_of_some_texts_at_once(spark, monkeypatch):
+    """A batch goes to the model in runs of texts of a bounded size; rows and their order stay, also of one text beyond that size and of empty batches."""
+    c = cat.load_catalog().only("person_name")
+    label, most = next(iter(c.labels())), mask.SCANNED
+    size = spark.sparkContext.accumulator(0)
+
+    def find(texts, labels, threshold):
+        size.add(max(0, sum(map(len, texts)) - most - 200_000 - len(texts) * 200))
+        return [[(t.index("Ann"), t.index("Ann") + 3, label, 0.9)] if "Ann" in t else [] for t in texts]
+
+    docs = spark.range(60).select("id", F.concat(F.lit("Ann "), F.expr("repeat(concat('x', id, ' '), 40000)")).alias("text")).coalesce(1)
+    got = {r.id: r for r in mask.mask_with_model(docs, c, find).select("id", "masked_text", "text_clean").collect()}
+    assert sorted(got) == list(range(60)) and size.value == 0
+    assert all(r.masked_text == "[PERSON 1] " + r.text_clean[4:] and r.text_clean.endswith(f"x{k}") for k, r in got.items())
+
+
 def failing_scorer(label, short=False):
     """Finds Ann, and fails on texts with the word bad: it throws, or answers for no chunk."""
 
